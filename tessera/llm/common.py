@@ -72,11 +72,19 @@ def as_batch(columns: dict, kinds: pa.Schema) -> pa.RecordBatch:
     )
 
 
+_KINDS = {
+    "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "double": pa.float64(), "float": pa.float32(),
+    "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+}
+
+
 def arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    """Arrow types of a plain ``name type, ...`` list; needs no session, so tasks can call it."""
+
+    def kind(name: str) -> pa.DataType:
+        return pa.list_(kind(name[6:-1])) if name.startswith("array<") else _KINDS[name]
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return pa.schema([(n, kind(k)) for n, k in (part.split() for part in schema.split(","))])
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

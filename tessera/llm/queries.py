@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.packing import pack
+from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,8 +23,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op7_packing, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
