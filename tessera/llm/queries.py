@@ -11,10 +11,16 @@ from tessera.llm.common import table
 from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
+from tessera.llm.url_filters import SQL as URL_SQL
+from tessera.llm.url_filters import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -28,8 +34,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": URL_SQL}
