@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import quality
 from tessera.llm.common import table
 from tessera.llm.language_id import identify, train
 from tessera.llm.packing import pack
@@ -38,6 +39,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_crc32() % 5 == 0, F.lit(False))
+    weights = quality.train(docs, quality.sample(labels.where(~held_out), F.col("quality")))
+    return quality.quality_scores(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -47,7 +55,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
