@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import quality
 from tessera.llm.common import table
 from tessera.llm.language_id import identify, train
+from tessera.llm.licenses import license_scan
 from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
@@ -39,6 +40,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(id_crc32() % 5 == 0, F.lit(False))
@@ -55,7 +60,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
