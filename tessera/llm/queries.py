@@ -14,6 +14,7 @@ from tessera.llm.language_id import identify, train
 from tessera.llm.licenses import license_scan
 from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.suffix_dedup import dedup_report
 from tessera.llm.token_counts import token_counts
 from tessera.llm.url_filters import SQL as URL_SQL
 from tessera.llm.url_filters import judge_urls
@@ -21,6 +22,10 @@ from tessera.llm.url_filters import judge_urls
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -60,7 +65,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
