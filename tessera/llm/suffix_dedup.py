@@ -39,7 +39,7 @@ LENGTH, GRAM = 50, 22
 WINDOW = LENGTH - GRAM + 1
 HOT = 20_000
 #: Bytes of text that one task handles at once; anchors and context bytes of a range or shard.
-CHUNK, RANGE_ANCHORS, SHARD_BYTES = 8 << 20, 1_000_000, 6 << 20
+CHUNK, RANGE_ANCHORS, SHARD_BYTES = 2 << 20, 500_000, 2 << 20
 _KEY_BITS = 40
 _WHOLE = 1 << 30
 
