@@ -12,6 +12,7 @@ from tessera.llm import quality
 from tessera.llm.common import table
 from tessera.llm.language_id import identify, train
 from tessera.llm.licenses import license_scan
+from tessera.llm.media import media_features, to_media
 from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.suffix_dedup import dedup_report
@@ -34,6 +35,10 @@ def id_crc32(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(to_media(table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc32() % 4 == 2, F.lit(False))
@@ -65,7 +70,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op3_media_columns, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
