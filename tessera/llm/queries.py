@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import quality
 from tessera.llm.common import table
+from tessera.llm.decontaminate import contaminated
 from tessera.llm.language_id import identify, train
 from tessera.llm.licenses import license_scan
 from tessera.llm.media import media_features, to_media
@@ -65,12 +66,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op3_media_columns, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op3_media_columns, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op8_decontamination, op9_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
