@@ -265,3 +265,17 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         return dict(zip(("id", "first", "n", "lang"), [list(c) for c in zip(*found, strict=True)] or [[]] * 4, strict=True))
 
     return _labelled(docs, model, id_col, text_col, "first_word bigint, n_words bigint, lang string", rows_of)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with score ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            found = [verdict(shared.value, *x) for x in labeller.label(texts_of(batch, text_col))]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -405,12 +405,25 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) with the removed bytes gone; a character cut by a removal goes too."""
-    rows, spans = removed_spans(docs, id_col, text_col)
-
-    def run(batch):
-        texts = [np.frombuffer(raw, np.uint8)[~mask].tobytes().decode("utf-8", "ignore") for raw, mask in _each(batch)]
-        return {"id": batch.column(0), "text": texts}
-
-    joined = rows.join(spans, "id", "left").select("id", "text", "starts", "stops")
-    return map_rows(joined, run, "id bigint, text string").withColumnsRenamed({"id": id_col, "text": text_col})
+    """``docs`` with the removed bytes gone from the text; a character cut by a removal goes
+    too. All other columns stay."""
+    _, spans = removed_spans(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
+    marks = {"id": "__span_id", "starts": "__span_starts", "stops": "__span_stops"}
+    spans = spans.withColumnsRenamed(marks)
+    joined = docs.join(spans, docs[id_col].cast("bigint") == spans["__span_id"], "left").drop("__span_id")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch, text_col)
+            out = []
+            for text, starts, stops in zip(texts, batch.column("__span_starts").to_pylist(), batch.column("__span_stops").to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                mask = removed_mask(len(raw), starts, stops)
+                out.append(np.frombuffer(raw, np.uint8)[~mask].tobytes().decode("utf-8", "ignore") if mask.any() else text)
+            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(docs_columns))]
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(run, docs.schema)
