@@ -38,8 +38,9 @@ from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches,
 LENGTH, GRAM = 50, 22
 WINDOW = LENGTH - GRAM + 1
 HOT = 20_000
-#: Bytes of text that one task handles at once; anchors and context bytes of a range or shard.
-CHUNK, RANGE_ANCHORS, SHARD_BYTES = 2 << 20, 500_000, 2 << 20
+#: Bytes of text that one task handles at once, and that it gathers results of before it
+#: sends them; anchors and context bytes of a range or shard.
+CHUNK, GATHER, RANGE_ANCHORS, SHARD_BYTES = 512 << 10, 8 << 20, 300_000, 1 << 20
 _KEY_BITS = 40
 _WHOLE = 1 << 30
 
@@ -103,20 +104,33 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     kinds = arrow_schema("part int, keys binary, ids binary")
 
     def send(batches):
+        keys, owners_, size = [], [], 0
+
+        def flush():
+            key, own = np.concatenate(keys), np.concatenate(owners_)
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
+            out = {"part": [], "keys": [], "ids": []}
+            for part, rows in _split(key * ranges >> _KEY_BITS, ranges):
+                out["part"].append(part)
+                out["keys"].append(planes(key[rows], 5))
+                out["ids"].append(planes(own[rows], 8))
+            return as_batch(out, kinds)
+
         for ids, data, ends in chunks(batches):
             hashes = gram_hashes(data, GRAM)
             at = anchors(hashes, WINDOW)
             doc = np.searchsorted(ends, at, "right")
             inside = at + GRAM <= ends[doc]
-            key, doc = _keys(hashes[at[inside]]), doc[inside]
-            both = np.unique(key << 23 | doc)  # a chunk has under 2^23 documents
-            key, doc = both >> 23, both & ((1 << 23) - 1)
-            out = {"part": [], "keys": [], "ids": []}
-            for part, own in _split(key * ranges >> _KEY_BITS, ranges):
-                out["part"].append(part)
-                out["keys"].append(planes(key[own], 5))
-                out["ids"].append(planes(ids[doc[own]], 8))
-            yield as_batch(out, kinds)
+            both = np.unique(_keys(hashes[at[inside]]) << 23 | doc[inside])  # under 2^23 documents a chunk
+            keys.append(both >> 23)
+            owners_.append(ids[both & ((1 << 23) - 1)])
+            size += len(data)
+            if size >= GATHER:
+                yield flush()
+                keys, owners_, size = [], [], 0
+        if keys:
+            yield flush()
 
     def repeated(table: pa.Table) -> pa.Table:
         key = np.concatenate([from_planes(b, 5) for b in table.column("keys").to_pylist()])
@@ -202,27 +216,48 @@ def _send_contexts(batches, shards: int):
             held[i] = k[k >= 0], np.sort(-1 - k[k < 0])
         return batch
 
-    for ids, data, ends in chunks(map(known_of, batches)):
-        doc, start, n, spread, whole = contexts(data, ends, [held[i][0] for i in ids.tolist()], [held[i][1] for i in ids.tolist()])
-        past.update(ids.tolist())
-        if not len(start):
-            continue
-        begin = np.r_[0, ends[:-1]]
-        own, place = ids[doc], start - begin[doc]
-        # equal contexts of a chunk: the least id's go on, larger ids' are settled here
-        order = np.lexsort((own, whole[start + n - 1], whole[start], n))
-        a, b, c = n[order], whole[start][order], whole[start + n - 1][order]
+    gathered: list[tuple[np.ndarray, ...]] = []
+    texts: list[np.ndarray] = []
+
+    def flush():
+        n, own, place, spread, head, tail = (np.concatenate(c) for c in zip(*gathered, strict=True))
+        text = np.concatenate(texts)
+        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        # equal contexts: the least id's go on, larger ids' are settled here
+        order = np.lexsort((own, tail, head, n))
+        a, b, c = n[order], head[order], tail[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
         least = own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         settled, sent = order[own[order] > least], order[own[order] == least]
         out = {f.name: [] for f in kinds}
         for shard, rows in _split(spread[sent] * shards >> _KEY_BITS, shards):
             rows = sent[rows]
-            _row(out, shard, np.concatenate([data[s : s + k] for s, k in zip(start[rows].tolist(), (n[rows] + LENGTH - 1).tolist(), strict=True)]).tobytes(), n[rows], own[rows], place[rows], False)
+            size = n[rows] + LENGTH - 1
+            at = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            _row(out, shard, text[at].tobytes(), n[rows], own[rows], place[rows], False)
         for shard, rows in _split(own[settled] % shards, shards):
             rows = settled[rows]
             _row(out, shard, b"", n[rows], own[rows], place[rows], True)
-        yield as_batch(out, kinds)
+        gathered.clear()
+        texts.clear()
+        return as_batch(out, kinds)
+
+    size = 0
+    for ids, data, ends in chunks(map(known_of, batches)):
+        doc, start, n, spread, whole = contexts(data, ends, [held[i][0] for i in ids.tolist()], [held[i][1] for i in ids.tolist()])
+        past.update(ids.tolist())
+        if len(start):
+            long = n + LENGTH - 1
+            at = np.repeat(start - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            texts.append(data[at])
+            begin = np.r_[0, ends[:-1]]
+            gathered.append((n, ids[doc], start - begin[doc], spread, whole[start], whole[start + n - 1]))
+            size += len(at)
+        if size >= GATHER // 2:
+            yield flush()
+            size = 0
+    if gathered:
+        yield flush()
 
 
 def _row(out, shard, text, n, ids, starts, settled):
