@@ -1,0 +1 @@
+"""Document analytics on Spark: quality, assembly, chunking, views, vectors, retrieval metrics."""
