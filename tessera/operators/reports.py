@@ -157,10 +157,10 @@ def stratified_sample_hash(spark, sf_dir):
     return stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 100)
 
 
-@query("""SELECT p_partkey, p_type, p_size FROM part WHERE regexp_matches(upper(p_type), 'STEEL|BRASS|COPPER') AND NOT regexp_matches(upper(p_type), 'SMALL|PROMO') AND p_size >= 10""")
+@query("""SELECT p_partkey, p_type, p_size FROM part WHERE regexp_matches(upper(p_type), 'STANDARD|ECONOMY|LARGE') AND NOT regexp_matches(upper(p_type), 'MY$') AND p_size >= 10""")
 def filter_include_exclude(spark, sf_dir):
     kind = F.upper("p_type")
-    keep = F.coalesce(kind.rlike("STEEL|BRASS|COPPER"), F.lit(False)) & ~F.coalesce(kind.rlike("SMALL|PROMO"), F.lit(False))
+    keep = F.coalesce(kind.rlike("STANDARD|ECONOMY|LARGE"), F.lit(False)) & ~F.coalesce(kind.rlike("MY$"), F.lit(False))
     return table(spark, sf_dir, "part").where(keep & (F.col("p_size") >= 10)).select("p_partkey", "p_type", "p_size")
 
 

@@ -1,6 +1,7 @@
 """All registered queries; importing the operators registers them."""
 
-from tessera.operators import assemble, keys, reports, views  # noqa: F401
+from tessera.operators import assemble, chunking, keys, reports, retrieval, statistics, vectors, views  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
+from tessera.streaming import incremental  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
