@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,6 +212,7 @@ def _send_contexts(batches, shards: int):
         for i in past:  # of earlier batches
             held.pop(i, None)
         past.clear()
+        batch = batch.filter(pc.is_valid(batch.column(2)))
         for i, keys in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             k = np.unique(np.array(keys, dtype=np.int64))
             held[i] = k[k >= 0], np.sort(-1 - k[k < 0])
@@ -356,7 +358,11 @@ def repeats_in_shard(text: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.nda
     return out
 
 
-def _settle(table: pa.Table) -> pa.Table:
+_SPANS = "part int, ids binary, starts binary, stops binary"
+
+
+def _settle(table: pa.Table, parts: int) -> pa.Table:
+    """Removed windows of a shard, packed by part of their documents."""
     rows = table.to_pylist()
     ids, starts, stops = [], [], []
     for r in rows:
@@ -374,21 +380,34 @@ def _settle(table: pa.Table) -> pa.Table:
         gone = np.flatnonzero(repeats_in_shard(text, n, own))
         context = np.repeat(np.arange(len(n)), n)[gone]
         place = gone - (np.cumsum(n) - n)[context]
-        new = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (context[1:] != context[:-1])]) if len(gone) else np.zeros(0, np.int64)
-        if len(new):
+        if len(gone):
+            new = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (context[1:] != context[:-1])])
             until = np.r_[new[1:], len(gone)] - 1
             ids.append(own[context[new]])
             starts.append(at[context[new]] + place[new])
             stops.append(at[context[new]] + place[until] + LENGTH)
-    none = np.zeros(0, dtype=np.int64)
-    cols = _lists(*(np.concatenate([none, *x]) for x in (ids, starts, stops)))
+    out = {"part": [], "ids": [], "starts": [], "stops": []}
+    if ids:
+        own, first, end = (np.concatenate(x) for x in (ids, starts, stops))
+        mixed = own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        for part, rows in _split((mixed % np.uint64(parts)).astype(np.int64), parts):
+            for column, value in zip(out.values(), (part, planes(own[rows], 8), planes(first[rows], 4), planes(end[rows], 4)), strict=True):
+                column.append(value)
+    return pa.table({n: pa.array(v, k.type) for (n, v), k in zip(out.items(), arrow_schema(_SPANS), strict=True)})
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    """One row a document, with all its removed windows."""
+    sizes = {"ids": 8, "starts": 4, "stops": 4}
+    cols = _lists(*(np.concatenate([from_planes(b, n) for b in table.column(c).to_pylist()]) for c, n in sizes.items()))
     return pa.table(cols, schema=arrow_schema("id bigint, starts array<bigint>, stops array<bigint>"))
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, text) of all documents, and (id, starts, stops) of removed windows (one row an
-    id, unsorted and overlapping)."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of all documents, with ``rest`` also a struct of all other columns, and
+    (id, starts, stops) of removed windows (one row an id, unsorted and overlapping)."""
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if rest else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *others)
     real = rows.where("id is not null and octet_length(text) >= %d" % LENGTH)
     marks = written(real.select("id", F.unhex(F.sha2("text", 256)).alias("sha")).distinct(), "marks")
     firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -397,11 +416,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = found.join(copies, "id", "left_anti").groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     total = found.select(F.sum(F.size("keys"))).first()[0] or 0
     shards = max(16, int(total * (LENGTH + WINDOW // 2) / SHARD_BYTES))
-    sent = rows.join(lists, "id").select("id", "text", "keys").mapInArrow(lambda b: _send_contexts(b, shards), _SENT)
-    spans = sent.groupBy("shard").applyInArrow(_settle, "id bigint, starts array<bigint>, stops array<bigint>")
+    parts = max(16, total // 500_000)
+    # a left join like the one with the spans below, so that both read one exchange of the texts
+    # (so the rest goes along, unread)
+    sent = rows.join(lists, "id", "left").select("id", "text", "keys", *rows.columns[2:]).mapInArrow(lambda b: _send_contexts(b, shards), _SENT)
+    packed = sent.groupBy("shard").applyInArrow(lambda t: _settle(t, parts), _SPANS)
+    spans = packed.groupBy("part").applyInArrow(_unpack, "id bigint, starts array<bigint>, stops array<bigint>")
     whole = copies.select("id", F.array(F.lit(0).cast("bigint")).alias("starts"), F.array(F.lit(_WHOLE).cast("bigint")).alias("stops"))
-    spans = spans.unionByName(whole).groupBy("id")
-    return rows, spans.agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
+    return rows, spans.unionByName(whole)
 
 
 def removed_mask(size: int, starts, stops) -> np.ndarray:
@@ -442,23 +464,14 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed bytes gone from the text; a character cut by a removal goes
     too. All other columns stay."""
-    _, spans = removed_spans(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
-    marks = {"id": "__span_id", "starts": "__span_starts", "stops": "__span_stops"}
-    spans = spans.withColumnsRenamed(marks)
-    joined = docs.join(spans, docs[id_col].cast("bigint") == spans["__span_id"], "left").drop("__span_id")
-    at = docs.columns.index(text_col)
+    rows, spans = removed_spans(docs, id_col, text_col, rest=True)
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch, text_col)
-            out = []
-            for text, starts, stops in zip(texts, batch.column("__span_starts").to_pylist(), batch.column("__span_stops").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                mask = removed_mask(len(raw), starts, stops)
-                out.append(np.frombuffer(raw, np.uint8)[~mask].tobytes().decode("utf-8", "ignore") if mask.any() else text)
-            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(docs_columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
-
-    docs_columns = docs.columns
-    return joined.mapInArrow(run, docs.schema)
+            texts = texts_of(batch)
+            kept = [t if not m.any() else np.frombuffer(raw, np.uint8)[~m].tobytes().decode("utf-8", "ignore") for t, (raw, m) in zip(texts, _each(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(1)], names=["text", "rest"])
+
+    joined = rows.join(spans, "id", "left").select("text", "rest", "starts", "stops")
+    out = joined.mapInArrow(run, joined.select("text", "rest").schema)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
