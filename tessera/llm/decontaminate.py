@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches, texts_of, written
 
-BUCKETS, SKETCH, RANK = 1 << 13, 80, 64
+BUCKETS, SKETCH, RANK = 1 << 13, 72, 64
 PASSAGE = 16
+#: Buckets in a larger share of all passages are stop words: they weigh nothing.
+COMMON = 0.02
 HALF = PASSAGE // 2
 #: Least cosine of a candidate; shares of an item's words that its subsequence must cover.
 COSINE, SURE, LIKELY, ANSWER = 0.5, 0.8, 0.6, 0.67
@@ -42,28 +44,29 @@ BLOCK_ITEMS, ITEM_WORDS = 5_000, 20_000
 #: Partial sums that one task adds up.
 FAN_IN = 64
 #: Passages compared at once in a task.
-GROUP = 8_192
+GROUP = 1_024
 _OTHER = re.compile(r"[\W_]+")
 
 
-class Words:
+class Words(dict):
     """Hashes of words, kept up to a bound. A word without letters or digits is 0."""
 
     KEPT = 1_000_000
 
-    def __init__(self):
-        self.index: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        plain = word if word.isalnum() else _OTHER.sub("", word)
+        value = self[word] = zlib.crc32(plain.encode("utf-8", "surrogatepass")) | 1 << 32 if plain else 0
+        return value
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.KEPT:
-            self.index.clear()
-        split = [t.lower().split() for t in texts]
-        for w in set().union(*split).difference(self.index):
-            plain = w if w.isalnum() else _OTHER.sub("", w)
-            self.index[w] = zlib.crc32(plain.encode("utf-8", "surrogatepass")) | 1 << 32 if plain else 0
-        get = self.index.__getitem__
-        found = (np.fromiter(map(get, w), dtype=np.int64, count=len(w)) for w in split)
-        return [h[h > 0].astype(np.uint32) for h in found]
+        out, get = [], self.__getitem__
+        for text in texts:
+            if len(self) > self.KEPT:
+                self.clear()
+            words = text.lower().split()
+            found = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
+            out.append((found if found.all() else found[found > 0]).astype(np.uint32))
+        return out
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,6 +102,14 @@ def once(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _sums(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of each row's vectors."""
+    out = vectors[rows[:, 0]]
+    for column in rows.T[1:]:
+        out += vectors[column]
+    return out
+
+
 def _summed(parts: DataFrame) -> np.ndarray:
     """Sum of packed float64 arrays (part, sums), in a tree of at most FAN_IN at a time."""
     kinds = arrow_schema("part bigint, sums binary")
@@ -164,14 +175,18 @@ def decompose(table: DataFrame, seed: int = 11) -> Latent:
     frequency = passage_frequency(table)
     # inverse document frequency as a root, which gives buckets of all frequencies one variance
     weight = np.r_[np.sqrt((frequency[-1] + 1) / (frequency[:-1] + 1)), 0.0]
+    weight[:-1][frequency[:-1] > COMMON * frequency[-1]] = 0.0
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((BUCKETS, SKETCH)))[0]
     sketch = np.vstack([weight[:-1, None] * omega, np.zeros(SKETCH)]).astype(np.float32)
 
+    stop = weight == 0
+
     def add(rows):
         rows = once(rows)
-        projected = sketch[rows].sum(1)  # A W for these passages
-        flat = rows.ravel()
-        return np.stack([np.bincount(flat, np.repeat(column, rows.shape[1]), BUCKETS + 1)[:BUCKETS] for column in projected.T.copy()], 1).ravel()
+        projected = _sums(sketch, rows)  # A W for these passages
+        kept = np.flatnonzero(~stop[rows])
+        buckets, passage = rows.ravel()[kept], kept // rows.shape[1]
+        return np.stack([np.bincount(buckets, column[passage], BUCKETS + 1)[:BUCKETS] for column in projected.T.copy()], 1).ravel()
 
     y = _partial_sums(table, BUCKETS * SKETCH, add).reshape(BUCKETS, SKETCH) * weight[:-1, None]
     # Nystroem: A'A is about Y (W'Y)^-1 Y', shifted to keep the factor positive definite
@@ -255,12 +270,13 @@ def search(table: DataFrame, items: Items, latent: Latent, item_kind: str) -> Da
         first_row = np.cumsum(n) - n
         best: dict[tuple[int, int, int], tuple[float, int]] = {}
         for at in range(0, len(rows), GROUP):
-            halves = terms[once(rows[at : at + GROUP + 1])].sum(1)
+            halves = _sums(terms, once(rows[at : at + GROUP + 1]))
             own = doc[at : at + GROUP + 1]
             both = halves.copy()
             both[:-1][own[1:] == own[:-1]] += halves[1:][own[1:] == own[:-1]]
             both = _unit(both[:GROUP] - mean)
-            near, which = np.nonzero((score := both @ items.vectors.T) >= COSINE)
+            score = both @ items.vectors.T
+            near, which = np.divmod(np.flatnonzero(score.ravel() >= COSINE), max(1, score.shape[1]))
             for p, q in zip(near.tolist(), which.tolist(), strict=True):
                 d, i = int(own[p]), int(items.item[q])
                 begin = int(at + p - first_row[d]) * HALF - int(items.start[q])
