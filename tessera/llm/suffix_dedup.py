@@ -39,9 +39,9 @@ from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches,
 LENGTH, GRAM = 50, 22
 WINDOW = LENGTH - GRAM + 1
 HOT = 20_000
-#: Bytes of text that one task handles at once, and that it gathers results of before it
-#: sends them; anchors and context bytes of a range or shard.
-CHUNK, GATHER, RANGE_ANCHORS, SHARD_BYTES = 512 << 10, 8 << 20, 300_000, 1 << 20
+#: Bytes of text that one task handles at once, and of text and contexts that it gathers
+#: results of before it sends them; anchors and context bytes of a range or shard.
+CHUNK, GATHER, GATHER_CONTEXTS, RANGE_ANCHORS, SHARD_BYTES = 256 << 10, 8 << 20, 1 << 20, 300_000, 512 << 10
 _KEY_BITS = 40
 _WHOLE = 1 << 30
 
@@ -200,7 +200,9 @@ def _isin_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-_SENT = "shard int, text binary, windows binary, ids binary, starts binary, settled binary"
+#: Of a shard: the bytes of its contexts end to end; of each context the windows, the id and
+#: how often it stands in that document; all its starts there. Settled ones have no text.
+_SENT = "shard int, text binary, windows binary, ids binary, times binary, starts binary"
 
 
 def _send_contexts(batches, shards: int):
@@ -230,16 +232,19 @@ def _send_contexts(batches, shards: int):
         a, b, c = n[order], head[order], tail[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
         least = own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        settled, sent = order[own[order] > least], order[own[order] == least]
+        kept = order[own[order] == least]  # rows of one context are neighbours, all of one id
+        first = np.flatnonzero(new[own[order] == least])
+        times = np.diff(np.r_[first, len(kept)])
+        sent, settled = kept[first], order[own[order] > least]
         out = {f.name: [] for f in kinds}
         for shard, rows in _split(spread[sent] * shards >> _KEY_BITS, shards):
-            rows = sent[rows]
-            size = n[rows] + LENGTH - 1
-            at = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            _row(out, shard, text[at].tobytes(), n[rows], own[rows], place[rows], False)
+            size = n[sent[rows]] + LENGTH - 1
+            where = text[_ranges(begin[sent[rows]], size)].tobytes()
+            places = place[kept[_ranges(first[rows], times[rows])]]
+            _row(out, shard, where, n[sent[rows]], own[sent[rows]], times[rows], places)
         for shard, rows in _split(own[settled] % shards, shards):
             rows = settled[rows]
-            _row(out, shard, b"", n[rows], own[rows], place[rows], True)
+            _row(out, shard, b"", n[rows], own[rows], np.ones(len(rows), np.int64), place[rows])
         gathered.clear()
         texts.clear()
         return as_batch(out, kinds)
@@ -249,25 +254,28 @@ def _send_contexts(batches, shards: int):
         doc, start, n, spread, whole = contexts(data, ends, [held[i][0] for i in ids.tolist()], [held[i][1] for i in ids.tolist()])
         past.update(ids.tolist())
         if len(start):
-            long = n + LENGTH - 1
-            at = np.repeat(start - (np.cumsum(long) - long), long) + np.arange(long.sum())
-            texts.append(data[at])
+            texts.append(data[_ranges(start, n + LENGTH - 1)])
             begin = np.r_[0, ends[:-1]]
             gathered.append((n, ids[doc], start - begin[doc], spread, whole[start], whole[start + n - 1]))
-            size += len(at)
-        if size >= GATHER // 2:
+            size += len(texts[-1])
+        if size >= GATHER_CONTEXTS:
             yield flush()
             size = 0
     if gathered:
         yield flush()
 
 
-def _row(out, shard, text, n, ids, starts, settled):
-    row = (shard, text, n.astype(np.uint8).tobytes(), planes(ids, 8), planes(starts, 4), b"1" if settled else b"")
+def _row(out, shard, text, n, ids, times, starts):
+    row = (shard, text, n.astype(np.uint8).tobytes(), planes(ids, 8), planes(times, 4), planes(starts, 4))
     for column, value in zip(out.values(), row, strict=True):
         column.append(value)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def suffix_order(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """The wanted suffixes of ``text`` in order of their first ``depth`` bytes, by two-stage
     sorting. ``text`` is strings laid end to end, ``ends`` the end of each (sorted); a suffix
@@ -363,29 +371,31 @@ _SPANS = "part int, ids binary, starts binary, stops binary"
 
 def _settle(table: pa.Table, parts: int) -> pa.Table:
     """Removed windows of a shard, packed by part of their documents."""
-    rows = table.to_pylist()
     ids, starts, stops = [], [], []
-    for r in rows:
-        if r["settled"]:
-            n, at = np.frombuffer(r["windows"], np.uint8), from_planes(r["starts"], 4)
-            ids.append(from_planes(r["ids"], 8))
+    texts, counts, owned, often, places = [], [], [], [], []
+    for r in table.to_pylist():
+        n, own = np.frombuffer(r["windows"], np.uint8).astype(np.int64), from_planes(r["ids"], 8)
+        at = from_planes(r["starts"], 4)
+        if r["text"]:
+            for column, value in zip((texts, counts, owned, often, places), (r["text"], n, own, from_planes(r["times"], 4), at), strict=True):
+                column.append(value)
+        else:
+            ids.append(own)
             starts.append(at)
             stops.append(at + n + LENGTH - 1)
-    rows = [r for r in rows if not r["settled"]]
-    if rows:
-        text = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
-        n = np.concatenate([np.frombuffer(r["windows"], np.uint8) for r in rows]).astype(np.int64)
-        own = np.concatenate([from_planes(r["ids"], 8) for r in rows])
-        at = np.concatenate([from_planes(r["starts"], 4) for r in rows])
-        gone = np.flatnonzero(repeats_in_shard(text, n, own))
+    if texts:
+        n, own, times, at = (np.concatenate(c) for c in (counts, owned, often, places))
+        gone = np.flatnonzero(repeats_in_shard(np.frombuffer(b"".join(texts), np.uint8), n, own))
         context = np.repeat(np.arange(len(n)), n)[gone]
         place = gone - (np.cumsum(n) - n)[context]
         if len(gone):
             new = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (context[1:] != context[:-1])])
             until = np.r_[new[1:], len(gone)] - 1
-            ids.append(own[context[new]])
-            starts.append(at[context[new]] + place[new])
-            stops.append(at[context[new]] + place[until] + LENGTH)
+            c = context[new]  # each run of windows, at each start of its context
+            begin = at[_ranges((np.cumsum(times) - times)[c], times[c])]
+            ids.append(np.repeat(own[c], times[c]))
+            starts.append(begin + np.repeat(place[new], times[c]))
+            stops.append(begin + np.repeat(place[until] + LENGTH, times[c]))
     out = {"part": [], "ids": [], "starts": [], "stops": []}
     if ids:
         own, first, end = (np.concatenate(x) for x in (ids, starts, stops))
