@@ -329,12 +329,12 @@ def decode_frames(bits: Bits, starts: np.ndarray, samples: np.ndarray) -> tuple[
             at[has] += p
     coded = np.flatnonzero(linear | fixed)
     if len(coded):
-        residual, at[coded] = rice_residuals(bits, at[coded], samples[coded], order[coded])
+        residual, at[coded] = rice_residuals(bits, at[coded], samples[coded], order[coded], width)
         restore(out, coded, residual, order, samples, linear, coefficients, shift)
     return out, at
 
 
-def rice_residuals(bits: Bits, at: np.ndarray, samples: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rice_residuals(bits: Bits, at: np.ndarray, samples: np.ndarray, order: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
     """Residuals of all lanes, placed from each lane's order on."""
     method, parts = bits.read(at, 2), bits.read(at + 2, 4)
     if (method > 1).any():
@@ -343,7 +343,7 @@ def rice_residuals(bits: Bits, at: np.ndarray, samples: np.ndarray, order: np.nd
     count = samples - order
     sort = np.argsort(-count, kind="stable")
     at, width, parts, part_size, order, count = at[sort], 4 + method[sort], parts[sort], samples[sort] >> parts[sort], order[sort], count[sort]
-    out = np.zeros((len(at), int(samples.max())), dtype=np.int64)
+    out = np.zeros((len(at), columns), dtype=np.int64)
     boundary = np.zeros(len(at), dtype=np.int64)  # residual number at which a partition begins
     k, escape = np.zeros(len(at), dtype=np.int64), np.full(len(at), -1)
     active = len(count) - np.searchsorted(count[::-1], np.arange(int(count.max())), "right")
