@@ -133,6 +133,8 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         if keys:
             yield flush()
 
+    packed = arrow_schema("part int, keys binary, ids binary")
+
     def repeated(table: pa.Table) -> pa.Table:
         key = np.concatenate([from_planes(b, 5) for b in table.column("keys").to_pylist()])
         ids = np.concatenate([from_planes(b, 8) for b in table.column("ids").to_pylist()])
@@ -143,11 +145,28 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         docs = np.repeat(n := np.diff(np.r_[first, len(key)]), n)
         key, ids, hot = key[docs > 1], ids[docs > 1], docs[docs > 1] > HOT
-        cols = _lists(ids, np.where(hot, -1 - key, key))
+        out = {"part": [], "keys": [], "ids": []}
+        for part, own in _split(_part(ids, ranges), ranges):
+            out["part"].append(part)
+            out["keys"].append(planes(key[own] << 1 | hot[own], 6))
+            out["ids"].append(planes(ids[own], 8))
+        return pa.table({n: pa.array(v, f.type) for (n, v), f in zip(out.items(), packed, strict=True)})
+
+    def by_document(table: pa.Table) -> pa.Table:
+        key = np.concatenate([from_planes(b, 6) for b in table.column("keys").to_pylist()])
+        ids = np.concatenate([from_planes(b, 8) for b in table.column("ids").to_pylist()])
+        cols = _lists(ids, np.where(key & 1, -1 - (key >> 1), key >> 1))
         return pa.table(cols, schema=arrow_schema("id bigint, keys array<bigint>"))
 
-    sent = rows.mapInArrow(send, "part int, keys binary, ids binary")
-    return sent.groupBy("part").applyInArrow(repeated, "id bigint, keys array<bigint>")
+    kind = "part int, keys binary, ids binary"
+    found = rows.mapInArrow(send, kind).groupBy("part").applyInArrow(repeated, kind)
+    return found.groupBy("part").applyInArrow(by_document, "id bigint, keys array<bigint>")
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    """A part number for each document."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return (mixed % np.uint64(parts)).astype(np.int64)
 
 
 def owners(hashes: np.ndarray) -> np.ndarray:
@@ -399,8 +418,7 @@ def _settle(table: pa.Table, parts: int) -> pa.Table:
     out = {"part": [], "ids": [], "starts": [], "stops": []}
     if ids:
         own, first, end = (np.concatenate(x) for x in (ids, starts, stops))
-        mixed = own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        for part, rows in _split((mixed % np.uint64(parts)).astype(np.int64), parts):
+        for part, rows in _split(_part(own, parts), parts):
             for column, value in zip(out.values(), (part, planes(own[rows], 8), planes(first[rows], 4), planes(end[rows], 4)), strict=True):
                 column.append(value)
     return pa.table({n: pa.array(v, k.type) for (n, v), k in zip(out.items(), arrow_schema(_SPANS), strict=True)})
@@ -423,7 +441,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = written(marks.join(firsts, "sha").where("id > first").select("id").distinct(), "copies")
     found = written(repeated_anchors(real), "anchors")
-    lists = found.join(copies, "id", "left_anti").groupBy("id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    lists = found.join(copies, "id", "left_anti")
     total = found.select(F.sum(F.size("keys"))).first()[0] or 0
     shards = max(16, int(total * (LENGTH + WINDOW // 2) / SHARD_BYTES))
     parts = max(16, total // 500_000)
