@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans.all import QUERIES, SQL
@@ -20,7 +21,7 @@ def oracle():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, (list, np.ndarray)):
         return [plain(x) for x in v]

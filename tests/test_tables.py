@@ -138,3 +138,38 @@ def test_neighbours_of_few_rows(spark, size):
     rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(size)], "vec_id bigint, v array<double>")
     found = vectors.neighbours(rows, rows.where("vec_id = 0"), "vec_id", "v", 5)
     assert [r.vec_id for r in found.orderBy("rank").collect()] == ([1, 2] if size else [])
+
+
+def test_gold_queries_and_their_issues(spark, tmp_path):
+    from tessera.operators import records
+
+    path = tmp_path / "gold.yaml"
+    path.write_text(
+        "queries:\n- {id: a, query: x, difficulty: easy, ground_truth: {expected_report_ids: [r1]}}\n"
+        "- {id: b, query: '', difficulty: odd, ground_truth: {relevance_signals: []}}\n"
+    )
+    found = {(r.id, r.issue) for r in records.gold_issues(records.read_gold(spark, str(path))).collect()}
+    assert found == {("b", "missing query"), ("b", "unknown difficulty"), ("b", "no ground truth")}
+
+
+def test_ocr_statistics_count_words_only(spark):
+    from tessera.operators import records
+
+    rows = [(1, 5, "word", 90.0), (1, 5, "dim", 40.0), (1, 5, " ", 10.0), (1, 4, "line", 80.0), (1, 5, "none", -1.0), (2, 5, "", 50.0)]
+    got = {r.p: r for r in records.ocr_statistics(spark.createDataFrame(rows, "p int, level int, text string, conf double"), ["p"]).collect()}
+    assert (got[1].mean_confidence, got[1].low_confidence_words, got[1].total_words) == (65.0, 1, 2)
+    assert (got[2].mean_confidence, got[2].total_words) == (0.0, 0)
+    bands = spark.createDataFrame([(85.0,), (60.0,), (1.0,), (None,)], "c double").select(records.ocr_band(F.col("c"))).collect()
+    assert [b[0] for b in bands] == ["good", "acceptable", "poor", None]
+
+
+def test_page_documents_and_collections(spark, tmp_path):
+    from tessera.operators import records
+
+    pages = spark.createDataFrame([("r.pdf", 3, "some text")], "r string, p int, t string")
+    row = records.page_documents(pages, "r", "p", "t", "embedded").first()
+    assert row.name == "r.pdf_page_0003.json" and json.loads(row.body)["quality_metrics"]["reason"] == "too_short"
+    vectors = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [2.0])], "k int, v array<double>")
+    assert records.write_collection(vectors, str(tmp_path / "c"), "k") == 2
+    arrays = spark.createDataFrame([(1, ["x"])], "k int, tags array<string>")
+    assert {r.k: r.tags for r in records.enrich_collection(vectors, arrays, "k").collect()} == {1: ["x"], 2: []}
