@@ -7,6 +7,8 @@ keeps only the best of its rows for each query before anything is shuffled.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -159,6 +161,55 @@ def vec_rollup_report(spark, sf_dir):
 CHILDREN = "SELECT label, vec_id % 3 AS part, list(x ORDER BY pos) AS v FROM (SELECT label, vec_id % 3 AS vec_id, pos, avg(embedding[pos]::DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(pos) GROUP BY ALL) GROUP BY ALL"
 
 
+def assign_children(vectors: DataFrame, key: str, embedding: str, parents: tuple[list, np.ndarray], children: tuple[list, list, np.ndarray], bounds: "Bounds") -> DataFrame:
+    """(key, parent, child, similarity, combined, rank): for each of a vector's parent
+    categories the best of that parent's children, ranked before the thresholds. Both levels
+    are small sides, so one pass over the rows does it all, without a join."""
+    unit, kids = _guarded(parents[1]), _guarded(children[2])
+    own = {p: np.array([i for i, q in enumerate(children[1]) if q == p], dtype=np.int64) for p in parents[0]}
+    rows = vectors.select(F.col(key).alias("id"), F.col(embedding).alias("v"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            v = _guarded(_vectors(batch, unit.shape[1]))
+            above = v @ unit.T
+            order = (unit.shape[0] - 1 - np.argsort(-above[:, ::-1], axis=1, kind="stable"))[:, : bounds.parents]
+            out = {n: [] for n in ("row", "parent", "child", "similarity", "combined", "rank")}
+            for p, name in enumerate(parents[0]):
+                at = np.flatnonzero((order == p).any(1) & (above[:, p] >= bounds.parent))
+                if not len(at) or not len(own[name]):
+                    continue
+                below = v[at] @ kids[own[name]].T
+                best = (len(own[name]) - 1 - np.argsort(-np.round(below[:, ::-1], 9), axis=1, kind="stable"))[:, : bounds.children]
+                similar = np.take_along_axis(below, best, 1)
+                both = similar * above[at, p][:, None]
+                r, c = np.nonzero((similar >= bounds.child) & (both >= bounds.combined))
+                found = (at[r], np.full(len(r), name), np.array(children[0])[own[name][best[r, c]]], similar[r, c], both[r, c], c + 1)
+                for column, value in zip(out.values(), found, strict=True):
+                    column.append(value)
+            joined = {n: np.concatenate(x) if x else np.zeros(0) for n, x in out.items()}
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column(0).take(pa.array(joined["row"].astype(np.int64))),
+                **{n: pa.array(joined[n].astype(np.int64)) for n in ("parent", "child")},
+                **{n: pa.array(joined[n].astype(np.float64)) for n in ("similarity", "combined")}, "rank": pa.array(joined["rank"].astype(np.int64)),
+            })
+
+    schema = f"id {kind}, parent bigint, child bigint, similarity double, combined double, rank bigint"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", key)
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """How many of each level are kept, and the least similarities."""
+
+    parents: int
+    parent: float
+    children: int
+    child: float
+    combined: float
+
+
 @query(f"""WITH l1 AS {ASSIGNED}, kids AS ({CHILDREN}), s AS (SELECT l1.vec_id, l1.category::BIGINT AS parent, k.label * 10 + k.part AS child, l1.similarity AS p, {COSINE.format(a='e.embedding::DOUBLE[]', b='k.v')} AS c
     FROM l1 JOIN embeddings AS e USING (vec_id) JOIN kids AS k ON k.label = l1.category), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, parent ORDER BY round(c, 9) DESC, child DESC) AS rank FROM s)
     SELECT vec_id, parent, child::BIGINT AS child, round(c, 6) AS similarity, round(p * c, 6) AS combined, rank FROM r WHERE rank <= {TOP_TWO} AND c >= {LEAST_TWO} AND p * c >= {LEAST_BOTH}""")
@@ -167,15 +218,10 @@ def vec_assign_l2(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     child = (F.col("label") * 10 + F.col("vec_id") % 3).cast("bigint").alias("child")
     names, matrix = small_matrix(centroids(rows.select(child, "embedding"), "child", "embedding"), "child", "vector")
-    every = assign(rows, "vec_id", "embedding", names, matrix, len(names), -2.0).withColumn("parent", F.floor(F.col("category") / 10))
-    parents = level_one(spark, sf_dir).select("vec_id", F.col("category").alias("parent"), F.col("similarity").alias("above"))
-    both = every.drop("rank").join(parents, ["vec_id", "parent"])
-    w = Window.partitionBy("vec_id", "parent").orderBy(F.round("similarity", 9).desc(), F.desc("category"))
-    both = both.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= TOP_TWO)
-    product = F.col("above") * F.col("similarity")
-    return both.where((F.col("similarity") >= LEAST_TWO) & (product >= LEAST_BOTH)).select(
-        "vec_id", "parent", F.col("category").alias("child"), F.round("similarity", 6).alias("similarity"), F.round(product, 6).alias("combined"), "rank"
-    )
+    parents = small_matrix(centroids(rows, "label", "embedding"), "label", "vector")
+    bounds = Bounds(TOP_ONE, LEAST_ONE, TOP_TWO, LEAST_TWO, LEAST_BOTH)
+    found = assign_children(rows, "vec_id", "embedding", parents, (names, [n // 10 for n in names], matrix), bounds)
+    return found.withColumns({"similarity": F.round("similarity", 6), "combined": F.round("combined", 6)})
 
 
 NEIGHBOURS = f"""(SELECT query, vec_id, s AS similarity, n AS rank FROM (SELECT q.vec_id AS query, e.vec_id, round({COSINE.format(a='q.embedding::DOUBLE[]', b='e.embedding::DOUBLE[]')}, 9) AS s,
