@@ -182,5 +182,31 @@ def test_pages_of_bytes():
     assert (D.from_planes(D.planes(-values, 8), 8) == -values).all()
 
 
-def test_schema_is_the_one_of_the_helper():
-    assert "doc_id bigint" in SCHEMA
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_similar_groups_join_copies_and_leave_others(spark):
+    rng = random.Random(9)
+    texts = [words_text(rng, 200, 2000) for _ in range(120)]
+    for i in range(40):  # near copies: a few words changed
+        words = texts[i].split()
+        for at in rng.sample(range(len(words)), 2):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0].upper()]
+    got = {r.doc_id: r.component_id for r in H.similar_groups(spark.createDataFrame(list(enumerate(texts)), SCHEMA.split(", lang")[0])).collect()}
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert alike < 0.8 or got[i] == got[j]
+            assert alike > 0.3 or got[i] != got[j]
+    assert all(c == min(k for k in got if got[k] == c) for c in got.values())
+
+
+def test_similar_groups_of_awkward_rows(spark):
+    got = {r.doc_id: r.component_id for r in H.similar_groups(awkward(spark)).collect()}
+    assert got[0] == got[1] == got[2] == 0 and got[6] == got[5] == 5 and None not in got
+    assert H.similar_groups(nothing(spark)).count() == 0
