@@ -116,9 +116,14 @@ def sparse(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(labels: DataFrame, label: Column, id_col: str = "doc_id", rows: int = SAMPLE) -> DataFrame:
-    """(key, label) of at most ``rows`` labelled ids, those of least hash."""
+    """(key, label) of at most ``rows`` labelled ids, those of least hash. Where there are
+    more, a hash threshold passes on about that many, so no task gathers more than that."""
     known = labels.select(F.col(id_col).alias("key"), label.cast("double").alias("label")).dropna()
-    return known.orderBy(F.xxhash64("key"), "key", "label").limit(rows)
+    n, span = known.count(), 1 << 40
+    if n > rows:
+        most = int(span * rows / n)
+        known = known.where(F.pmod(F.xxhash64("key"), F.lit(span)) < most)
+    return known.orderBy(F.pmod(F.xxhash64("key"), F.lit(span)), "key", "label").limit(rows)
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
