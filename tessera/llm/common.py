@@ -13,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 2000
 
 _own_folder: str | None = None
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """State that a Python worker keeps from task to task, of one operator at a time: what
+    another one has kept is let go first."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Let go of what earlier tasks of this worker have kept."""
+    _kept.clear()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,12 +66,15 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches; it may return a dict of columns in the schema's order."""
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, keep: bool = False) -> DataFrame:
+    """``fn`` over Arrow batches; it may return a dict of columns in the schema's order.
+    ``keep``: it uses state that the worker has ``kept``."""
     small_batches(df.sparkSession)
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            release()
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches, texts_of
+from tessera.llm.common import arrow_schema, as_batch, map_rows, release, small_batches, texts_of
 
 BUCKETS = 1 << 14
 #: Cost, in log probability of a word, of a switch of language between two words.
@@ -81,6 +81,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     kinds = arrow_schema("lang string, bucket int, n bigint")
 
     def partial(batches):
+        release()
         sums: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -273,6 +274,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str =
     small_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         labeller = Labeller(shared.value)
         for batch in batches:
             found = [verdict(shared.value, *x) for x in labeller.label(texts_of(batch, text_col))]

@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches, texts_of, written
-
-_encoders: dict[int, "Encoder"] = {}
+from tessera.llm.common import arrow_schema, as_batch, kept, map_rows, small_batches, texts_of, written
 
 
 class Encoder:
@@ -67,10 +65,7 @@ class Encoder:
 
 
 def encoder_for(vocabulary: bytes) -> Encoder:
-    key = hash(vocabulary)
-    if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
+    return kept(f"encoder-{hash(vocabulary)}", lambda: Encoder(vocabulary))
 
 
 @dataclass

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import anchors, gram_hashes
-from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches, texts_of, written
+from tessera.llm.common import arrow_schema, as_batch, map_rows, release, small_batches, texts_of, written
 
 LENGTH, GRAM = 50, 22
 WINDOW = LENGTH - GRAM + 1
@@ -61,6 +61,7 @@ def from_planes(raw: bytes, size: int) -> np.ndarray:
 
 def chunks(batches):
     """(ids, bytes, ends) of documents of at least LENGTH bytes, some CHUNK bytes at a time."""
+    release()
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
@@ -390,6 +391,7 @@ _SPANS = "part int, ids binary, starts binary, stops binary"
 
 def _settle(table: pa.Table, parts: int) -> pa.Table:
     """Removed windows of a shard, packed by part of their documents."""
+    release()
     ids, starts, stops = [], [], []
     texts, counts, owned, often, places = [], [], [], [], []
     for r in table.to_pylist():

@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import map_rows, texts_of
-
-_counters: dict[int, "TokenCounter"] = {}
+from tessera.llm.common import kept, map_rows, texts_of
 
 
 class TokenCounter:
@@ -49,10 +47,7 @@ class TokenCounter:
 
 def counter_for(vocabulary: bytes) -> TokenCounter:
     """One counter for each vocabulary and Python worker."""
-    key = hash(vocabulary)
-    if key not in _counters:
-        _counters[key] = TokenCounter(vocabulary)
-    return _counters[key]
+    return kept(f"counter-{hash(vocabulary)}", lambda: TokenCounter(vocabulary))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,5 +63,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = map_rows(rows, count, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = map_rows(rows, count, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", keep=True)
     return out.withColumnRenamed("id", id_col)
