@@ -18,7 +18,6 @@ an empty table gives no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -46,11 +45,10 @@ SCRIPT_ENDS = (
 SCRIPTS = sorted({s for _, s in SCRIPT_ENDS})
 _ENDS = np.array([e for e, _ in SCRIPT_ENDS])
 _SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in SCRIPT_ENDS])
-_OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters_of(word: str) -> str:
-    return word if word.isalpha() else _OTHER.sub("", word)
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
