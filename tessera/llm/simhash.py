@@ -221,120 +221,170 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", t
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprint words of ``similar_groups``; bits, of two words, in which its links may differ.
-WORDS, SIMILAR_BITS = 6, 24
-_MIX = [(0x9E3779B97F4A7C15 * (2 * w + 1)) % (1 << 64) for w in range(WORDS)]
+#: Bands of ``similar_groups`` and the minimum hashes of one; least similarity, as a fraction.
+BANDS, BAND_ROWS = 46, 7
+SIMILAR = (4, 5)
+#: Larger groups of a band are first compared with one member only.
+PAIRED = 8
+#: Pairs that one copy of a shingle set is compared in.
+PAIRS_A_COPY = 256
+_SEEDS = np.random.default_rng(17).integers(0, 1 << 32, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.array([[[0]], [[1]]], np.uint32)
 
 
-def wide_fingerprint(text: str, shingle: int = 5) -> np.ndarray:
-    """WORDS independent 64-bit fingerprints of a whole text, from one hash a shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def normal_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the word shingles, each once; fewer words make one shingle."""
     if not words:
-        return np.zeros(WORDS, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0, *[e + 1 for e in ends]]
     last = ends[shingle - 1 :] or ends[-1:]
-    hashes = np.array([digest(joined[a:b]) for a, b in zip(starts, last, strict=False)], dtype=np.uint64)
-    out = np.zeros(WORDS, dtype=np.uint64)
-    for w, m in enumerate(_MIX):
-        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(m)
-        by_byte = (mixed ^ (mixed >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
-        counts = np.concatenate([np.bincount(by_byte[:, j], minlength=256) @ _BITS for j in range(8)])
-        out[w] = int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
-    return out
-
-
-def _lean_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``fuzzy_keys``, but one of the two segments gives its nearest codeword only."""
-    found = [golay.keys((fps >> np.uint64(at)) & np.uint64((1 << n) - 1)) for at, n in SEGMENTS]
-    lean = (np.arange(6)[:, None] == 0) | (np.arange(6)[None, :] == 0)
-    keys, rows = [], []
-    for which, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        a, b = found[i][:, :, None], found[j][:, None, :]
-        good = (a >= 0) & (b >= 0) & lean
-        keys.append(((which << 24) | (a << 12) | b)[good].astype(np.uint32))
-        rows.append(np.nonzero(good)[0])
-    return np.concatenate(keys), np.concatenate(rows)
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, last, strict=False)], dtype=np.uint64))
 
 
-_WIDE = "part int, keys binary, own binary, next binary, ids binary"
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the least values of the set under BAND_ROWS permutations."""
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, ((short[at : at + 1024] ^ _SEEDS[0]) * _SEEDS[1]).min(1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
 
 
-def _packed_wide(batches, ranges: int):
-    kinds = arrow_schema(_WIDE)
+def _packed_bands(batches, ranges: int):
+    kinds = arrow_schema("part int, keys binary, ids binary")
     for batch in batches:
-        fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, WORDS)
-        ids = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        ids = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
+        part = spread(keys, ranges)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(ranges + 1))
         out = {f.name: [] for f in kinds}
-        for w in range(WORDS):
-            keys, rows = _lean_keys(fps[:, w])
-            keys |= np.uint32(w << 26)
-            part = spread(keys, ranges)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(ranges + 1))
-            for r in np.flatnonzero(np.diff(edges)):
-                own = order[edges[r] : edges[r + 1]]
-                who = rows[own]
-                values = (int(r), keys[own].tobytes(), fps[who, w].tobytes(), fps[who, (w + 1) % WORDS].tobytes(), ids[who].tobytes())
-                for column, value in zip(out.values(), values, strict=True):
-                    column.append(value)
+        for r in np.flatnonzero(np.diff(edges)):
+            own = order[edges[r] : edges[r + 1]]
+            for column, value in zip(out.values(), (int(r), keys[own].tobytes(), ids[own].tobytes()), strict=True):
+                column.append(value)
         yield as_batch(out, kinds)
 
 
-def _wide_links(table: pa.Table) -> pa.Table:
-    """Links (a, b) of ids that connect what is similar within each key of a range."""
+_FOUND = "a bigint, b bigint, key bigint"
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs (a, b) of ids to compare in a range of keys: all of a small group, those with
+    the smallest id in a larger one, whose members are also given, as (id, null, key)."""
     read = lambda c, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in table.column(c).to_pylist()])
-    keys, own, other, ids = read("keys", np.uint32), read("own", np.uint64), read("next", np.uint64), read("ids", np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, own, other, ids = keys[order], own[order], other[order], ids[order]
+    keys, ids = read("keys", np.int64), read("ids", np.int64)
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
+    keys, ids = keys[new], ids[new]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[first, len(keys)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def near(x, y):
-        return np.bitwise_count(own[x] ^ own[y]).astype(np.int64) + np.bitwise_count(other[x] ^ other[y]) <= SIMILAR_BITS
-
-    for n in np.unique(size[(size > 1) & (size <= 12)]):  # small groups of one size at once
+    for n in range(2, PAIRED + 1):
         at = first[size == n]
         for i, j in combinations(range(n), 2):
-            good = at[near(at + i, at + j)]
-            a.append(ids[good + i])
-            b.append(ids[good + j])
-    for at, n in zip(first[size > 12].tolist(), size[size > 12].tolist(), strict=True):
-        left = np.arange(at, at + n)
-        while len(left) > 1:  # a spanning forest: each step looks from one member at all that are left
-            root, queue, left = left[0], [left[0]], left[1:]
-            while queue and len(left):
-                good = near(queue.pop(), left)
-                queue.extend(left[good])
-                a.append(np.full(int(good.sum()), ids[root]))
-                b.append(ids[left[good]])
-                left = left[~good]
+            a.append(ids[at + i])
+            b.append(ids[at + j])
+    big = np.repeat(size > PAIRED, size)
+    root = np.repeat(ids[first], size)
+    a.append(root[big])
+    b.append(ids[big])
     pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1)
-    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=arrow_schema("a bigint, b bigint"))
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    none, n = np.zeros(0, np.int64), int(big.sum())
+    kinds = arrow_schema(_FOUND)
+    members = {"a": pa.array(ids[big]), "b": pa.nulls(n, pa.int64()), "key": pa.array(keys[big])}
+    paired = {"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "key": pa.nulls(len(pairs), pa.int64())}
+    return pa.concat_tables([pa.table(paired, schema=kinds), pa.table(members, schema=kinds), pa.table({"a": none, "b": none, "key": none}, schema=kinds)])
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets have at least SIMILAR of their union in common."""
+    part, whole = SIMILAR
+    if min(len(x), len(y)) * whole < max(len(x), len(y)) * part:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common * whole >= (len(both) - common) * part
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, of ``sets`` (id, hashes), are alike. An id in many
+    pairs as ``a`` has its set copied, so that its pairs are dealt over tasks."""
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1")
+    dealt = pairs.join(copies, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
+    firsts = sets.withColumnsRenamed({"id": "a", "hashes": "x"}).join(copies, "a", "left")
+    firsts = firsts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    joined = dealt.drop("copies").join(sets.withColumnsRenamed({"id": "b", "hashes": "y"}), "b").join(firsts, ["a", "copy"])
 
+    def run(batch):
+        x, y = (batch.column(i).to_pylist() for i in (2, 3))
+        good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+        kept = np.flatnonzero(good)
+        return {"a": batch.column(0).take(pa.array(kept)), "b": batch.column(1).take(pa.array(kept))}
 
-def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): groups of texts whose shingle sets are alike by 0.8 or more.
+    return map_rows(joined.select("a", "b", "x", "y"), run, "a bigint, b bigint")
+
+
+def _across(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (key, id) of one key but not of one component."""
+    named = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tally = named.groupBy("key", "component").count().groupBy("key")
+    tally = tally.agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    split = written(named.join(tally.select("key", F.col("most.component").alias("main")), "key"), "split")
+    other = split.where("component != main").select("key", F.col("id").alias("a"), F.col("component").alias("of"))
+    pairs = other.join(split, "key").where("component != of and (component = main or id < a)")
+    return pairs.select("a", F.col("id").alias("b")).distinct()
 
-    Such texts differ in about a seventh of the bits, too many for one fingerprint within
-    MAX_BITS. So WORDS fingerprints give keys, each of two segments, and two words of those
-    that meet are compared. At 0.8 about three quarters of the pairs meet, at 0.85 nineteen
-    of twenty, and nearly all above; groups also join through others. Ids are integers.
+
+def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): groups of texts linked by shingle sets alike by SIMILAR or more.
+
+    Texts of equal words become one row. A set's minimum hashes under BANDS x BAND_ROWS
+    permutations give a key a band; texts of similarity s share one with probability
+    1 - (1 - s^7)^46, 0.99998 at 0.8. Pairs that meet are links only if their whole shingle
+    sets, written once by id, are alike by SIMILAR. Groups of over PAIRED texts are compared
+    with their smallest id first; then all their members in different components are
+    compared with each other, so no link between components is left out. Ids are integers.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def run(batch):
-        return {"id": batch.column(0), "fp": [wide_fingerprint(t, shingle).tobytes() for t in texts_of(batch)]}
-
-    marked = written(map_rows(rows, run, "id bigint, fp binary"), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    ranges = max(16, -(-distinct.count() * 60 * WORDS // RANGE_ROWS))
-    keyed = distinct.select("fp", "least").mapInArrow(lambda b: _packed_wide(b, ranges), _WIDE)
-    grouped = components(keyed.groupBy("part").applyInArrow(_wide_links, "a bigint, b bigint").distinct())
+        words = [normal_words(t) for t in texts_of(batch)]
+        keys = [band_keys(shingle_set(w, shingle)).tobytes() for w in words]
+        return {"id": batch.column(0), "fp": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "keys": keys}
+
+    marked = written(map_rows(rows, run, "id bigint, fp binary, keys binary"), "bands")
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "distinct")
+    ranges = max(16, -(-distinct.count() * BANDS // RANGE_ROWS))
+    keyed = distinct.select("keys", "least").mapInArrow(lambda b: _packed_bands(b, ranges), "part int, keys binary, ids binary")
+    found = written(keyed.groupBy("part").applyInArrow(_candidates, _FOUND), "found")
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def sets_of(batch):
+        return {"id": batch.column(0), "hashes": [shingle_set(normal_words(t), shingle).tobytes() for t in texts_of(batch)]}
+
+    sets = written(map_rows(rows.join(needed, "id"), sets_of, "id bigint, hashes binary"), "sets")
+    links = written(verified(pairs, sets), "links")
+    grouped = components(links)
+    across = written(_across(found.where("b is null").select("key", F.col("a").alias("id")), grouped), "across")
+    if not across.isEmpty():
+        more = written(verified(across, sets), "links")
+        if not more.isEmpty():
+            grouped = components(links.unionByName(more))
     named = distinct.join(grouped.withColumnRenamed("node", "least"), "least", "left")
     named = named.select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+    return marked.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")

@@ -210,3 +210,27 @@ def test_similar_groups_of_awkward_rows(spark):
     got = {r.doc_id: r.component_id for r in H.similar_groups(awkward(spark)).collect()}
     assert got[0] == got[1] == got[2] == 0 and got[6] == got[5] == 5 and None not in got
     assert H.similar_groups(nothing(spark)).count() == 0
+
+
+def planted(rng, low, high, n=200):
+    """A text and a near copy of it whose shingle sets are alike by ``low`` to ``high``."""
+    while True:
+        words = words_text(rng, n, 5000).split()
+        copy = list(words)
+        for at in rng.sample(range(n), rng.randrange(3, 24)):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        a, b = " ".join(words), " ".join(copy)
+        if low <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < high:
+            return a, b
+
+
+def groups_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r.component_id for r in H.similar_groups(docs).collect()}
+
+
+def test_lone_pairs_are_found_from_the_threshold_on(spark):
+    rng = random.Random(12)
+    texts = [t for _ in range(400) for t in planted(rng, 0.8, 0.85)]
+    got = groups_of(spark, texts)
+    assert [got[i + 1] for i in range(0, len(texts), 2)] == list(range(0, len(texts), 2))
