@@ -234,3 +234,35 @@ def test_lone_pairs_are_found_from_the_threshold_on(spark):
     texts = [t for _ in range(400) for t in planted(rng, 0.8, 0.85)]
     got = groups_of(spark, texts)
     assert [got[i + 1] for i in range(0, len(texts), 2)] == list(range(0, len(texts), 2))
+
+
+def test_pairs_below_the_threshold_stay_apart(spark):
+    rng = random.Random(13)
+    texts = [t for low in (0.5, 0.6, 0.7) for _ in range(100) for t in planted(rng, low, low + 0.099)]
+    assert groups_of(spark, texts) == {i: i for i in range(len(texts))}
+
+
+def test_large_groups_equal_brute_force(spark):
+    """A template with many near copies of several versions: components by all pairs."""
+    rng = random.Random(14)
+    base = words_text(rng, 200, 5000).split()
+    versions = []
+    for _ in range(6):
+        version = list(base)
+        for at in rng.sample(range(200), 8):
+            version[at] = f"new{rng.randrange(10**6)}"
+        versions.append(version)
+    texts = []
+    for _ in range(120):
+        words = list(rng.choice(versions))
+        for at in rng.sample(range(200), rng.randrange(4)):
+            words[at] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets, want = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    assert 1 < len(set(want)) < 60
+    assert groups_of(spark, texts) == dict(enumerate(want))
