@@ -12,10 +12,14 @@
 5. Around each candidate, an item counts as leaked if its longest common subsequence with
    the text covers ``SURE`` of its words, or ``LIKELY`` of them and its answer (its last
    quarter) is found in order as well.
+6. Items under ``PASSAGE`` words fill too little of a passage for its cosine. They are also
+   looked for by their rarest words, one of which any text that holds ``LIKELY`` of the item
+   has; around each, a stretch of the item's own length and a quarter more on both sides is
+   checked the same way.
 
 Defined cases: null, empty and blank texts and items match nothing; repeated documents are
-reported one by one; a row with a null id is reported with it; items under PASSAGE words are
-one shorter passage; an empty table on either side gives no rows; other columns are neither
+reported one by one; a row with a null id is reported with it; items found by their words
+alone have a null cosine; an empty table on either side gives no rows; other columns are neither
 read nor returned; texts are searched whole.
 """
 
@@ -39,8 +43,10 @@ COMMON = 0.02
 HALF = PASSAGE // 2
 #: Least cosine of a candidate; shares of an item's words that its subsequence must cover.
 COSINE, SURE, LIKELY, ANSWER = 0.5, 0.8, 0.6, 0.67
-#: Items of one block of queries (their words are broadcast), and words of one item.
-BLOCK_ITEMS, ITEM_WORDS = 5_000, 20_000
+#: Items of one block of queries (their words are broadcast).
+BLOCK_ITEMS = 5_000
+#: Passages of items compared at once in a task.
+ITEM_PASSAGES = 16_384
 #: Partial sums that one task adds up.
 FAN_IN = 64
 #: Passages compared at once in a task.
@@ -169,6 +175,7 @@ class Latent:
     terms: np.ndarray
     mean: np.ndarray
     singular: np.ndarray
+    frequency: np.ndarray  # passages with each bucket
 
 
 def decompose(table: DataFrame, seed: int = 11) -> Latent:
@@ -203,7 +210,7 @@ def decompose(table: DataFrame, seed: int = 11) -> Latent:
     scaled = left[:, :RANK] * np.where(good, 1 / np.maximum(singular[:RANK], 1e-30), 0)
     terms = np.vstack([weight[:-1, None] * scaled, np.zeros(scaled.shape[1])]).astype(np.float32)
     mean = (frequency[:-1] / max(1.0, frequency[-1])) @ terms[:-1]
-    return Latent(terms, mean.astype(np.float32), singular)
+    return Latent(terms, mean.astype(np.float32), singular, frequency[:-1])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -217,6 +224,60 @@ class Items:
     vectors: np.ndarray  # of all passages of all items
     item: np.ndarray  # the item of each
     start: np.ndarray  # and its first word
+    short: Short
+
+
+@dataclass
+class Short:
+    """The rarest words of short items, sorted: the item of each, and its place in the item."""
+
+    word: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    known: np.ndarray  # whether the low 16 bits of a word occur
+
+    @classmethod
+    def of(cls, words: list[np.ndarray], frequency: np.ndarray) -> Short:
+        found = []
+        for i, w in enumerate(words):
+            if 0 < len(w) < PASSAGE:
+                rarest = np.argsort(frequency[w.astype(np.int64) & (BUCKETS - 1)], kind="stable")
+                found.extend((int(w[at]), i, int(at)) for at in rarest[: len(w) - -(-len(w) * 3 // 5) + 1])
+        word, item, at = np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T
+        known = np.zeros(1 << 16, dtype=bool)
+        known[word & 0xFFFF] = True
+        return cls(word.astype(np.uint32), item, at, known)
+
+    def places(self, text: np.ndarray) -> list[tuple[int, int]]:
+        """(item, begin) wherever one of the words is in the text, each once."""
+        maybe = np.flatnonzero(self.known[text & 0xFFFF])
+        first, last = (np.searchsorted(self.word, text[maybe], side) for side in ("left", "right"))
+        n = last - first
+        which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        places = np.stack([self.item[which], np.repeat(maybe, n) - self.at[which]], 1)
+        return [tuple(p) for p in np.unique(places, axis=0).tolist()]
+
+
+def short_leaks(short: Short, items: list[np.ndarray], text: np.ndarray) -> dict[int, tuple[float, int]]:
+    """The best (share, start) of each short item that the text holds."""
+    out: dict[int, tuple[float, int]] = {}
+    if not len(short.word):
+        return out
+    listed = text.tolist()
+    as_set: dict[int, list[int]] = {}
+    for i, begin in short.places(text):
+        item = items[i]
+        slack = len(item) // 4
+        start = max(0, begin - slack)
+        stretch = set(listed[start : begin + len(item) + slack])
+        if i not in as_set:
+            as_set[i] = item.tolist()
+        if sum(w in stretch for w in as_set[i]) < LIKELY * len(item):
+            continue
+        good, share = leaked(item, text[start : begin + len(item) + slack])
+        if good and share > out.get(i, (0.0,))[0]:
+            out[i] = share, start
+    return out
 
 
 def prepare(ids: list, words: list[np.ndarray], latent: Latent) -> Items:
@@ -229,7 +290,7 @@ def prepare(ids: list, words: list[np.ndarray], latent: Latent) -> Items:
             item.append(i)
             start.append(at)
     found = _unit(np.array(vectors, dtype=np.float32)) if vectors else np.zeros((0, latent.terms.shape[1]), np.float32)
-    return Items(ids, words, found, np.array(item, dtype=np.int64), np.array(start, dtype=np.int64))
+    return Items(ids, words, found, np.array(item, dtype=np.int64), np.array(start, dtype=np.int64), Short.of(words, latent.frequency))
 
 
 def subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -275,14 +336,15 @@ def search(table: DataFrame, items: Items, latent: Latent, item_kind: str) -> Da
             both = halves.copy()
             both[:-1][own[1:] == own[:-1]] += halves[1:][own[1:] == own[:-1]]
             both = _unit(both[:GROUP] - mean)
-            score = both @ items.vectors.T
-            near, which = np.divmod(np.flatnonzero(score.ravel() >= COSINE), max(1, score.shape[1]))
-            for p, q in zip(near.tolist(), which.tolist(), strict=True):
-                d, i = int(own[p]), int(items.item[q])
-                begin = int(at + p - first_row[d]) * HALF - int(items.start[q])
-                key = d, i, begin // PASSAGE
-                if key not in best or best[key][0] < score[p, q]:
-                    best[key] = float(score[p, q]), begin
+            for from_ in range(0, len(items.vectors), ITEM_PASSAGES):
+                score = both @ items.vectors[from_ : from_ + ITEM_PASSAGES].T
+                near, which = np.divmod(np.flatnonzero(score.ravel() >= COSINE), score.shape[1])
+                for p, q in zip(near.tolist(), which.tolist(), strict=True):
+                    d, i = int(own[p]), int(items.item[from_ + q])
+                    begin = int(at + p - first_row[d]) * HALF - int(items.start[from_ + q])
+                    key = d, i, begin // PASSAGE
+                    if key not in best or best[key][0] < score[p, q]:
+                        best[key] = float(score[p, q]), begin
         out: dict[tuple[int, int], tuple] = {}
         for (d, i, _), (cosine, begin) in best.items():
             item = items.words[i]
@@ -290,6 +352,10 @@ def search(table: DataFrame, items: Items, latent: Latent, item_kind: str) -> Da
             good, share = leaked(item, words[d][start : begin + len(item) + PASSAGE])
             if good and share > out.get((d, i), (0.0,))[0]:
                 out[d, i] = share, start, cosine
+        for d, text in enumerate(words):
+            for i, (share, start) in short_leaks(items.short, items.words, text).items():
+                if share > out.get((d, i), (0.0,))[0]:
+                    out[d, i] = share, start, None
         return {
             "id": [ids[d] for d, _ in out], "item": [items.ids[i] for _, i in out], "word": [v[1] for v in out.values()],
             "share": [v[0] for v in out.values()], "cosine": [v[2] for v in out.values()],
@@ -308,9 +374,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item").collect()
-        words = [w[:ITEM_WORDS] if len(w) > ITEM_WORDS else w for w in Words().of([r.text for r in own])]
-        if any(len(w) == ITEM_WORDS for w in words):
-            raise ValueError(f"a benchmark item has over {ITEM_WORDS} words; cut it into items")
+        words = Words().of([r.text for r in own])
         found = search(table, prepare([r.item for r in own], words, latent), latent, item_kind)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})

@@ -169,6 +169,26 @@ def test_leaks_of_awkward_rows(spark):
     assert B.contaminated(awkward(spark), bench.where("false")).count() == 0
 
 
+def test_short_and_very_long_items(spark):
+    rng = random.Random(21)
+    corpus = [words_text(rng, 300, 3000).split() for _ in range(200)]
+    bench, want = [], set()
+    for n in range(3, 16):
+        for common in (False, True):  # words of their own, or words that many documents have
+            item = words_text(rng, n, 10**6).split() if not common else [rng.choice(corpus[rng.randrange(200)]) for _ in range(n)]
+            d = rng.randrange(200)
+            at = rng.randrange(300)
+            corpus[d][at:at] = item
+            bench.append((len(bench), " ".join(item)))
+    bench.append((len(bench), words_text(rng, 21_000, 10**6)))
+    corpus.append(words_text(rng, 50).split() + bench[-1][1].split())
+    texts = [" ".join(w) for w in corpus]
+    want = {(d, i) for d, t in enumerate(texts) for i, item in bench if f" {item} " in f" {t} "}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in B.contaminated(docs, spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_subsequences_equal_dynamic_programming():
     rng = random.Random(6)
     for _ in range(50):
