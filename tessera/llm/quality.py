@@ -1,6 +1,6 @@
 """Quality scores by logistic regression over hashed word n-grams.
 
-A text's words (split at white space) give n-grams of two kinds: of the lower-cased words
+A text's words (split at white space, and every ``LONGEST`` characters) give n-grams of two kinds: of the lower-cased words
 themselves, and of the words' shapes (runs of capitals, small letters, digits and other
 marks, and whether a word repeats the one before). Each n-gram is hashed to a bucket; a
 feature's value is its share of the text's n-grams, so a score is a sparse dot product, the
@@ -37,6 +37,8 @@ SHARDS, PASSES = 8, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-3
 #: Feature values are shares of n-grams times this.
 SCALE = 8.0
+#: Characters of a word; text without spaces is read in words of so many.
+LONGEST = 64
 _RUNS = re.compile(r"([^\W\d_a-zß-öø-ÿ]+)|([^\W\d_]+)|(\d+)|([\W_])\4*")
 
 
@@ -47,7 +49,15 @@ def shape(word: str) -> str:
         upper, lower, digits, mark = m.groups()
         return ("A" if len(upper) == 1 else "AA") if upper else "a" if lower else "9" if digits else mark if len(m[0]) == 1 else mark * 2
 
-    return _RUNS.sub(run, word[:64])
+    return _RUNS.sub(run, word)
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text; longer ones are cut every LONGEST characters."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[at : at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -74,7 +84,7 @@ class Features:
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.index) > self.KEPT:
             self.clear()
-        split = [t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(self.index))
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         crc = zlib.crc32

@@ -98,6 +98,17 @@ def test_shapes_of_words():
     assert [Q.shape(w) for w in ("Word", "WORD!!", "word", "a1b22", "%%%", "...")] == ["Aa", "AA!!", "a", "a9a9", "%%", ".."]
 
 
+def test_all_characters_of_long_words_count():
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcXYZ012+/") for _ in range(5000))
+    b = a[:4990] + "%%%%%%%%%%"
+    one, two = (set(f.tolist()) for f in Q.Features().of([a, b]))
+    assert one != two and len(one) > 100
+    left, right = (Q.Features().of(["x" * 64 + tail]) for tail in ("", "99"))
+    assert len(next(left)) < len(next(right))
+    assert Q.words_of("ab " + "日" * 130) == ["ab", "日" * 64, "日" * 64, "日" * 2]
+
+
 def plain_places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     at = [(k, label) for k in range(len(w)) for p, label in S.BASE if w[k : k + len(p.split())] == p.split()]
