@@ -33,7 +33,8 @@ def strip(c: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\p{L}"))
+    """How many letters: what their runs take away, so that a run is one match."""
+    return F.length(c) - F.length(F.regexp_replace(c, r"\p{L}++", ""))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -46,7 +47,7 @@ def page_quality(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     chars = F.length(text)
     alpha = share(letters(text), chars)
-    garbage = share(F.regexp_count(text, F.lit(r"[^\x09-\x0d\x20-\x7e]")), chars)
+    garbage = share(F.length(F.regexp_replace(text, r"[\x09-\x0d\x20-\x7e]++", "")), chars)
     words = F.regexp_count(text, F.lit("[a-zA-Z]{3,}"))
     reason = F.when(chars == 0, "empty_text").when(chars < MIN_CHARS, "too_short").when(alpha < MIN_ALPHA, "low_alpha_ratio")
     reason = reason.when(garbage > MAX_GARBAGE, "high_garbage_ratio").when(words < MIN_WORDS, "few_words")
@@ -83,6 +84,40 @@ def contents_score(c: Column) -> Column:
     return F.when(F.length(strip(c)) >= MIN_CONTENTS_CHARS, F.least(F.lit(1.0), header + dotted + numbered)).otherwise(0.0)
 
 
+#: Fixed value: from this confidence on, a page is a table of contents.
+CONTENTS_CONFIDENCE = 0.4
+#: Fixed value: up to this page, contents are told by all signs; later ones need a header.
+EARLY_PAGES = 3
+
+
+def contents_analysis(c: Column) -> Column:
+    """Struct of is_toc, confidence, has_toc_header, dotted_leader_count, page_reference_count
+    and reasons; short pages have no signs."""
+    text = F.coalesce(c, F.lit(""))
+    enough = F.length(strip(text)) >= MIN_CONTENTS_CHARS
+    leaders, references = (F.when(enough, F.regexp_count(text, F.lit(p))).otherwise(0) for p in (DOTTED_LEADER, PAGE_REFERENCE))
+    header = enough & text.rlike(CONTENTS_HEADER)
+    confidence = contents_score(text)
+    reasons = F.filter(
+        F.array(
+            F.when(header, "header"),
+            F.when(leaders >= MIN_LEADERS, F.format_string("%d dotted leaders", leaders)),
+            F.when(references >= MIN_PAGE_REFERENCES, F.format_string("%d page references", references)),
+        ),
+        lambda r: r.isNotNull(),
+    )
+    none = F.array(F.when(enough, "no signs").otherwise("too short"))
+    return F.struct(
+        ((confidence >= CONTENTS_CONFIDENCE) | header).alias("is_toc"), confidence.alias("confidence"), header.alias("has_toc_header"),
+        leaders.cast("bigint").alias("dotted_leader_count"), references.cast("bigint").alias("page_reference_count"), F.when(F.size(reasons) > 0, reasons).otherwise(none).alias("reasons"),
+    )
+
+
+def is_contents_at(page: Column, c: Column) -> Column:
+    """Whether the text of a page, by its number, is a table of contents."""
+    return F.when(page <= EARLY_PAGES, is_contents(c)).otherwise(F.coalesce(c.rlike(CONTENTS_HEADER), F.lit(False)))
+
+
 def is_cover(c: Column) -> Column:
     text = strip(F.coalesce(c, F.lit("")))
     marks = reduce(lambda a, b: a + b, (text.rlike(p).cast("int") for p in COVER_PATTERNS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_contents, is_cover, normalized, page_quality, sentences, skip_reason
+from tessera.functions.text import contents_analysis, is_contents, is_contents_at, is_cover, normalized, page_quality, sentences, skip_reason
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -22,11 +22,12 @@ def page_starts(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
     return pages.withColumns({"start": start, "stop": before + size})
 
 
-def documents_of(pages: DataFrame, key: str, page: str, text: str, source: str) -> DataFrame:
-    """One row a document: joined text, boundaries, counts by source and the main source."""
+def documents_of(pages: DataFrame, key: str, page: str, text: str, source: str, *more: str) -> DataFrame:
+    """One row a document: joined text, boundaries (with the source and columns ``more`` of
+    each page), counts by source and the main source."""
     placed = page_starts(pages, key, page, text)
     found = placed.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct(page, "start", "stop", text))).alias("pages"),
+        F.sort_array(F.collect_list(F.struct(page, "start", "stop", text, source, *more))).alias("pages"),
         F.count("*").alias("n_pages"),
         F.count_if(F.col(source) == "user").alias("n_user"),
     )
@@ -39,6 +40,14 @@ def touched_pages(pages: Column, start: Column, stop: Column, page: str) -> Colu
     return F.array_sort(F.transform(F.filter(pages, lambda p: (p["stop"] > start) & (p["start"] < stop)), lambda p: p[page]))
 
 
+def source_quality(pages: Column, ratio: str = "ratio", confidence: str = "confidence") -> dict[str, Column]:
+    """Least ratio and mean confidence of an array of pages; nulls and zeros don't count, and
+    without any value the result is null."""
+    ratios, sure = (F.filter(F.transform(pages, lambda p: p[c]), lambda x: x.isNotNull() & (x != 0)) for c in (ratio, confidence))  # noqa: B023
+    mean = F.aggregate(sure, F.lit(0.0), lambda a, x: a + x) / F.size(sure)
+    return {"min_alphabetic_ratio": F.array_min(ratios), "avg_confidence": F.when(F.size(sure) > 0, mean)}
+
+
 BOUNDARIES = """SELECT conv_id, turn, text, role, greatest(0, before - 2) AS start, before + length(text) AS stop FROM (SELECT conv_id, turn, text, role,
     coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM conversations)"""
 
@@ -59,6 +68,25 @@ def rng_page_overlap(spark, sf_dir):
     return found.select("conv_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("touched"), F.array_min("p").alias("page_start"), F.array_max("p").alias("page_end"))
 
 
+@query(f"""SELECT conv_id, min(r) FILTER (WHERE r <> 0) AS min_alphabetic_ratio, round(avg(c) FILTER (WHERE c <> 0), 6) AS avg_confidence FROM (SELECT conv_id,
+    CASE WHEN role = 'user' THEN turn / 8.0::DOUBLE END AS r, (stop - start) % 5 AS c FROM ({BOUNDARIES}) WHERE stop > 500 AND start < 1500) GROUP BY conv_id""")
+def rng_source_quality(spark, sf_dir):
+    """Quality of the pages that a span touches, by conversation."""
+    rows = table(spark, sf_dir, "conversations").withColumn("ratio", F.when(F.col("role") == "user", F.col("turn") / 8.0))
+    pages = page_starts(rows, "conv_id", "turn", "text").withColumn("confidence", (F.col("stop") - F.col("start")) % 5)
+    found = pages.where("stop > 500 and start < 1500").groupBy("conv_id").agg(F.collect_list(F.struct("ratio", "confidence")).alias("p"))
+    quality = source_quality(F.col("p"))
+    return found.select("conv_id", quality["min_alphabetic_ratio"].alias("min_alphabetic_ratio"), F.round(quality["avg_confidence"], 6).alias("avg_confidence"))
+
+
+@query(f"""SELECT conv_id, arg_min(turn, start) AS turn, arg_min(role, start) AS role FROM ({BOUNDARIES}) WHERE start <= 700 AND stop > 700 GROUP BY conv_id""")
+def rng_point_in_interval(spark, sf_dir):
+    """The first page that holds a position."""
+    docs = documents_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role")
+    held = F.filter("pages", lambda p: (p["start"] <= 700) & (p["stop"] > 700))
+    return docs.select("conv_id", F.get(held, F.lit(0)).alias("p")).where("p is not null").select("conv_id", "p.turn", "p.role")
+
+
 @query(r"""WITH q AS (SELECT doc_id, length(text) AS char_count, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\pL]', '', 'g'))::DOUBLE / length(text) ELSE 0 END AS a,
     CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[\x09-\x0d\x20-\x7e]', '', 'g'))::DOUBLE / length(text) ELSE 0 END AS g, len(regexp_extract_all(text, '[a-zA-Z]{3,}')) AS word_count FROM documents)
     SELECT doc_id, char_count, round_even(a, 4) AS alphabetic_ratio, round_even(g, 4) AS garbage_ratio, word_count, CASE WHEN char_count = 0 THEN 'empty_text' WHEN char_count < 50 THEN 'too_short'
@@ -88,7 +116,39 @@ def txt_normalize(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
-@query()
+_BREAKS = r"""regexp_replace({}, '([a-zA-Z][.!?]|\d\d[.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g')"""
+
+
+@query(rf"""SELECT doc_id, unnest(range(len(l)))::INTEGER AS n, unnest(l) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split({_BREAKS.format(_BREAKS.format('text'))}, chr(1)),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0) AS l FROM documents)""")
 def txt_sentences(spark, sf_dir):
-    """Sentences with their numbers. SQL has no lookbehind; tests compare with Python."""
+    """Sentences with their numbers. SQL has no lookbehind: it marks the breaks in two passes,
+    as one match ends with the letter that the next may begin with."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("n", "sentence"))
+
+
+_HEADER = r"regexp_matches(text, '(?mi)^\s*(TABLE\s+OF\s+CONTENTS|CONTENTS|INDEX)\s*$')"
+_LEADERS = r"len(regexp_extract_all(text, '\.{5,}\s*\d+'))"
+_REFERENCES = r"len(regexp_extract_all(text, '(?m)^[A-Z][A-Za-z\s]+\s+\d{1,3}\s*$'))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, length({_STRIPPED}) >= 50 AS enough, {_HEADER} AS h, {_LEADERS} AS d, {_REFERENCES} AS p FROM documents),
+    c AS (SELECT doc_id, enough, enough AND h AS h, CASE WHEN enough THEN d ELSE 0 END AS d, CASE WHEN enough THEN p ELSE 0 END AS p FROM s),
+    f AS (SELECT *, CASE WHEN enough THEN least(1.0::DOUBLE, CASE WHEN h THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN d >= 5 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE * d / 5 END
+    + CASE WHEN p >= 8 THEN 0.2::DOUBLE ELSE 0.05::DOUBLE * p / 8 END) ELSE 0 END AS confidence FROM c)
+    SELECT doc_id, confidence >= 0.4 OR h AS is_toc, round(confidence, 6) AS confidence, h AS has_toc_header, d AS dotted_leader_count, p AS page_reference_count,
+    CASE WHEN h OR d >= 5 OR p >= 8 THEN concat_ws(',', CASE WHEN h THEN 'header' END, CASE WHEN d >= 5 THEN d || ' dotted leaders' END, CASE WHEN p >= 8 THEN p || ' page references' END)
+    WHEN enough THEN 'no signs' ELSE 'too short' END AS reasons FROM f""")
+def txt_toc_analysis(spark, sf_dir):
+    """Signs of a table of contents, their confidence, and the decision."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", contents_analysis(F.col("text")).alias("a")).select("doc_id", "a.*")
+    return rows.withColumns({"confidence": F.round("confidence", 6), "reasons": F.array_join("reasons", ",")})
+
+
+@query(f"""SELECT lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS pages, count(*) AS n FROM documents
+    WHERE CASE WHEN doc_id % 8 <= 3 THEN {_TOC} ELSE {_HEADER} END GROUP BY lang""")
+def txt_toc_by_position(spark, sf_dir):
+    """Contents pages, told more strictly after the first pages of a document."""
+    rows = table(spark, sf_dir, "documents").where(is_contents_at(F.col("doc_id") % 8, F.col("text")))
+    found = rows.groupBy("lang").agg(F.sort_array(F.collect_list("doc_id")).alias("pages"), F.count("*").alias("n"))
+    return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))

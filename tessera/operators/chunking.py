@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SENTENCE_BREAK, footnote_references
+from tessera.functions.text import FOOTNOTE_REFERENCE, SENTENCE_BREAK, footnote_references, normalized, page_quality, skip_reason
+from tessera.operators.assemble import documents_of, source_quality
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -29,19 +30,25 @@ SECTION_NAMES = (
     "ADDITIONAL INFORMATION", "USEFUL OR EFFECTIVE INVESTIGATION TECHNIQUES",
 )
 _NAMES = "|".join(map(re.escape, SECTION_NAMES))
+#: A header line, with or without a number, and a lettered one.
 HEADER = re.compile(rf"^\s*(?:(?P<number>\d+(?:\s*\.\s*\d+)*)\s*\.?\s*(?P<numbered>{_NAMES})|(?P<alone>{_NAMES}))\s*$", re.MULTILINE | re.IGNORECASE)
 LETTERED = re.compile(r"^\s*\((?P<letter>[a-z])\)\s*(?P<name>Findings|Probable Cause|Recommendations|Analysis|Conclusions)\s*$", re.MULTILINE | re.IGNORECASE)
 BLANK_LINES = re.compile(r"\n\s*\n")
-#: A parent's header is merged if so little text follows it; what paragraphs count.
-MERGE_GAP, PARAGRAPH_BREAKS, PARAGRAPH_MEAN, PARAGRAPH_LEAST = 50, 2, 100, 50
+#: A parent's header is merged if so little text follows it; the least mean and
+#: single length of paragraphs.
+MERGE_GAP, PARAGRAPH_MEAN, PARAGRAPH_LEAST = 50, 100, 50
 #: Footnote definitions by number or symbol, and by word.
 DEFINITION = re.compile(r"^\s*(\d+|[!*])/\s*(.+?)(?=\n\s*\d+/|\n\s*$|\Z)", re.MULTILINE | re.DOTALL)
 WORD_DEFINITION = re.compile(r"^\s*([a-zA-Z]+\d*)/\s*(.+?)(?=\n\s*[a-zA-Z]+\d*/|\n\s*$|\Z)", re.MULTILINE | re.DOTALL)
-_BREAK = re.compile(SENTENCE_BREAK)
+_BREAK, _REFERENCE = re.compile(SENTENCE_BREAK), re.compile(FOOTNOTE_REFERENCE)
 #: Tokens of a chunk at least, as aimed at, and at most; tokens of the overlap.
 LEAST_TOKENS, AIM_TOKENS, MOST_TOKENS, OVERLAP_TOKENS = 400, 600, 800, 100
 
 
+#: Counts the tokens of a text, such as ``lambda t: len(tokenizer.encode(t).ids)``.
+Counter = Callable[[str], int]
+
+
 def token_count(text: str) -> int:
     """A stand-in for a tokenizer: four characters a token, one at least."""
     return max(1, len(text) // 4)
@@ -87,15 +94,17 @@ def _merged(headers: list[Section], text: str) -> list[Section]:
 
 def _paragraphs(text: str) -> list[Section]:
     edges = [0, *[m.end() for m in BLANK_LINES.finditer(text)], len(text)]
-    if len(edges) - 2 <= PARAGRAPH_BREAKS or len(text) / (len(edges) - 1) < PARAGRAPH_MEAN:
+    if len(text) < PARAGRAPH_MEAN * (len(edges) - 1):
         return []
     spans = enumerate(zip(edges[:-1], edges[1:], strict=True), 1)
-    return [Section(f"PARAGRAPH_{i}", None, a, b, "paragraph_fallback") for i, (a, b) in spans if len(text[a:b].strip()) >= PARAGRAPH_LEAST]
+    return [Section(f"PARAGRAPH_{i}", None, a, b, "paragraph_fallback") for i, (a, b) in spans if b - a >= PARAGRAPH_LEAST]
 
 
 def sections_of(text: str) -> list[Section]:
     """Sections by headers, else paragraphs, else the document. Text before the first header
-    belongs to none."""
+    belongs to none; a blank text has none."""
+    if not text.strip():
+        return []
     headers = _merged(_headers(text), text)
     if headers:
         ends = [s.start for s in headers[1:]] + [len(text)]
@@ -116,6 +125,11 @@ def footnotes_of(text: str) -> list[tuple[str, str]]:
     return found
 
 
+def references_in(text: str) -> list[str]:
+    """Markers in order of appearance, each once."""
+    return list(dict.fromkeys(m for m in _REFERENCE.findall(text) if m))
+
+
 def with_footnotes(text: str, references: list[str], notes: dict[str, str]) -> str:
     """The text and, below it, the notes that it refers to, in order of reference."""
     lines = [f"[{m}/ {notes[m]}]" for m in dict.fromkeys(references) if m in notes]
@@ -131,23 +145,26 @@ class Sentence:
     section: Section
 
 
-def sentences_in(text: str, sections: list[Section]) -> list[Sentence]:
+def sentences_in(text: str, sections: list[Section], count: Counter = token_count) -> list[Sentence]:
     """Sentences of all sections. A repeated sentence is placed at its first occurrence."""
-    out = []
+    out, known = [], {}
     for s in sections:
         for piece in _BREAK.split(text[s.start : s.end]):
             if piece := piece.strip():
-                at = text.find(piece, s.start)
-                out.append(Sentence(piece, at, at + len(piece), token_count(piece), s))
+                if (s.start, piece) not in known:
+                    known[s.start, piece] = text.find(piece, s.start), count(piece)
+                at, tokens = known[s.start, piece]
+                out.append(Sentence(piece, at, at + len(piece), tokens, s))
     return out
 
 
-def chunks_of(text: str) -> Iterator[dict]:
+def chunks_of(text: str, count: Counter = token_count, notes: dict[str, str] | None = None) -> Iterator[dict]:
     """Greedy chunks: whole sentences up to AIM_TOKENS once LEAST_TOKENS are there, never
     over MOST_TOKENS unless one sentence is. Each later chunk begins with the last sentences
-    of the one before, up to OVERLAP_TOKENS, and all with their first section's name."""
-    left = sentences_in(text, sections_of(text)) if text else []
-    at, overlap, sequence = 0, "", 0
+    of the one before, up to OVERLAP_TOKENS, and all with their first section's name. Below
+    stand the ``notes`` that a chunk refers to. ``count`` counts the tokens of a text."""
+    left = sentences_in(text, sections_of(text), count)
+    at, overlap, overlap_tokens, sequence = 0, "", 0, 0
     while at < len(left):
         end, total = at, 0
         while end < len(left):
@@ -158,34 +175,44 @@ def chunks_of(text: str) -> Iterator[dict]:
         own = left[at:end]
         names = list(dict.fromkeys(s.section.name for s in own))
         body = " ".join(filter(None, [f"[{names[0]}]", overlap, *[s.text for s in own]]))
+        used = [m for m in references_in(body) if m in notes] if notes else []
+        body = with_footnotes(body, used, notes or {})
         yield {
             "chunk_sequence": sequence, "section_name": names[0], "section_number": own[0].section.number, "method": own[0].section.method,
             "char_start": own[0].start, "char_end": own[-1].end, "n_sentences": len(own), "packed_tokens": total,
-            "token_count": token_count(body), "overlap_tokens": token_count(overlap) if overlap else 0, "spans_sections": len(names) > 1,
-            "chunk_text": body,
+            "token_count": count(body), "overlap_tokens": overlap_tokens, "spans_sections": len(names) > 1,
+            "sections_spanned": ",".join(sorted(names)) if len(names) > 1 else None, "footnotes": ",".join(used), "chunk_text": body,
         }
-        kept, size = len(own), 0
-        while kept and size + own[kept - 1].tokens <= OVERLAP_TOKENS:
+        kept, overlap_tokens = len(own), 0
+        while kept and overlap_tokens + own[kept - 1].tokens <= OVERLAP_TOKENS:
             kept -= 1
-            size += own[kept].tokens
+            overlap_tokens += own[kept].tokens
         overlap = " ".join(s.text for s in own[kept:])
         at, sequence = end, sequence + 1
 
 
-def per_document(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, str], rows_of: Callable[[str], Iterator[dict]]) -> DataFrame:
-    """Rows of each document with its id; null texts count as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+#: Rows of results that are sent together.
+SENT_ROWS = 5_000
+
+
+def per_document(docs: DataFrame, id_col: str, columns: dict[str, str], rows_of: Callable[..., Iterator[dict]], *inputs: str) -> DataFrame:
+    """Rows of each document with its id, from the columns ``inputs``; null texts count as empty."""
+    rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in inputs])
     schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *[f"{n} {k}" for n, k in columns.items()]])
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"id": [], **{n: [] for n in columns}}
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows_of(text or ""):
+            kinds = pa.schema([("id", batch.schema.field(0).type), *((n, _KIND[k]) for n, k in columns.items())])
+            out: dict[str, list] = {n: [] for n in kinds.names}
+            for i, text, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in rows_of(text or "", *more):
                     out["id"].append(i)
                     for n in columns:
                         out[n].append(row[n])
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, type=_KIND.get(columns.get(n, ""), None) or batch.schema.field(0).type) for n, v in out.items()})
+                if len(out["id"]) >= SENT_ROWS:
+                    yield pa.RecordBatch.from_pydict(out, schema=kinds)
+                    out = {n: [] for n in kinds.names}
+            yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -194,29 +221,100 @@ _KIND = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
 SECTION_COLUMNS = {"name": "string", "number": "string", "start": "bigint", "end": "bigint", "method": "string"}
 CHUNK_COLUMNS = {
     "chunk_sequence": "bigint", "section_name": "string", "section_number": "string", "method": "string", "char_start": "bigint", "char_end": "bigint",
-    "n_sentences": "bigint", "packed_tokens": "bigint", "token_count": "bigint", "overlap_tokens": "bigint", "spans_sections": "boolean", "chunk_text": "string",
+    "n_sentences": "bigint", "packed_tokens": "bigint", "token_count": "bigint", "overlap_tokens": "bigint", "spans_sections": "boolean",
+    "sections_spanned": "string", "footnotes": "string", "chunk_text": "string",
 }
 
 
 def section_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return per_document(docs, id_col, text_col, SECTION_COLUMNS, lambda t: (vars(s) for s in sections_of(t)))
+    return per_document(docs, id_col, SECTION_COLUMNS, lambda t: (vars(s) for s in sections_of(t)), text_col)
 
 
 def footnote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows_of = lambda t: ({"marker": m, "note": n} for m, n in footnotes_of(t))
-    return per_document(docs, id_col, text_col, {"marker": "string", "note": "string"}, rows_of)
+    return per_document(docs, id_col, {"marker": "string", "note": "string"}, rows_of, text_col)
+
 
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Counter = token_count, notes_col: str | None = None) -> DataFrame:
+    """Chunks of all documents. ``count`` counts tokens, ``notes_col`` maps footnote markers to notes."""
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    out = per_document(docs, id_col, text_col, CHUNK_COLUMNS, chunks_of)
+    def rows_of(text, notes=None):
+        return chunks_of(text, count, dict(notes or []))
+
+    out = per_document(docs, id_col, CHUNK_COLUMNS, rows_of, text_col, *([notes_col] if notes_col else []))
     return out.withColumn("chunk_id", F.format_string("%s_chunk_%04d", F.col(id_col).cast("string"), "chunk_sequence"))
 
 
+def footnote_maps(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
+    """(key, notes): each document's notes by marker, the first definition by page."""
+    found = per_document(pages.select(F.struct(key, page).alias("at"), text).select("at", text).withColumn("id", F.to_json("at")), "id", {"place": "bigint", "marker": "string", "note": "string"}, _placed_notes, text)
+    at = F.from_json("id", f"struct<{key}: {pages.schema[key].dataType.simpleString()}, {page}: {pages.schema[page].dataType.simpleString()}>")
+    first = found.select(at.alias("at"), "place", "marker", "note").groupBy(f"at.{key}", "marker").agg(F.min_by("note", F.struct(f"at.{page}", "place")).alias("note"))
+    return first.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("marker", "note")))).alias("notes"))
+
+
+def _placed_notes(text: str) -> Iterator[dict]:
+    return ({"place": i, "marker": m, "note": n} for i, (m, n) in enumerate(footnotes_of(text)))
+
+
+def page_chunks(pages: DataFrame, key: str, page: str, text: str, source: str, ratio: Column, confidence: Column, count: Counter = token_count) -> DataFrame:
+    """From pages to chunks: pages that have text and are no cover or contents are joined to
+    documents, whose chunks get their page range, their pages' sources and quality (least
+    ``ratio`` and mean ``confidence``; nulls and zeros don't count), and the notes defined on
+    any page."""
+    notes = footnote_maps(pages, key, page, text)
+    kept = pages.where(skip_reason(F.col(text)).isNull()).withColumns({text: normalized(F.col(text)), "ratio": ratio, "confidence": confidence})
+    docs = documents_of(kept, key, page, text, source, "ratio", "confidence").join(notes, key, "left")
+    chunks = chunk_table(docs, key, "full_text", count, "notes")
+    joined = chunks.join(docs.select(key, F.transform("pages", lambda p: p.dropFields(text)).alias("pages"), "primary_source"), key)
+    touched = F.filter("pages", lambda p: (p["stop"] > F.col("char_start")) & (p["start"] < F.col("char_end")))
+    joined = joined.withColumn("pages", touched)
+    sources = F.array_distinct(F.transform("pages", lambda p: p[source]))
+    numbers = F.transform("pages", lambda p: p[page])
+    return joined.select(
+        key, "chunk_id", "chunk_sequence", "section_name", "section_number", "method", "char_start", "char_end", "token_count", "overlap_tokens",
+        F.array_min(numbers).alias("page_start"), F.array_max(numbers).alias("page_end"), F.array_join(F.array_sort(numbers).cast("array<string>"), ",").alias("page_list"),
+        F.when(F.size(sources) > 1, "mixed").otherwise(F.coalesce(F.get(sources, F.lit(0)), "primary_source")).alias("text_source"),
+        *[q.alias(n) for n, q in source_quality(F.col("pages")).items()], "footnotes", "sections_spanned", "chunk_text",
+    )
+
+
+def section_statistics(sections: DataFrame, key: str) -> DataFrame:
+    """How many sections a document has, numbered, lettered and others, and how they were found."""
+    lettered = F.startswith(F.col("name"), F.lit("("))
+    numbered, subsections = F.count_if(F.col("number").isNotNull()), F.count_if(lettered)
+    return sections.groupBy(key).agg(
+        F.count("*").alias("total_sections"), numbered.alias("numbered_sections"), subsections.alias("subsections"),
+        (F.count("*") - numbered - subsections).alias("standalone_sections"), F.min_by("method", "start").alias("detection_method"),
+    )
+
+
+def section_at(sections: DataFrame, positions: DataFrame, key: str, position: str) -> DataFrame:
+    """``positions`` with the name of the first section that holds each, or null. An open end
+    holds all that follows."""
+    lists = sections.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", F.coalesce("end", F.lit((1 << 63) - 1)).alias("end"), "name"))).alias("sections"))
+    found = F.filter("sections", lambda s: (s["start"] <= F.col(position)) & (F.col(position) < s["end"]))
+    return positions.join(lists, key, "left").withColumn("section", F.get(found, F.lit(0))["name"]).drop("sections")
+
+
 @query()
 def txt_sections(spark, sf_dir):
     return section_table(table(spark, sf_dir, "documents"))
 
 
+@query()
+def txt_section_stats(spark, sf_dir):
+    return section_statistics(section_table(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query()
+def txt_section_at(spark, sf_dir):
+    """The section in the middle of each document."""
+    docs = table(spark, sf_dir, "documents")
+    middle = docs.select("doc_id", F.expr("length(coalesce(text, '')) div 2").alias("position"))
+    return section_at(section_table(docs), middle, "doc_id", "position")
+
+
 @query()
 def txt_footnotes(spark, sf_dir):
     """How many footnote references and definitions each document has."""
@@ -230,3 +328,11 @@ def txt_footnotes(spark, sf_dir):
 @query()
 def txt_chunks(spark, sf_dir):
     return chunk_table(table(spark, sf_dir, "documents"))
+
+
+@query()
+def txt_page_chunks(spark, sf_dir):
+    """Pages to chunks; documents of one source and remainder are the pages of a document."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.concat_ws("-", "source", (F.col("doc_id") % 20).cast("string")).alias("report_id"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
+    return page_chunks(pages, "report_id", "page", "text", "lang", page_quality(F.col("text"))["alphabetic_ratio"], F.when(F.col("page") % 3 != 0, F.col("page") % 100))
