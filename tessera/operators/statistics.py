@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,22 +43,42 @@ def signed_rank_p_value(spark: SparkSession, a: list[float], b: list[float]) ->
     return spark.sparkContext._jvm.org.apache.commons.math3.stat.inference.WilcoxonSignedRankTest().wilcoxonSignedRankTest(x, y, False)
 
 
-def bootstrap_interval(df: DataFrame, value: str, draws: int = 1000, seed: int = 7, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of the mean by weights: each row gets, in each of ``draws``
-    resamples, a Poisson(1) weight from a seeded hash, so rows need no index and no
-    collecting; sums are partial by draw."""
-    weighted = df.select(F.col(value).alias("x"), F.xxhash64(*df.columns).alias("h")).select("x", "h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.pmod(F.xxhash64("h", "draw", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    edges, total, weight = [], 0.0, F.lit(0)
-    p = 2.718281828459045**-1
-    for k in range(1, 9):  # cumulative Poisson(1)
-        total += p
-        edges.append(total)
-        p /= k
-    for e in edges:
-        weight = weight + (u > e).cast("int")
-    means = weighted.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
-    return means.agg(F.percentile("mean", low).alias("low"), F.percentile("mean", high).alias("high"), F.avg("mean").alias("middle"))
+#: Draws of a bootstrap, and rows that a task weighs at once.
+DRAWS, WEIGHED_ROWS = 1000, 256
+
+
+def bootstrap_interval(df: DataFrame, value: str, draws: int = DRAWS, seed: int = 7, low: float = 0.025, high: float = 0.975, key: str | None = None, group: str | None = None) -> DataFrame:
+    """Percentile interval of the mean, by ``group``: each row gets, in each of ``draws``
+    resamples, a Poisson(1) weight, so rows need no index and no collecting. Weights follow
+    from the row's ``key`` (by default all its columns) and the seed alone, whatever tasks the
+    rows are in; rows of one key are drawn together. Tasks add up weighted sums in batches and send one array a group."""
+    rows = df.select((F.col(group) if group else F.lit("all")).cast("string").alias("g"), F.col(value).cast("double").alias("x"), F.xxhash64(*([key] if key else df.columns), F.lit(seed)).alias("h"))
+    rows = rows.where("g is not null and x is not null")
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+        steps = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            code, x, h = coded.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            for c, name in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(code == c)
+                total = sums.setdefault(name, np.zeros((2, draws)))
+                for at in range(0, len(own), WEIGHED_ROWS):
+                    some = own[at : at + WEIGHED_ROWS]
+                    u = (h[some, None] + steps) * np.uint64(0xBF58476D1CE4E5B9)
+                    u = (u ^ (u >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                    weight = np.searchsorted(edges, (u >> np.uint64(11)).astype(np.float64) / (1 << 53), "right").astype(np.float64)
+                    total[0] += x[some] @ weight
+                    total[1] += weight.sum(0)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"g": list(sums), "s": [v[0] for v in sums.values()], "w": [v[1] for v in sums.values()]})
+
+    parts = rows.mapInArrow(run, "g string, s array<double>, w array<double>")
+    cells = parts.select("g", F.posexplode(F.arrays_zip("s", "w")).alias("draw", "c")).groupBy("g", "draw").agg(F.sum("c.s").alias("s"), F.sum("c.w").alias("w"))
+    drawn = cells.where("w > 0").select("g", (F.col("s") / F.col("w")).alias("mean")).groupBy(*([F.col("g").alias(group)] if group else []))
+    return drawn.agg(F.percentile("mean", low).alias("low"), F.percentile("mean", high).alias("high"), F.avg("mean").alias("middle"))
 
 
 @query(f"""SELECT n, round(m, 6) AS mean_difference, CASE WHEN n >= {LEAST_PAIRS} AND sd > 0 THEN round(m / (sd / sqrt(n)), 6) END AS t_statistic
@@ -66,7 +90,7 @@ def stat_ttest(spark, sf_dir):
 @query()
 def stat_bootstrap(spark, sf_dir):
     """Interval of the mean order price by priority class; tests check what must hold."""
-    return bootstrap_interval(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 100)
+    return bootstrap_interval(table(spark, sf_dir, "orders"), "o_totalprice", key="o_orderkey", group="o_orderpriority")
 
 
 @query(f"""SELECT CASE WHEN avg(mrr_a) - avg(mrr_b) > 0.02 THEN 'a' WHEN avg(mrr_b) - avg(mrr_a) > 0.02 THEN 'b' WHEN avg(ndcg_a) - avg(ndcg_b) > 0.05 THEN 'a'
