@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +23,44 @@ GUARD = 1e-8
 SMALL_SIDE = 4_000_000
 
 
+#: Keys whose sums a task holds before it sends them.
+HELD_KEYS = 4_096
+
+
 def centroids(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(key, vector): the mean of each position, as partial sums by (key, position)."""
-    cells = vectors.select(key, F.posexplode(embedding).alias("at", "x")).groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return cells.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("vector"))
+    """(key, vector): the mean of each position. Tasks add up whole vectors and send one sum a
+    key; null vectors don't count, and vectors of one key must be of one length."""
+    rows = vectors.select(F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("v")).where("k is not null and v is not null")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        sums: dict = {}
+
+        def sent():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), keys), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["k", "n", "v"]
+            )
+
+        keys = pa.null()
+        for batch in batches:
+            keys = batch.schema.field(0).type
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            flat, begin = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+            coded = batch.column(0).dictionary_encode()
+            for c, name in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(coded.indices.to_numpy() == c)
+                total = flat[begin[own][:, None] + np.arange(lengths[own[0]])].sum(0)
+                n, before = sums.get(name, (0, 0.0))
+                sums[name] = n + len(own), before + total
+            if len(sums) > HELD_KEYS:
+                yield sent()
+                sums.clear()
+        if sums:
+            yield sent()
+
+    parts = rows.mapInArrow(run, f"k {kind}, n bigint, v array<double>")
+    cells = parts.select("k", "n", F.posexplode("v").alias("at", "x")).groupBy("k", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return cells.groupBy(F.col("k").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("vector"))
 
 
 def small_matrix(df: DataFrame, key: str, embedding: str) -> tuple[list, np.ndarray]:
@@ -43,14 +78,21 @@ def _guarded(v: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, width)
+    return batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
+
+
+def of_width(rows: DataFrame, embedding: str, width: int) -> DataFrame:
+    """Rows whose vector can be compared: null ones, those of another length and those with a
+    null inside are near nothing."""
+    good = (F.size(embedding) == width) & F.forall(embedding, lambda x: x.isNotNull())
+    return rows.where(F.coalesce(good, F.lit(False)))
 
 
 def assign(vectors: DataFrame, key: str, embedding: str, names: list, matrix: np.ndarray, k: int, least: float) -> DataFrame:
     """(key, category, similarity, rank): the k most similar categories, ranked before the
     threshold is applied; of equal ones the later category comes first."""
     unit = _guarded(matrix)
-    rows = vectors.select(F.col(key).alias("id"), F.col(embedding).alias("v"))
+    rows = of_width(vectors.select(F.col(key).alias("id"), F.col(embedding).alias("v")), "v", unit.shape[1])
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -119,7 +161,7 @@ def _block_neighbours(rows: DataFrame, key: str, embedding: str, names: list, ma
         q, r = np.nonzero(np.isfinite(best_s))
         yield pa.RecordBatch.from_pydict({"query": pa.array(ids[q], pa.int64()), key: pa.array(best_i[q, r]), "similarity": pa.array(best_s[q, r])})
 
-    return rows.select(key, embedding).mapInArrow(run, f"query bigint, {key} bigint, similarity double")
+    return of_width(rows.select(key, embedding), embedding, unit.shape[1]).mapInArrow(run, f"query bigint, {key} bigint, similarity double")
 
 
 CENTROIDS = "SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(embedding[pos]::DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(pos) GROUP BY label, pos) GROUP BY label"
@@ -161,13 +203,22 @@ def vec_rollup_report(spark, sf_dir):
 CHILDREN = "SELECT label, vec_id % 3 AS part, list(x ORDER BY pos) AS v FROM (SELECT label, vec_id % 3 AS vec_id, pos, avg(embedding[pos]::DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(pos) GROUP BY ALL) GROUP BY ALL"
 
 
-def assign_children(vectors: DataFrame, key: str, embedding: str, parents: tuple[list, np.ndarray], children: tuple[list, list, np.ndarray], bounds: "Bounds") -> DataFrame:
+#: Rank of children that cut across parents.
+EXTRA_RANK = 99
+
+
+def assign_children(
+    vectors: DataFrame, key: str, embedding: str, parents: tuple[list, np.ndarray], children: tuple[list, list, np.ndarray], bounds: "Bounds", extra: tuple[list, list, np.ndarray] | None = None
+) -> DataFrame:
     """(key, parent, child, similarity, combined, rank): for each of a vector's parent
     categories the best of that parent's children, ranked before the thresholds. Both levels
-    are small sides, so one pass over the rows does it all, without a join."""
+    are small sides, so one pass over the rows does it all, without a join. ``extra`` are
+    (parents, children, vectors) that cut across: each of these parents also gets the best of
+    the extra children, with rank EXTRA_RANK."""
     unit, kids = _guarded(parents[1]), _guarded(children[2])
+    more = (set(extra[0]), np.array(extra[1]), _guarded(extra[2])) if extra else (set(), np.zeros(0), np.zeros((0, 1)))
     own = {p: np.array([i for i, q in enumerate(children[1]) if q == p], dtype=np.int64) for p in parents[0]}
-    rows = vectors.select(F.col(key).alias("id"), F.col(embedding).alias("v"))
+    rows = of_width(vectors.select(F.col(key).alias("id"), F.col(embedding).alias("v")), "v", unit.shape[1])
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -178,16 +229,20 @@ def assign_children(vectors: DataFrame, key: str, embedding: str, parents: tuple
             out = {n: [] for n in ("row", "parent", "child", "similarity", "combined", "rank")}
             for p, name in enumerate(parents[0]):
                 at = np.flatnonzero((order == p).any(1) & (above[:, p] >= bounds.parent))
-                if not len(at) or not len(own[name]):
-                    continue
-                below = v[at] @ kids[own[name]].T
-                best = (len(own[name]) - 1 - np.argsort(-np.round(below[:, ::-1], 9), axis=1, kind="stable"))[:, : bounds.children]
-                similar = np.take_along_axis(below, best, 1)
-                both = similar * above[at, p][:, None]
-                r, c = np.nonzero((similar >= bounds.child) & (both >= bounds.combined))
-                found = (at[r], np.full(len(r), name), np.array(children[0])[own[name][best[r, c]]], similar[r, c], both[r, c], c + 1)
-                for column, value in zip(out.values(), found, strict=True):
-                    column.append(value)
+                groups = [(np.array(children[0])[own[name]], kids[own[name]], bounds.children, 0)]
+                if name in more[0]:
+                    groups.append((more[1], more[2], 1, EXTRA_RANK - 1))
+                for codes, matrix, most, above_rank in groups:
+                    if not len(at) or not len(codes):
+                        continue
+                    below = v[at] @ matrix.T
+                    best = (len(codes) - 1 - np.argsort(-np.round(below[:, ::-1], 9), axis=1, kind="stable"))[:, :most]
+                    similar = np.take_along_axis(below, best, 1)
+                    both = similar * above[at, p][:, None]
+                    r, c = np.nonzero((similar >= bounds.child) & (both >= bounds.combined))
+                    found = (at[r], np.full(len(r), name), codes[best[r, c]], similar[r, c], both[r, c], c + 1 + above_rank)
+                    for column, value in zip(out.values(), found, strict=True):
+                        column.append(value)
             joined = {n: np.concatenate(x) if x else np.zeros(0) for n, x in out.items()}
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0).take(pa.array(joined["row"].astype(np.int64))),
@@ -210,18 +265,65 @@ class Bounds:
     combined: float
 
 
-@query(f"""WITH l1 AS {ASSIGNED}, kids AS ({CHILDREN}), s AS (SELECT l1.vec_id, l1.category::BIGINT AS parent, k.label * 10 + k.part AS child, l1.similarity AS p, {COSINE.format(a='e.embedding::DOUBLE[]', b='k.v')} AS c
-    FROM l1 JOIN embeddings AS e USING (vec_id) JOIN kids AS k ON k.label = l1.category), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, parent ORDER BY round(c, 9) DESC, child DESC) AS rank FROM s)
-    SELECT vec_id, parent, child::BIGINT AS child, round(c, 6) AS similarity, round(p * c, 6) AS combined, rank FROM r WHERE rank <= {TOP_TWO} AND c >= {LEAST_TWO} AND p * c >= {LEAST_BOTH}""")
-def vec_assign_l2(spark, sf_dir):
-    """Within each assigned category, the best of its children, combined with the parent."""
+_CHILDREN_OF = f"""SELECT l1.vec_id, l1.category::BIGINT AS parent, {{code}} AS child, l1.similarity AS p, {COSINE.format(a='e.embedding::DOUBLE[]', b='k.v')} AS c
+    FROM l1 JOIN embeddings AS e USING (vec_id) JOIN kids AS k ON {{on}}"""
+_OWN, _EXTRA = _CHILDREN_OF.format(code="k.label * 10 + k.part", on="k.label = l1.category"), _CHILDREN_OF.format(code="900 + k.part", on="k.label = 0 AND l1.category % 2 = 0")
+_BEST = f"SELECT vec_id, parent, child::BIGINT AS child, c AS similarity, p * c AS combined, {{rank}} AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, parent ORDER BY round(c, 9) DESC, child DESC) AS rank FROM ({{rows}})) WHERE rank <= {{most}} AND c >= {LEAST_TWO} AND p * c >= {LEAST_BOTH}"
+ASSIGNED_TWO = f"(WITH l1 AS {ASSIGNED}, kids AS ({CHILDREN}) {_BEST.format(rank='rank', rows=_OWN, most=TOP_TWO)})"
+ASSIGNED_EXTRA = f"(WITH l1 AS {ASSIGNED}, kids AS ({CHILDREN}) {_BEST.format(rank='rank', rows=_OWN, most=TOP_TWO)} UNION ALL {_BEST.format(rank=EXTRA_RANK, rows=_EXTRA, most=1)})"
+
+
+def level_two(spark, sf_dir, extra: bool = False) -> DataFrame:
+    """Within each assigned category, the best of its children, combined with the parent; with
+    ``extra``, the children of category 0 also serve all even ones."""
     rows = table(spark, sf_dir, "embeddings")
     child = (F.col("label") * 10 + F.col("vec_id") % 3).cast("bigint").alias("child")
     names, matrix = small_matrix(centroids(rows.select(child, "embedding"), "child", "embedding"), "child", "vector")
     parents = small_matrix(centroids(rows, "label", "embedding"), "label", "vector")
     bounds = Bounds(TOP_ONE, LEAST_ONE, TOP_TWO, LEAST_TWO, LEAST_BOTH)
-    found = assign_children(rows, "vec_id", "embedding", parents, (names, [n // 10 for n in names], matrix), bounds)
-    return found.withColumns({"similarity": F.round("similarity", 6), "combined": F.round("combined", 6)})
+    crossing = [i for i, n in enumerate(names) if n // 10 == 0]
+    more = ([p for p in parents[0] if p % 2 == 0], [900 + names[i] for i in crossing], matrix[crossing]) if extra else None
+    return assign_children(rows, "vec_id", "embedding", parents, (names, [n // 10 for n in names], matrix), bounds, more)
+
+
+@query(f"SELECT vec_id, parent, child, round(similarity, 6) AS similarity, round(combined, 6) AS combined, rank FROM {ASSIGNED_TWO}")
+def vec_assign_l2(spark, sf_dir):
+    return level_two(spark, sf_dir).withColumns({"similarity": F.round("similarity", 6), "combined": F.round("combined", 6)})
+
+
+@query(f"SELECT vec_id, parent, child, round(similarity, 6) AS similarity, round(combined, 6) AS combined, rank FROM {ASSIGNED_EXTRA}")
+def vec_assign_l2_extra(spark, sf_dir):
+    """Second level with children that cut across parents."""
+    return level_two(spark, sf_dir, True).withColumns({"similarity": F.round("similarity", 6), "combined": F.round("combined", 6)})
+
+
+#: Children of a parent that a report shows.
+TOP_CHILDREN = 3
+
+
+def roll_up_children(assigned: DataFrame, report: str, most: int = TOP_CHILDREN) -> DataFrame:
+    """Children of each report and parent: score, rank, share of the parent and confidence."""
+    found = assigned.groupBy(report, "parent", "child").agg(
+        *[f(c).alias(f"{n}_{m}") for c, m in (("similarity", "similarity"), ("combined", "confidence")) for n, f in (("avg", F.avg), ("max", F.max))], F.count("*").alias("n_chunks")
+    )
+    score = 0.3 * F.col("avg_similarity") + 0.3 * F.col("max_similarity") + 0.2 * F.col("avg_confidence") + 0.2 * F.least(F.col("n_chunks") / 3.0, F.lit(1.0))
+    of_parent = Window.partitionBy(report, "parent")
+    found = found.withColumn("score", score)
+    found = found.withColumn("rank", F.row_number().over(of_parent.orderBy(F.round("score", 9).desc(), "child")).cast("bigint")).where(F.col("rank") <= most)
+    return found.withColumns({
+        "pct_of_parent": F.bround(100.0 * F.col("score") / F.sum("score").over(of_parent), 1), "combined_confidence": (F.col("avg_confidence") + F.col("max_confidence")) / 2,
+    })
+
+
+@query(f"""WITH g AS (SELECT vec_id % 50 AS report_id, parent, child, avg(similarity) AS a, max(similarity) AS m, avg(combined) AS ca, max(combined) AS cm, count(*) AS n_chunks FROM {ASSIGNED_EXTRA} GROUP BY 1, 2, 3),
+    s AS (SELECT *, 0.3::DOUBLE * a + 0.3::DOUBLE * m + 0.2::DOUBLE * ca + 0.2::DOUBLE * least(n_chunks / 3.0::DOUBLE, 1) AS score FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY report_id, parent ORDER BY round(score, 9) DESC, child) AS rank FROM s)
+    SELECT report_id, parent, child, n_chunks, round(score, 6) AS score, rank, round_even(100.0::DOUBLE * score / sum(score) OVER (PARTITION BY report_id, parent), 1) AS pct_of_parent, round((ca + cm) / 2, 6) AS combined_confidence
+    FROM r WHERE rank <= {TOP_CHILDREN}""")
+def vec_rollup_l2(spark, sf_dir):
+    """Second level by report: the best children of each parent."""
+    found = roll_up_children(level_two(spark, sf_dir, True).withColumn("report_id", F.col("vec_id") % 50), "report_id")
+    return found.select("report_id", "parent", "child", "n_chunks", F.round("score", 6).alias("score"), "rank", "pct_of_parent", F.round("combined_confidence", 6).alias("combined_confidence"))
 
 
 NEIGHBOURS = f"""(SELECT query, vec_id, s AS similarity, n AS rank FROM (SELECT q.vec_id AS query, e.vec_id, round({COSINE.format(a='q.embedding::DOUBLE[]', b='e.embedding::DOUBLE[]')}, 9) AS s,
