@@ -148,3 +148,104 @@ def enrich_collection(collection: DataFrame, arrays: DataFrame, key: str) -> Dat
     """Arrays put into a collection by key; keys without any get empty ones."""
     out = collection.join(arrays, key, "left")
     return out.withColumns({c: F.coalesce(c, F.array().cast(arrays.schema[c].dataType)) for c in arrays.columns if c != key})
+
+
+#: Fields that a page document must have, at the top and nested.
+PAGE_FIELDS = ("report_id", "page_number", "extraction_method", "extraction_pass", "text", "quality_metrics", "metadata")
+QUALITY_FIELDS = ("char_count", "alphabetic_ratio", "garbage_ratio", "word_count", "passes_threshold")
+METADATA_FIELDS = ("extracted_at", "extraction_time_ms", "pdf_source")
+CONFIDENCE_FIELDS = ("mean_confidence", "min_confidence", "max_confidence", "low_confidence_words", "total_words")
+
+
+def page_issues(pages: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, severity, issue) of page documents given as JSON text. The first error ends the
+    tests of a page, in the order: not JSON, a field missing, a quality field missing, no
+    confidence for recognised text, a confidence field missing. Each missing metadata field
+    is a warning, unless an earlier field is missing."""
+    part = lambda name: F.get_json_object(raw, f"$.{name}")
+    lacking = lambda keys, fields: F.filter(F.array(*[F.lit(f) for f in fields]), lambda f: ~F.coalesce(F.array_contains(keys, f), F.lit(False)))
+    tests = pages.select(
+        F.col(key), F.json_object_keys(raw).isNull().alias("broken"), lacking(F.json_object_keys(raw), PAGE_FIELDS).alias("top"),
+        lacking(F.json_object_keys(part("quality_metrics")), QUALITY_FIELDS).alias("quality"), lacking(F.json_object_keys(part("metadata")), METADATA_FIELDS).alias("metadata"),
+        (part("extraction_method") == "ocr").alias("ocr"), part("ocr_confidence").isNull().alias("unsure"), lacking(F.json_object_keys(part("ocr_confidence")), CONFIDENCE_FIELDS).alias("confidence"),
+    )
+    first = lambda c, text: F.when(F.size(c) > 0, F.concat(F.lit(text), F.get(c, F.lit(0))))
+    ocr = F.coalesce("ocr", F.lit(False))
+    early = F.coalesce(F.when(F.col("broken"), "invalid JSON"), first(F.col("top"), "missing field: "), first(F.col("quality"), "missing quality_metrics field: "))
+    late = F.when(ocr, F.coalesce(F.when(F.col("unsure"), "missing ocr_confidence"), first(F.col("confidence"), "missing ocr_confidence field: ")))
+    issue = lambda severity, text: F.struct(F.lit(severity).alias("severity"), text.alias("issue"))
+    warnings = F.transform("metadata", lambda f: issue("WARNING", F.concat(F.lit("missing metadata field: "), f)))
+    none = F.slice(warnings, 1, 0)
+    found = F.concat(
+        F.when(early.isNotNull(), F.array(issue("ERROR", early))).otherwise(none), F.when(early.isNull(), warnings).otherwise(none),
+        F.when(early.isNull() & late.isNotNull(), F.array(issue("ERROR", late))).otherwise(none),
+    )
+    return tests.select(key, F.explode(found).alias("x")).select(key, "x.severity", "x.issue")
+
+
+@query("""WITH p AS (SELECT doc_id, doc_id % 3 = 0 AS ocr, doc_id % 5 = 1 AS no_pass, doc_id % 7 = 2 AS no_words, doc_id % 4 = 3 AS no_source, CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 = 3 THEN 1 ELSE 2 END AS sure, doc_id % 11 = 0 AS broken FROM documents),
+    e AS (SELECT *, CASE WHEN broken THEN 'invalid JSON' WHEN no_pass THEN 'missing field: extraction_pass' WHEN no_words THEN 'missing quality_metrics field: word_count' END AS early FROM p)
+    SELECT doc_id, 'ERROR' AS severity, early AS issue FROM e WHERE early IS NOT NULL UNION ALL SELECT doc_id, 'WARNING', 'missing metadata field: pdf_source' FROM e WHERE early IS NULL AND no_source
+    UNION ALL SELECT doc_id, 'ERROR', CASE WHEN sure = 0 THEN 'missing ocr_confidence' ELSE 'missing ocr_confidence field: total_words' END FROM e WHERE early IS NULL AND ocr AND sure < 2""")
+def dq_page_schema(spark, sf_dir):
+    """Documents as page documents, some of them faulty, and what is wrong with these."""
+    lit, d = F.lit, F.col("doc_id")
+    without = lambda cond, names: F.when(cond, lit(None)).otherwise(names)
+    sure = F.struct(*[lit(50).alias(f) for f in CONFIDENCE_FIELDS[:4]], F.when(d % 6 != 3, 10).alias("total_words"))
+    body = F.to_json(F.struct(
+        F.coalesce("source", lit("")).alias("report_id"), d.alias("page_number"), F.when(d % 3 == 0, "ocr").otherwise("embedded").alias("extraction_method"), without(d % 5 == 1, lit(1)).alias("extraction_pass"),
+        F.left(F.coalesce("text", lit("")), lit(20)).alias("text"),
+        F.struct(*[lit(1).alias(f) for f in QUALITY_FIELDS if f != "word_count"], without(d % 7 == 2, lit(1)).alias("word_count")).alias("quality_metrics"),
+        F.struct(lit("now").alias("extracted_at"), lit(3).alias("extraction_time_ms"), without(d % 4 == 3, lit("x.pdf")).alias("pdf_source")).alias("metadata"),
+        F.when(d % 6 != 0, sure).alias("ocr_confidence"),
+    ))
+    raw = F.when(d % 11 == 0, F.concat(lit("x"), body)).otherwise(body)
+    return page_issues(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "doc_id", "raw")
+
+
+def exists(df: DataFrame, where: Column) -> DataFrame:
+    """One row: whether any row meets a condition; the scan ends at the first."""
+    return df.where(where).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+@query("SELECT count(*) > 0 AS found FROM (SELECT 1 FROM documents WHERE lang IS NOT NULL AND lang <> '' LIMIT 1)")
+def dq_exists(spark, sf_dir):
+    return exists(table(spark, sf_dir, "documents"), F.col("lang").isNotNull() & (F.col("lang") != ""))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 17 LIMIT 1")
+def scan_point_lookup(spark, sf_dir):
+    """One document by its id; the filter reaches the scan."""
+    return table(spark, sf_dir, "documents").where("doc_id = 17").limit(1).select("doc_id", "lang", "n_chars")
+
+
+@query("""SELECT doc_id, yy, CASE WHEN yy GLOB '[6-9][0-9]' THEN '19' || yy WHEN yy GLOB '[0-5][0-9]' THEN '20' || yy ELSE '2099' END AS year
+    FROM (SELECT doc_id, substr('AIR' || lpad((doc_id % 130)::VARCHAR, 2, '0'), 4, 2) AS yy FROM documents) ORDER BY year, doc_id""")
+def rep_century_order(spark, sf_dir):
+    """Two digits of a name as a year, and rows in that order."""
+    yy = F.substr(F.concat(F.lit("AIR"), F.lpad((F.col("doc_id") % 130).cast("string"), 2, "0")), F.lit(4), F.lit(2))
+    rows = table(spark, sf_dir, "documents").select("doc_id", yy.alias("yy"))
+    return rows.withColumn("year", century(F.col("yy"))).orderBy("year", "doc_id")
+
+
+def century(digits: Column) -> Column:
+    """60 to 99 as 19xx, 00 to 59 as 20xx, anything else as 2099."""
+    return F.when(digits.rlike("^[6-9][0-9]$"), F.concat(F.lit("19"), digits)).when(digits.rlike("^[0-5][0-9]$"), F.concat(F.lit("20"), digits)).otherwise("2099")
+
+
+def stratified_sample(rows: DataFrame, key: str, stratum: str, n: int, seed: int = 5) -> DataFrame:
+    """``n`` rows: from each stratum at most its quota, n divided by the strata (one at least),
+    topped up from the rest and cut at n. The order is a seeded hash of the key, so that only
+    each stratum's first rows, and n others, are shuffled."""
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    strata = rows.select(stratum).distinct().count()
+    quota = max(1, n // max(1, strata))
+    w = Window.partitionBy(stratum).orderBy("#h", key)
+    marked = rows.withColumn("#h", order).withColumn("#n", F.row_number().over(w)).where(F.col("#n") <= n)
+    return marked.orderBy(F.col("#n") > quota, "#h", key).limit(n).drop("#h", "#n")
+
+
+@query()
+def smp_top_up(spark, sf_dir):
+    """A sample of 40 documents by language; tests check quotas, top-up and size."""
+    return stratified_sample(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id", "lang", 40)

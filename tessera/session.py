@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +21,26 @@ def session(app: str = "tessera", master: str | None = None, **settings: str) ->
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | settings).getOrCreate()
+
+
+_own_folder: str | None = None
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session
+    names none, a temporary folder of this machine if all runs on it, else the warehouse."""
+    global _own_folder
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="tessera-")
+    return f"file://{_own_folder}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete a path when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -87,3 +88,37 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep: Sequence[st
 def delete_where(df: DataFrame, gone: Column) -> tuple[DataFrame, int]:
     """What stays, and how many rows go."""
     return df.where(~F.coalesce(gone, F.lit(False))), df.where(gone).count()
+
+
+def files_under(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, modificationTime, length) of files anywhere below a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return files.load(root).select("path", "modificationTime", "length")
+
+
+def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length, sha256) of the files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return files.load(root).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_with_metadata(df: DataFrame, path: str, **metadata: str) -> None:
+    """Parquet (snappy) in ``path/data``, with one row of facts about it in ``path/metadata``."""
+    df.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/data")
+    facts = df.sparkSession.createDataFrame([(metadata,)], "facts map<string, string>").withColumn("written_at", F.current_timestamp())
+    facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    return dict(spark.read.parquet(f"{path}/metadata").first().facts)
+
+
+def in_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 100) -> DataFrame:
+    """``fn`` over Arrow batches of at most ``rows`` rows, whatever the session's batch size."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
+
+    return df.mapInArrow(run, schema)
