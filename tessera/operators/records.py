@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import page_quality, preview, token_estimate
+from tessera.operators.reports import stratified_sample
 from tessera.plans.registry import query
 from tessera.sources.tables import table, write_parquet
 
@@ -233,19 +234,9 @@ def century(digits: Column) -> Column:
     return F.when(digits.rlike("^[6-9][0-9]$"), F.concat(F.lit("19"), digits)).when(digits.rlike("^[0-5][0-9]$"), F.concat(F.lit("20"), digits)).otherwise("2099")
 
 
-def stratified_sample(rows: DataFrame, key: str, stratum: str, n: int, seed: int = 5) -> DataFrame:
-    """``n`` rows: from each stratum at most its quota, n divided by the strata (one at least),
-    topped up from the rest and cut at n. The order is a seeded hash of the key, so that only
-    each stratum's first rows, and n others, are shuffled."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    strata = rows.select(stratum).distinct().count()
-    quota = max(1, n // max(1, strata))
-    w = Window.partitionBy(stratum).orderBy("#h", key)
-    marked = rows.withColumn("#h", order).withColumn("#n", F.row_number().over(w)).where(F.col("#n") <= n)
-    return marked.orderBy(F.col("#n") > quota, "#h", key).limit(n).drop("#h", "#n")
-
-
-@query()
+@query("""WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '-5'), doc_id) AS n FROM (SELECT doc_id, coalesce(lang, '') AS lang FROM documents)),
+    q AS (SELECT *, n > greatest(1, 40 // (SELECT count(DISTINCT lang) FROM h)) AS late FROM h WHERE n <= 40) SELECT doc_id, lang FROM q ORDER BY late, md5(doc_id || '-5'), doc_id LIMIT 40""")
 def smp_top_up(spark, sf_dir):
-    """A sample of 40 documents by language; tests check quotas, top-up and size."""
-    return stratified_sample(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id", "lang", 40)
+    """40 documents: a quota of each language, filled up from the rest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    return stratified_sample(rows, "lang", "doc_id", 40, "5")

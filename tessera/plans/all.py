@@ -1,6 +1,6 @@
 """All registered queries; importing the operators registers them."""
 
-from tessera.operators import assemble, chunking, dashboard, evaluation, keys, records, reports, retrieval, statistics, vectors, views  # noqa: F401
+from tessera.operators import assemble, chunking, dashboard, evaluation, keys, lookups, records, reports, retrieval, statistics, vectors, views  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 from tessera.streaming import incremental  # noqa: F401
 

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dashboard, evaluation, records, statistics, vectors
+from tessera.operators import dashboard, evaluation, lookups, records, reports, statistics, vectors
 from tessera.plans import cli, schemas
 from tessera.plans.all import QUERIES
 from tessera.sources import tables
@@ -71,13 +71,11 @@ def test_topics_cover_the_documents(spark):
 
 def test_stratified_sample_quotas_and_top_up(spark):
     rows = spark.createDataFrame([(i, "a" if i < 90 else "b" if i < 93 else "c") for i in range(100)], "id int, s string")
-    got = records.stratified_sample(rows, "id", "s", 30).collect()
+    got = reports.stratified_sample(rows, "s", "id", 30).collect()
     per = {s: sum(r.s == s for r in got) for s in "abc"}
     assert len({r.id for r in got}) == 30 and per["b"] == 3 and per["c"] == 7 and per["a"] == 20
-    assert records.stratified_sample(rows, "id", "s", 500).count() == 100
-    assert records.stratified_sample(rows, "id", "s", 2).count() == 2 and records.stratified_sample(rows.where("false"), "id", "s", 5).count() == 0
-    got = QUERIES["smp_top_up"](spark, DATA)
-    assert got.count() == 40 == got.select("doc_id").distinct().count()
+    assert reports.stratified_sample(rows, "s", "id", 500).count() == 100
+    assert reports.stratified_sample(rows, "s", "id", 2).count() == 2 and reports.stratified_sample(rows.where("false"), "s", "id", 5).count() == 0
 
 
 def test_page_issues_stop_at_the_first_error(spark):
@@ -162,3 +160,12 @@ def test_command_line(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "dim_children")).count() == 2
     assert cli.main(["exploration", "/nowhere", "--out", str(tmp_path)], spark, said.append) == 1 and "failed" in said[-1]
     assert all(cli.names_of(g) for g in cli.GROUPS)
+
+
+def test_runs_and_topics_are_read_back_if_they_are_there(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert lookups.read_run(spark, path, 1) is None
+    tables.write_run(spark.range(3), path, 1)
+    assert lookups.read_run(spark, path, 1).count() == 3 and lookups.read_run(spark, path, 2) is None
+    words = lookups.fixed_chunks(spark.createDataFrame([(1, "a b c d e f g"), (2, ""), (3, None)], "i int, t string"), "i", "t", 4, 1).orderBy("i", "n").collect()
+    assert [(r.i, r.n, r.chunk) for r in words] == [(1, 0, "a b c d"), (1, 1, "d e f g")]
