@@ -1,7 +1,7 @@
 """URL filters: host and path rules, then a path-template tree for what no rule covers.
 
-Every URL's path is a branch of its host's tree: runs of digits become ``<n>``, segments
-beyond ``DEPTH`` one ``**``. At each node, children that are mostly distinct become ``*``;
+Every URL's whole path is a branch of its host's tree: runs of digits become ``<n>``. Nodes are
+told by the hash of the path above them. At each node, children that are mostly distinct become ``*``;
 siblings whose labelled share of blocked pages is clearly on one side become ``[allow]`` or
 ``[block]`` (confidence bounds of the smoothed share), so statistically similar branches
 merge. URLs that a rule covers are the labels. A template's purity is its share of blocked
@@ -23,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 6
+from tessera.llm.common import written
+
 #: A node's children are variable if it has so many pages, and so large a share is distinct.
 VARIABLE_PAGES, VARIABLE_SHARE = 20, 0.5
 #: Width of the confidence bounds, weight of a prior share, share at which to block.
@@ -78,19 +79,18 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         "ruled": by_longest_rule(rules, F.col("host"), F.col("path"), lambda r: r.verdict),
         "segments": F.filter(F.split(F.regexp_replace("path", "[0-9]+", "<n>"), "/"), lambda s: s != ""),
     })
-    deep = F.concat(F.slice("segments", 1, DEPTH), F.array(F.lit("**")))
-    rows = rows.withColumn("segments", F.when(F.size("segments") > DEPTH, deep).otherwise(F.col("segments")))
     rows = rows.withColumn("shape", F.array_join("segments", "/"))
 
     labelled, blocked = F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
     shapes = rows.groupBy("host", "shape").agg(F.first("segments").alias("segments"), F.count("*").alias("n"), labelled, blocked)
+    shapes = written(shapes, "shapes")
 
     total = shapes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()  # one row
     share = (total.b or 0) / total.l if total.l else 0.0
 
     node = ["host", "level", "parent"]
     levels = shapes.select("host", "shape", "n", "labelled", "blocked", "segments", F.posexplode("segments").alias("level", "segment"))
-    levels = levels.withColumn("parent", F.array_join(F.slice("segments", F.lit(1), F.col("level")), "/")).drop("segments")
+    levels = levels.withColumn("parent", F.md5(F.array_join(F.slice("segments", F.lit(1), F.col("level")), "/"))).drop("segments")
     children = levels.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     nodes = children.groupBy(*node).agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"))
     smooth = (F.col("b") + 1.0) / (F.col("l") + 2.0)
@@ -99,7 +99,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     name = F.when(variable, "*").when(smooth + slack < 0.5, "[allow]").when(smooth - slack > 0.5, "[block]").otherwise(F.col("segment"))
     named = children.join(nodes, node).select(*node, "segment", name.alias("name"))
     paths = levels.join(named, [*node, "segment"]).groupBy("host", "shape")
-    # at most DEPTH + 1 names a path
+    # as many names as the path has segments
     paths = paths.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda x: x["name"]), "/").alias("template"))
 
     own = shapes.select("host", "shape", "labelled", "blocked").join(paths, ["host", "shape"], "left").withColumn("template", F.coalesce("template", F.lit("")))
@@ -132,7 +132,7 @@ WITH rest AS (
   SELECT *, {_sql_rule(lambda r: r.name)} AS rule, {_sql_rule(lambda r: r.verdict)} AS ruled,
          list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda s: s <> '') AS s FROM parts
 ), shaped AS (
-  SELECT page_id, host, path, rule, ruled, CASE WHEN len(s) > {DEPTH} THEN list_append(s[1:{DEPTH}], '**') ELSE s END AS segments FROM split
+  SELECT page_id, host, path, rule, ruled, s AS segments FROM split
 ), rows_ AS (
   SELECT *, array_to_string(segments, '/') AS shape FROM shaped
 ), shapes AS (

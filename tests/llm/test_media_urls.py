@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -31,6 +32,80 @@ def test_flac_of_extremes_and_without_seek_table():
         assert flac.decode([bare])[0][0] == payload
 
 
+def bits_of(value, n):
+    return format(value & ((1 << n) - 1), f"0{n}b") if n else ""
+
+
+def plain_crc(raw, poly, width):
+    crc = 0
+    for byte in raw:
+        crc ^= byte << (width - 8)
+        for _ in range(8):
+            crc = (crc << 1 ^ (poly if crc >> (width - 1) else 0)) & ((1 << width) - 1)
+    return crc
+
+
+def rice(residual, order, n, partitions):
+    """Residuals in 2**k partitions with a parameter each; None: as they are, 10 bits each."""
+    k, out, at = (len(partitions) - 1).bit_length(), "", 0
+    out += "00" + bits_of(k, 4)
+    for i, parameter in enumerate(partitions):
+        size = n // len(partitions) - (order if i == 0 else 0)
+        part, at = residual[at : at + size], at + size
+        if parameter is None:
+            out += "1111" + bits_of(10, 5) + "".join(bits_of(r, 10) for r in part)
+            continue
+        out += bits_of(parameter, 4)
+        for r in part:
+            u = 2 * r if r >= 0 else -2 * r - 1
+            out += "0" * (u >> parameter) + "1" + bits_of(u, parameter)
+    return out
+
+
+def plain_subframe(kind, x):
+    if kind == "constant":
+        return "0" + "000000" + "0" + bits_of(x[0], 8)
+    if kind == "verbatim":
+        return "0" + "000001" + "0" + "".join(bits_of(v, 8) for v in x)
+    if kind.startswith("fixed"):
+        order, residual = int(kind[5]), list(x)
+        for _ in range(order):
+            residual = [b - a for a, b in zip(residual, residual[1:])]
+        return "0" + "001" + bits_of(order, 3) + "0" + "".join(bits_of(v, 8) for v in x[:order]) + rice(residual, order, len(x), [2, 5, None, 3])
+    coefficients, shift = (5, -2, 1), 2  # of the last sample, the one before and so on
+    order = len(coefficients)
+    residual = [x[i] - (sum(c * x[i - 1 - j] for j, c in enumerate(coefficients)) >> shift) for i in range(order, len(x))]
+    head = "0" + "1" + bits_of(order - 1, 5) + "0" + "".join(bits_of(v, 8) for v in x[:order])
+    return head + bits_of(6 - 1, 4) + bits_of(shift, 5) + "".join(bits_of(c, 6) for c in coefficients) + rice(residual, order, len(x), [4, 4])
+
+
+def plain_stream(blocks):
+    """A stream written bit by bit after the format's description, without a seek table."""
+    frames = b""
+    for number, (kind, x) in enumerate(blocks):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, number, len(x) - 1])
+        head += bytes([plain_crc(head, 0x07, 8)])
+        body = plain_subframe(kind, x)
+        body += "0" * (-len(body) % 8)
+        frame = head + bytes(int(body[i : i + 8], 2) for i in range(0, len(body), 8))
+        frames += frame + plain_crc(frame, 0x8005, 16).to_bytes(2, "big")
+    samples = [v for _, x in blocks for v in x]
+    info = "".join([bits_of(16, 16), bits_of(256, 16), bits_of(0, 48), bits_of(8000, 20), bits_of(0, 3), bits_of(7, 5), bits_of(len(samples), 36)])
+    info = int(info, 2).to_bytes(18, "big") + hashlib.md5(bytes(v & 255 for v in samples)).digest()
+    padding = bytes([0x01, 0, 0, 3, 9, 9, 9])
+    return b"fLaC" + bytes([0, 0, 0, 34]) + info + bytes([0x81]) + padding[1:] + frames, bytes((v + 128) & 255 for v in samples)
+
+
+def test_streams_of_another_writer_are_read():
+    rng = random.Random(8)
+    wave = lambda n: [max(-128, min(127, int(60 * math.sin(i / 7)) + rng.randrange(-3, 4))) for i in range(n)]
+    blocks = [("constant", [-7] * 16), ("verbatim", [rng.randrange(-128, 128) for _ in range(40)]), ("linear", wave(200)), *((f"fixed{o}", wave(64 + 4 * o)) for o in range(5)), ("fixed0", [127, -128] * 32)]
+    stream, samples = plain_stream(blocks)
+    assert flac.decode([stream])[0][0] == samples
+    both = flac.decode([stream, flac.encode([b"ab" * 320])[0]])
+    assert [b[0] for b in both] == [samples, b"ab" * 320]
+
+
 @pytest.mark.parametrize("back", [1, 2, 40, 300])
 def test_flac_checksums_catch_changes(back):
     stream = bytearray(flac.encode([(b"the quick brown fox jumps over " * 100)[:2560]])[0])
@@ -104,6 +179,15 @@ def test_templates_follow_their_labels(spark):
     assert got[0][1].startswith("[block]") and got[100][1].startswith("[allow]")
 
 
+def test_deep_paths_are_told_apart(spark):
+    """Paths that differ only after many segments have templates of their own."""
+    stem = "/".join(f"p{i}" for i in range(12))
+    rows = [(i, f"http://deep.com/{side}/{stem}") for i, side in enumerate(["fr", "de"] * 30)]
+    rows += [(100 + i, f"http://deep.net/{stem}/{'good' if i % 2 else 'bad'}/{i}") for i in range(60)]
+    got = {r.page_id: r.template for r in U.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert all("**" not in t for t in got.values()) and got[100] != got[101] and got[100].count("/") >= 13
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.op2_url_filters(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
