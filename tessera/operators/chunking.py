@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import FOOTNOTE_REFERENCE, SENTENCE_BREAK, footnote_references, normalized, page_quality, skip_reason
+from tessera.functions.text import FOOTNOTE_REFERENCE, footnote_references, normalized, page_quality, skip_reason
 from tessera.operators.assemble import documents_of, source_quality
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -40,7 +40,7 @@ MERGE_GAP, PARAGRAPH_MEAN, PARAGRAPH_LEAST = 50, 100, 50
 #: Footnote definitions by number or symbol, and by word.
 DEFINITION = re.compile(r"^\s*(\d+|[!*])/\s*(.+?)(?=\n\s*\d+/|\n\s*$|\Z)", re.MULTILINE | re.DOTALL)
 WORD_DEFINITION = re.compile(r"^\s*([a-zA-Z]+\d*)/\s*(.+?)(?=\n\s*[a-zA-Z]+\d*/|\n\s*$|\Z)", re.MULTILINE | re.DOTALL)
-_BREAK, _REFERENCE = re.compile(SENTENCE_BREAK), re.compile(FOOTNOTE_REFERENCE)
+_STOP, _REFERENCE = re.compile(r"[.!?]\s+(?=[A-Z])"), re.compile(FOOTNOTE_REFERENCE)
 #: Tokens of a chunk at least, as aimed at, and at most; tokens of the overlap.
 LEAST_TOKENS, AIM_TOKENS, MOST_TOKENS, OVERLAP_TOKENS = 400, 600, 800, 100
 
@@ -145,11 +145,26 @@ class Sentence:
     section: Section
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut at SENTENCE_BREAK. Stops are searched first, as they are rare, and then what
+    stands before them is looked at."""
+    out, begin = [], 0
+    for m in _STOP.finditer(text):
+        at = m.start()
+        before = text[max(0, at - 2) : at]
+        last = before[-1:]
+        if (last.isascii() and last.isalpha()) or (len(before) == 2 and before.isdecimal()):
+            out.append(text[begin : at + 1])
+            begin = m.end()
+    out.append(text[begin:])
+    return out
+
+
 def sentences_in(text: str, sections: list[Section], count: Counter = token_count) -> list[Sentence]:
     """Sentences of all sections. A repeated sentence is placed at its first occurrence."""
     out, known = [], {}
     for s in sections:
-        for piece in _BREAK.split(text[s.start : s.end]):
+        for piece in pieces_of(text[s.start : s.end]):
             if piece := piece.strip():
                 if (s.start, piece) not in known:
                     known[s.start, piece] = text.find(piece, s.start), count(piece)
