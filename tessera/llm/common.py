@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import delete_at_exit, shared_root
+
 #: Rows of one Arrow batch; documents are long, so batches hold few of them.
 ARROW_ROWS = 2000
 
-_own_folder: str | None = None
 _kept: dict[str, object] = {}
 
 
@@ -30,27 +32,15 @@ def release() -> None:
     _kept.clear()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A local folder of our own is used only where the session names none, as in tests.
-    """
-    global _own_folder
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="tessera-")
-    return f"file://{_own_folder}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: executors lost later cost no recomputation, and values that
-    depend on task order (row positions, partition numbers) are fixed once.
+    depend on task order (row positions, partition numbers) are fixed once. The file system
+    deletes it when the application ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}-{label}"
+    path = f"{shared_root(df.sparkSession)}/tessera-{uuid.uuid4().hex}-{label}"
+    delete_at_exit(df.sparkSession, path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -108,3 +98,28 @@ def arrow_schema(schema: str) -> pa.Schema:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Whole texts; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def ranges_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def dealt(rows: DataFrame, tasks: int, *columns: str):
+    """``rows`` grouped by ``columns``, over at least ``tasks`` tasks."""
+    if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, *columns)
+    return rows.groupBy(*columns)
+
+
+def slices(column: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(first row, end) of neighbouring values of some ``most`` bytes together."""
+    group = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64)) // most
+    edges = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(column)].tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def binary_of(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` bytes, laid end to end in ``data``."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
