@@ -13,9 +13,9 @@
    the text covers ``SURE`` of its words, or ``LIKELY`` of them and its answer (its last
    quarter) is found in order as well.
 6. Items under ``PASSAGE`` words fill too little of a passage for its cosine. They are also
-   looked for by their rarest words, one of which any text that holds ``LIKELY`` of the item
-   has; around each, a stretch of the item's own length and a quarter more on both sides is
-   checked the same way.
+   looked for by their rarest words, ``TOGETHER`` of which any text that holds ``LIKELY`` of
+   the item has near each other; around them, a stretch of the item's own length and a quarter
+   more on both sides is checked the same way.
 
 Defined cases: null, empty and blank texts and items match nothing; repeated documents are
 reported one by one; a row with a null id is reported with it; items found by their words
@@ -25,16 +25,15 @@ read nor returned; texts are searched whole.
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, as_batch, map_rows, small_batches, texts_of, written
+from tessera.llm.common import arrow_schema, as_batch, binary_of, map_rows, ranges_of, release, slices, small_batches, written
 
 BUCKETS, SKETCH, RANK = 1 << 13, 72, 64
 PASSAGE = 16
@@ -51,54 +50,82 @@ ITEM_PASSAGES = 16_384
 FAN_IN = 64
 #: Passages compared at once in a task.
 GROUP = 1_024
-_OTHER = re.compile(r"[\W_]+")
-
-
-class Words(dict):
-    """Hashes of words, kept up to a bound. A word without letters or digits is 0."""
-
-    KEPT = 1_000_000
+#: What is not part of words.
+OTHER = r"[^\p{L}\p{N}]+"
+#: Bytes of text whose words are hashed at once.
+SLICE = 4 << 20
+#: Of the rarest words of a short item, how many must stand near each other.
+TOGETHER = 3
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """A 32-bit hash of each string, 0 of empty ones only."""
+    ends = np.cumsum(pc.binary_length(strings).to_numpy().astype(np.int64))
+    begin = np.r_[0, ends[:-1]]
+    data = np.frombuffer("".join(strings.to_numpy(zero_copy_only=False)).encode(), np.uint8)
+    out, full = np.zeros(len(strings), dtype=np.uint32), np.flatnonzero(ends > begin)
+    if not len(full):
+        return out
+    place = np.arange(len(data)) - np.repeat(begin, ends - begin)
+    power = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    sums = np.add.reduceat((data + np.uint64(1)) * power[place], begin[full])
+    sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    out[full] = np.maximum(1, (sums ^ (sums >> np.uint64(29))) >> np.uint64(32))
+    return out
 
-    def __missing__(self, word: str) -> int:
-        plain = word if word.isalnum() else _OTHER.sub("", word)
-        value = self[word] = zlib.crc32(plain.encode("utf-8", "surrogatepass")) | 1 << 32 if plain else 0
-        return value
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        out, get = [], self.__getitem__
-        for text in texts:
-            if len(self) > self.KEPT:
-                self.clear()
-            words = text.lower().split()
-            found = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
-            out.append((found if found.all() else found[found > 0]).astype(np.uint32))
-        return out
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts end to end, and how many each text has. Each word is
+    hashed once; those without letters or digits are left out."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    n = pc.list_value_length(split).to_numpy()
+    coded = split.flatten().dictionary_encode()
+    found = string_hashes(pc.replace_substring_regex(coded.dictionary, pattern=OTHER, replacement=""))[coded.indices.to_numpy()]
+    real = found > 0
+    return found[real], np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, words) with 32-bit word hashes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    state: list[Words] = []
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, words binary"
+    small_batches(docs.sparkSession)
+    kinds = arrow_schema(schema)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        if not state:
-            state.append(Words())
-        return {"id": batch.column(0), "words": [h.tobytes() for h in state[0].of(texts_of(batch))]}
+    def run(batches):
+        release()
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in slices(texts, SLICE):
+                words, n = word_hashes(texts.slice(a, b - a))
+                yield as_batch({"id": batch.column(0).slice(a, b - a), "words": binary_of(words, 4 * n)}, kinds)
 
-    return map_rows(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, words binary")
+    return rows.mapInArrow(run, schema)
 
 
-def _padded(batch: pa.RecordBatch, step: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Buckets of a batch's words in rows of ``step`` (BUCKETS fills up), the number of
-    rows of each document, and the word hashes."""
-    words = [np.frombuffer(w or b"", np.uint32) for w in batch.column(batch.schema.get_field_index("words")).to_pylist()]
-    rows = np.array([-(-len(w) // step) for w in words], dtype=np.int64)
-    flat = np.full(int(rows.sum()) * step, BUCKETS, dtype=np.int64)
-    if len(flat):
-        lens = np.array([len(w) for w in words])
-        at = np.repeat((np.cumsum(rows) - rows) * step - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        flat[at] = np.concatenate(words) & (BUCKETS - 1)
-    return flat.reshape(-1, step), rows, words
+@dataclass
+class Texts:
+    """Words of a batch's documents, end to end; document d has ``words[begin[d]:begin[d + 1]]``."""
+
+    words: np.ndarray
+    begin: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Texts:
+        raw = [w or b"" for w in batch.column(batch.schema.get_field_index("words")).to_pylist()]
+        return cls(np.frombuffer(b"".join(raw), np.uint32), np.cumsum([0, *(len(w) // 4 for w in raw)]))
+
+    def stretch(self, d: int, start: int, stop: int) -> np.ndarray:
+        return self.words[self.begin[d] + start : min(self.begin[d] + stop, self.begin[d + 1])]
+
+    def padded(self, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets in rows of ``step`` (BUCKETS fills up), and the number of rows of each document."""
+        n = np.diff(self.begin)
+        rows = -(-n // step)
+        flat = np.full(int(rows.sum()) * step, BUCKETS, dtype=np.int64)
+        at = np.repeat((np.cumsum(rows) - rows) * step - self.begin[:-1], n) + np.arange(len(self.words))
+        flat[at] = self.words & (BUCKETS - 1)
+        return flat.reshape(-1, step), rows
 
 
 def once(rows: np.ndarray) -> np.ndarray:
@@ -148,7 +175,7 @@ def _partial_sums(table: DataFrame, size: int, add) -> np.ndarray:
 
         total = np.zeros(size)
         for batch in batches:
-            rows, _, _ = _padded(batch, PASSAGE)
+            rows, _ = Texts.of(batch).padded(PASSAGE)
             for start in range(0, len(rows), 4 * GROUP):
                 total += add(rows[start : start + 4 * GROUP])
         yield as_batch({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]}, kinds)
@@ -229,54 +256,67 @@ class Items:
 
 @dataclass
 class Short:
-    """The rarest words of short items, sorted: the item of each, and its place in the item."""
+    """The rarest words of short items, sorted: the item of each, and its place in the item.
+    For all items: how many of these words must stand together, in how long a stretch."""
 
     word: np.ndarray
     item: np.ndarray
     at: np.ndarray
     known: np.ndarray  # whether the low 16 bits of a word occur
+    together: np.ndarray
+    shift: np.ndarray
 
     @classmethod
     def of(cls, words: list[np.ndarray], frequency: np.ndarray) -> Short:
-        found = []
+        found, together = [], np.ones(len(words), dtype=np.int64)
         for i, w in enumerate(words):
             if 0 < len(w) < PASSAGE:
+                # a text with `need` of the words holds one at least of any len - need + 1
+                need = -(-len(w) * 3 // 5)
+                together[i] = min(TOGETHER, need)
                 rarest = np.argsort(frequency[w.astype(np.int64) & (BUCKETS - 1)], kind="stable")
-                found.extend((int(w[at]), i, int(at)) for at in rarest[: len(w) - -(-len(w) * 3 // 5) + 1])
+                found.extend((int(w[at]), i, int(at)) for at in rarest[: len(w) - need + int(together[i])])
         word, item, at = np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T
         known = np.zeros(1 << 16, dtype=bool)
         known[word & 0xFFFF] = True
-        return cls(word.astype(np.uint32), item, at, known)
+        shift = np.array([len(w) + 2 * (len(w) // 4) for w in words], dtype=np.int64)
+        return cls(word.astype(np.uint32), item, at, known, together, shift)
 
-    def places(self, text: np.ndarray) -> list[tuple[int, int]]:
-        """(item, begin) wherever one of the words is in the text, each once."""
-        maybe = np.flatnonzero(self.known[text & 0xFFFF])
-        first, last = (np.searchsorted(self.word, text[maybe], side) for side in ("left", "right"))
+    def places(self, texts: Texts) -> list[tuple[int, int, int]]:
+        """(document, item, begin) wherever enough of the words are near each other."""
+        maybe = np.flatnonzero(self.known[texts.words & 0xFFFF])
+        first, last = (np.searchsorted(self.word, texts.words[maybe], side) for side in ("left", "right"))
         n = last - first
-        which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        places = np.stack([self.item[which], np.repeat(maybe, n) - self.at[which]], 1)
-        return [tuple(p) for p in np.unique(places, axis=0).tolist()]
-
-
-def short_leaks(short: Short, items: list[np.ndarray], text: np.ndarray) -> dict[int, tuple[float, int]]:
-    """The best (share, start) of each short item that the text holds."""
-    out: dict[int, tuple[float, int]] = {}
-    if not len(short.word):
-        return out
-    listed = text.tolist()
-    as_set: dict[int, list[int]] = {}
-    for i, begin in short.places(text):
-        item = items[i]
-        slack = len(item) // 4
-        start = max(0, begin - slack)
-        stretch = set(listed[start : begin + len(item) + slack])
-        if i not in as_set:
-            as_set[i] = item.tolist()
-        if sum(w in stretch for w in as_set[i]) < LIKELY * len(item):
-            continue
-        good, share = leaked(item, text[start : begin + len(item) + slack])
-        if good and share > out.get(i, (0.0,))[0]:
-            out[i] = share, start
+        which = ranges_of(first, n)
+        item, word = self.item[which], np.repeat(maybe, n)
+        doc = np.searchsorted(texts.begin, word, "right") - 1
+        # begins of one item and document are neighbours, those of others far away
+        begin = word - texts.begin[doc] - self.at[which]
+        place = np.lexsort((begin, item, doc))
+        doc, item, begin = doc[place], item[place], begin[place]
+        group = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else doc
+        line = group * (1 << 32) + begin
+        until = np.searchsorted(line, line + self.shift[item], "right")
+        good = np.flatnonzero(until - np.arange(len(line)) >= self.together[item])
+        held = np.zeros(len(line) + 1, dtype=np.int64)
+        np.add.at(held, good, 1)
+        np.add.at(held, until[good], -1)
+        kept = np.flatnonzero(np.cumsum(held)[:-1] > 0)
+        places = np.unique(np.stack([doc[kept], item[kept], begin[kept]], 1), axis=0)
+        return [tuple(p) for p in places.tolist()]
+
+
+def short_leaks(short: Short, items: list[np.ndarray], texts: Texts) -> dict[tuple[int, int], tuple[float, int]]:
+    """The best (share, start) of each document's short items."""
+    out: dict[tuple[int, int], tuple[float, int]] = {}
+    if len(short.word):
+        for d, i, begin in short.places(texts):
+            item = items[i]
+            slack = len(item) // 4
+            start = max(0, begin - slack)
+            good, share = leaked(item, texts.stretch(d, start, begin + len(item) + slack))
+            if good and share > out.get((d, i), (0.0,))[0]:
+                out[d, i] = share, start
     return out
 
 
@@ -325,7 +365,8 @@ def search(table: DataFrame, items: Items, latent: Latent, item_kind: str) -> Da
 
     def run(batch: pa.RecordBatch) -> dict:
         items, terms, mean = shared.value
-        rows, n, words = _padded(batch, HALF)
+        texts = Texts.of(batch)
+        rows, n = texts.padded(HALF)
         ids = batch.column(0).to_pylist()
         doc = np.repeat(np.arange(len(n)), n)
         first_row = np.cumsum(n) - n
@@ -349,13 +390,12 @@ def search(table: DataFrame, items: Items, latent: Latent, item_kind: str) -> Da
         for (d, i, _), (cosine, begin) in best.items():
             item = items.words[i]
             start = max(0, begin - PASSAGE)
-            good, share = leaked(item, words[d][start : begin + len(item) + PASSAGE])
+            good, share = leaked(item, texts.stretch(d, start, begin + len(item) + PASSAGE))
             if good and share > out.get((d, i), (0.0,))[0]:
                 out[d, i] = share, start, cosine
-        for d, text in enumerate(words):
-            for i, (share, start) in short_leaks(items.short, items.words, text).items():
-                if share > out.get((d, i), (0.0,))[0]:
-                    out[d, i] = share, start, None
+        for key, (share, start) in short_leaks(items.short, items.words, texts).items():
+            if share > out.get(key, (0.0,))[0]:
+                out[key] = share, start, None
         return {
             "id": [ids[d] for d, _ in out], "item": [items.ids[i] for _, i in out], "word": [v[1] for v in out.values()],
             "share": [v[0] for v in out.values()], "cosine": [v[2] for v in out.values()],
@@ -374,7 +414,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item").collect()
-        words = Words().of([r.text for r in own])
+        flat, n = word_hashes(pa.array([r.text for r in own], pa.string()))
+        words = np.split(flat, np.cumsum(n)[:-1]) if own else []
         found = search(table, prepare([r.item for r in own], words, latent), latent, item_kind)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
