@@ -1,14 +1,18 @@
 """Suffix-array dedup: bytes of strings that also start in a document of smaller id.
 
 1. Exact copies of whole texts are found by their SHA-256 and removed against the smallest
-   id, so that groups of copies never meet again.
+   id. Of the copies that a task holds, only the least goes on to the anchors, and no copy
+   to the contexts.
 2. Every repeated string of ``LENGTH`` bytes holds a content-defined anchor (``anchors``).
    Anchor hashes, one for each document, travel as packed byte planes by hash range;
-   those of two or more documents go back to their documents.
+   those of two or more documents go back to their documents. If a task holds an anchor in
+   several documents, it knows that it repeats: two of them and their number tell its range,
+   and the others go straight back, so a frequent anchor's documents don't meet in one task.
 3. Each window of LENGTH bytes belongs to one anchor, told by its own bytes alone.
    Neighbouring windows of a repeated anchor are one context. Contexts that a task holds
    twice are settled there; the rest go to shards by anchor hash, so equal windows meet.
-   Windows of anchors in over ``HOT`` documents go one by one, by their own hash.
+   Windows of anchors in over ``HOT`` documents (or one millionth of all anchors, if more: so
+   there are never many) go one by one, by their own hash.
 4. A shard sorts the suffixes that start at its windows in two stages: those smaller than
    their successor are sorted directly, the others are induced by one scan over the buckets
    of first bytes. Neighbours whose common prefix reaches LENGTH form classes; in a class,
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import anchors, gram_hashes
-from tessera.llm.common import arrow_schema, as_batch, map_rows, release, small_batches, texts_of, written
+from tessera.llm.common import arrow_schema, as_batch, dealt, map_rows, ranges_of, release, small_batches, texts_of, written
 
 LENGTH, GRAM = 50, 22
 WINDOW = LENGTH - GRAM + 1
@@ -43,7 +47,8 @@ HOT = 20_000
 #: results of before it sends them; anchors and context bytes of a range or shard.
 CHUNK, GATHER, GATHER_CONTEXTS, RANGE_ANCHORS, SHARD_BYTES = 256 << 10, 8 << 20, 1 << 20, 300_000, 512 << 10
 _KEY_BITS = 40
-_WHOLE = 1 << 30
+#: More bytes than any text has.
+_WHOLE = (1 << 31) - 1
 
 
 def planes(values: np.ndarray, size: int) -> bytes:
@@ -97,71 +102,105 @@ def _lists(ids: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     return [pa.array(own), *(pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in values)]
 
 
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(id, keys, hot): anchor keys of each document that another one has too, those of over
-    HOT documents apart."""
-    small_batches(rows.sparkSession)
-    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(16, int(size * 2 / (WINDOW + 1) / RANGE_ANCHORS))
-    kinds = arrow_schema("part int, keys binary, ids binary")
-
-    def send(batches):
-        keys, owners_, size = [], [], 0
-
-        def flush():
-            key, own = np.concatenate(keys), np.concatenate(owners_)
-            order = np.argsort(key, kind="stable")
-            key, own = key[order], own[order]
-            out = {"part": [], "keys": [], "ids": []}
-            for part, rows in _split(key * ranges >> _KEY_BITS, ranges):
-                out["part"].append(part)
-                out["keys"].append(planes(key[rows], 5))
-                out["ids"].append(planes(own[rows], 8))
-            return as_batch(out, kinds)
-
-        for ids, data, ends in chunks(batches):
-            hashes = gram_hashes(data, GRAM)
-            at = anchors(hashes, WINDOW)
-            doc = np.searchsorted(ends, at, "right")
-            inside = at + GRAM <= ends[doc]
-            both = np.unique(_keys(hashes[at[inside]]) << 23 | doc[inside])  # under 2^23 documents a chunk
-            keys.append(both >> 23)
-            owners_.append(ids[both & ((1 << 23) - 1)])
-            size += len(data)
-            if size >= GATHER:
-                yield flush()
-                keys, owners_, size = [], [], 0
-        if keys:
+def _send_anchors(batches, ranges: int):
+    """Rows (back, part, keys, ids, counts). For ranges of anchors (not ``back``): keys, ids
+    and how many documents each stands for. Straight back to parts of documents: keys, ids."""
+    kinds = arrow_schema(_ANCHORS)
+    keys, owned, size = [], [], 0
+    copies: dict[bytes, int] = {}
+
+    def flush():
+        key, own = np.concatenate(keys), np.concatenate(owned)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[first, len(key)])
+        nth = np.arange(len(key)) - np.repeat(first, n)
+        count = np.where(nth == 0, 1, np.repeat(n, n) - 1)
+        out = {f.name: [] for f in kinds}
+        told, back = np.flatnonzero(nth < 2), np.flatnonzero(nth >= 2)
+        for part, rows in _split(key[told] * ranges >> _KEY_BITS, ranges):
+            rows = told[rows]
+            _append(out, False, part, planes(key[rows], 5), planes(own[rows], 8), planes(count[rows], 3))
+        for part, rows in _split(_part(own[back], ranges), ranges):
+            rows = back[rows]
+            _append(out, True, part, planes(key[rows], 5), planes(own[rows], 8), None)
+        return as_batch(out, kinds)
+
+    for ids, data, ends in chunks(batches):
+        least = []
+        for i, start, end in zip(ids.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            seen = copies.setdefault(hashlib.blake2b(data[start:end], digest_size=16).digest(), i)
+            least.append(i <= seen)
+        hashes = gram_hashes(data, GRAM)
+        at = anchors(hashes, WINDOW)
+        doc = np.searchsorted(ends, at, "right")
+        inside = (at + GRAM <= ends[doc]) & np.array(least)[doc]
+        both = np.unique(_keys(hashes[at[inside]]) << 23 | doc[inside])  # under 2^23 documents a chunk
+        keys.append(both >> 23)
+        owned.append(ids[both & ((1 << 23) - 1)])
+        size += len(data)
+        if size >= GATHER:
             yield flush()
+            keys, owned, size = [], [], 0
+    if keys:
+        yield flush()
 
-    packed = arrow_schema("part int, keys binary, ids binary")
 
-    def repeated(table: pa.Table) -> pa.Table:
-        key = np.concatenate([from_planes(b, 5) for b in table.column("keys").to_pylist()])
-        ids = np.concatenate([from_planes(b, 8) for b in table.column("ids").to_pylist()])
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        again = np.r_[False, (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])]
-        key, ids = key[~again], ids[~again]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        docs = np.repeat(n := np.diff(np.r_[first, len(key)]), n)
-        key, ids, hot = key[docs > 1], ids[docs > 1], docs[docs > 1] > HOT
-        out = {"part": [], "keys": [], "ids": []}
-        for part, own in _split(_part(ids, ranges), ranges):
-            out["part"].append(part)
-            out["keys"].append(planes(key[own] << 1 | hot[own], 6))
-            out["ids"].append(planes(ids[own], 8))
-        return pa.table({n: pa.array(v, f.type) for (n, v), f in zip(out.items(), packed, strict=True)})
-
-    def by_document(table: pa.Table) -> pa.Table:
-        key = np.concatenate([from_planes(b, 6) for b in table.column("keys").to_pylist()])
-        ids = np.concatenate([from_planes(b, 8) for b in table.column("ids").to_pylist()])
-        cols = _lists(ids, np.where(key & 1, -1 - (key >> 1), key >> 1))
-        return pa.table(cols, schema=arrow_schema("id bigint, keys array<bigint>"))
-
-    kind = "part int, keys binary, ids binary"
-    found = rows.mapInArrow(send, kind).groupBy("part").applyInArrow(repeated, kind)
-    return found.groupBy("part").applyInArrow(by_document, "id bigint, keys array<bigint>")
+_ANCHORS = "back boolean, part int, keys binary, ids binary, counts binary"
+_REPEATED = "part int, keys binary, ids binary"
+
+
+def _append(out: dict, *row) -> None:
+    for column, value in zip(out.values(), row, strict=True):
+        column.append(value)
+
+
+def _repeated(table: pa.Table, ranges: int, hot: int) -> pa.Table:
+    """Of a range, the anchors of two or more documents, by part of the documents. Part -1
+    holds those of over ``hot`` documents."""
+    kinds = arrow_schema(_REPEATED)
+    if table.column("back")[0].as_py():
+        return table.select(kinds.names)
+    read = lambda c, size: np.concatenate([from_planes(b, size) for b in table.column(c).to_pylist()])
+    key, ids, count = read("keys", 5), read("ids", 8), read("counts", 3)
+    order = np.lexsort((-count, ids, key))
+    key, ids, count = key[order], ids[order], count[order]
+    again = np.r_[False, (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])]
+    key, ids, count = key[~again], ids[~again], count[~again]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    docs = np.repeat(np.add.reduceat(count, first) if len(first) else first, np.diff(np.r_[first, len(key)]))
+    out = {f.name: [] for f in kinds}
+    often = np.unique(key[docs > hot])
+    if len(often):
+        _append(out, -1, planes(often, 5), b"")
+    key, ids = key[docs > 1], ids[docs > 1]
+    for part, own in _split(_part(ids, ranges), ranges):
+        _append(out, part, planes(key[own], 5), planes(ids[own], 8))
+    return pa.table({n: pa.array(v, f.type) for (n, v), f in zip(out.items(), kinds, strict=True)})
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(id, keys) of a part of the documents; part -1 becomes one row without an id."""
+    read = lambda c, size: np.concatenate([from_planes(b, size) for b in table.column(c).to_pylist()])
+    key, kinds = read("keys", 5), arrow_schema("id bigint, keys array<bigint>")
+    if table.column("part")[0].as_py() < 0:
+        return pa.table({"id": [None], "keys": [key]}, schema=kinds)
+    return pa.table(_lists(read("ids", 8), key), schema=kinds)
+
+
+def repeated_anchors(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Written (id, keys), the anchor keys of each document that another one has too, and the
+    keys of over HOT documents (at most a million; each has over a millionth of all)."""
+    small_batches(rows.sparkSession)
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(16, int(size * 2 / (WINDOW + 1) / RANGE_ANCHORS))
+    hot = max(HOT, size // 1_000_000)  # a text has fewer anchors than bytes
+    sent = dealt(rows.mapInArrow(lambda b: _send_anchors(b, ranges), _ANCHORS), 2 * ranges // 32, "back", "part")
+    met = dealt(sent.applyInArrow(lambda t: _repeated(t, ranges, hot), _REPEATED), ranges // 16, "part")
+    found = written(met.applyInArrow(_by_document, "id bigint, keys array<bigint>"), "anchors")
+    often = [k for r in found.where("id is null").toLocalIterator() for k in r.keys]
+    return found.where("id is not null"), often
 
 
 def _part(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -225,8 +264,8 @@ def _isin_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 _SENT = "shard int, text binary, windows binary, ids binary, times binary, starts binary"
 
 
-def _send_contexts(batches, shards: int):
-    kinds = arrow_schema(_SENT)
+def _send_contexts(batches, shards: int, hot):
+    kinds, hot = arrow_schema(_SENT), np.sort(np.array(hot.value, dtype=np.int64))
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     past: set[int] = set()
 
@@ -237,7 +276,8 @@ def _send_contexts(batches, shards: int):
         batch = batch.filter(pc.is_valid(batch.column(2)))
         for i, keys in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             k = np.unique(np.array(keys, dtype=np.int64))
-            held[i] = k[k >= 0], np.sort(-1 - k[k < 0])
+            often = _isin_sorted(k, hot)
+            held[i] = k[~often], k[often]
         return batch
 
     gathered: list[tuple[np.ndarray, ...]] = []
@@ -259,8 +299,8 @@ def _send_contexts(batches, shards: int):
         out = {f.name: [] for f in kinds}
         for shard, rows in _split(spread[sent] * shards >> _KEY_BITS, shards):
             size = n[sent[rows]] + LENGTH - 1
-            where = text[_ranges(begin[sent[rows]], size)].tobytes()
-            places = place[kept[_ranges(first[rows], times[rows])]]
+            where = text[ranges_of(begin[sent[rows]], size)].tobytes()
+            places = place[kept[ranges_of(first[rows], times[rows])]]
             _row(out, shard, where, n[sent[rows]], own[sent[rows]], times[rows], places)
         for shard, rows in _split(own[settled] % shards, shards):
             rows = settled[rows]
@@ -274,7 +314,7 @@ def _send_contexts(batches, shards: int):
         doc, start, n, spread, whole = contexts(data, ends, [held[i][0] for i in ids.tolist()], [held[i][1] for i in ids.tolist()])
         past.update(ids.tolist())
         if len(start):
-            texts.append(data[_ranges(start, n + LENGTH - 1)])
+            texts.append(data[ranges_of(start, n + LENGTH - 1)])
             begin = np.r_[0, ends[:-1]]
             gathered.append((n, ids[doc], start - begin[doc], spread, whole[start], whole[start + n - 1]))
             size += len(texts[-1])
@@ -291,11 +331,6 @@ def _row(out, shard, text, n, ids, times, starts):
         column.append(value)
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one range after the other."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-
-
 def suffix_order(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """The wanted suffixes of ``text`` in order of their first ``depth`` bytes, by two-stage
     sorting. ``text`` is strings laid end to end, ``ends`` the end of each (sorted); a suffix
@@ -413,7 +448,7 @@ def _settle(table: pa.Table, parts: int) -> pa.Table:
             new = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1] + 1) | (context[1:] != context[:-1])])
             until = np.r_[new[1:], len(gone)] - 1
             c = context[new]  # each run of windows, at each start of its context
-            begin = at[_ranges((np.cumsum(times) - times)[c], times[c])]
+            begin = at[ranges_of((np.cumsum(times) - times)[c], times[c])]
             ids.append(np.repeat(own[c], times[c]))
             starts.append(begin + np.repeat(place[new], times[c]))
             stops.append(begin + np.repeat(place[until] + LENGTH, times[c]))
@@ -440,18 +475,19 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *others)
     real = rows.where("id is not null and octet_length(text) >= %d" % LENGTH)
     marks = written(real.select("id", F.unhex(F.sha2("text", 256)).alias("sha")).distinct(), "marks")
-    firsts = marks.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = written(marks.join(firsts, "sha").where("id > first").select("id").distinct(), "copies")
-    found = written(repeated_anchors(real), "anchors")
+    firsts = marks.groupBy("sha").agg(F.min("id").alias("id"))
+    copies = written(marks.join(firsts, ["id", "sha"], "left_anti").select("id").distinct(), "copies")
+    found, often = repeated_anchors(real)
+    hot = rows.sparkSession.sparkContext.broadcast(often)
     lists = found.join(copies, "id", "left_anti")
     total = found.select(F.sum(F.size("keys"))).first()[0] or 0
     shards = max(16, int(total * (LENGTH + WINDOW // 2) / SHARD_BYTES))
     parts = max(16, total // 500_000)
     # a left join like the one with the spans below, so that both read one exchange of the texts
     # (so the rest goes along, unread)
-    sent = rows.join(lists, "id", "left").select("id", "text", "keys", *rows.columns[2:]).mapInArrow(lambda b: _send_contexts(b, shards), _SENT)
-    packed = sent.groupBy("shard").applyInArrow(lambda t: _settle(t, parts), _SPANS)
-    spans = packed.groupBy("part").applyInArrow(_unpack, "id bigint, starts array<bigint>, stops array<bigint>")
+    sent = rows.join(lists, "id", "left").select("id", "text", "keys", *rows.columns[2:]).mapInArrow(lambda b: _send_contexts(b, shards, hot), _SENT)
+    packed = dealt(sent, shards // 128, "shard").applyInArrow(lambda t: _settle(t, parts), _SPANS)
+    spans = dealt(packed, parts // 16, "part").applyInArrow(_unpack, "id bigint, starts array<bigint>, stops array<bigint>")
     whole = copies.select("id", F.array(F.lit(0).cast("bigint")).alias("starts"), F.array(F.lit(_WHOLE).cast("bigint")).alias("stops"))
     return rows, spans.unionByName(whole)
 
