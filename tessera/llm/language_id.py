@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, as_batch, map_rows, release, small_batches, texts_of
+from tessera.llm.common import arrow_schema, as_batch, map_rows, release, small_batches, texts_of, written
 
 BUCKETS = 1 << 14
 #: Cost, in log probability of a word, of a switch of language between two words.
@@ -108,7 +108,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", script_share: float = 0.01) -> Model:
     """A model of all labelled rows: at most MAX_LANGUAGES x (BUCKETS + scripts) numbers."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = _counts(rows.where("lang is not null and text is not null"))
+    found = written(_counts(rows.where("lang is not null and text is not null")), "grams")
     languages = sorted(r.lang for r in found.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -152,7 +152,8 @@ class Labeller:
         allowed = m.scripts[scripts_of(full)]
         score = mean * (np.minimum(sizes + 1, 8) / 2)[:, None]
         score = score - np.where(allowed, score, -np.inf).max(1, keepdims=True, initial=-1e30)
-        score = np.where(allowed, score, np.where(allowed.any(1, keepdims=True), -60.0, 0.0)).astype(np.float32)
+        # a row of zeros is no evidence, so the best of a known script is a little less
+        score = np.where(allowed, score - 1e-6, np.where(allowed.any(1, keepdims=True), -60.0, 0.0)).astype(np.float32)
         number = iter(range(len(self.letters), len(self.letters) + len(full)))
         self.index.update((w, next(number) if p else 0) for w, p in zip(words, plain, strict=True))
         self.scores = np.concatenate([self.scores, score])
