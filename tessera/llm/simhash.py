@@ -26,11 +26,12 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm import golay
-from tessera.llm.common import arrow_schema, as_batch, map_rows, texts_of, written
+from tessera.llm.common import arrow_schema, as_batch, dealt, map_rows, release, small_batches, texts_of, written
 from tessera.llm.components import components
 
 MAX_BITS = 4
@@ -193,7 +194,7 @@ def links(distinct: DataFrame) -> DataFrame:
         rows = {"a": np.r_[a, hot], "b": pa.array(np.r_[b, hot], mask=np.r_[np.zeros(len(a), bool), np.ones(len(hot), bool)])}
         return pa.table({k: pa.array(v) for k, v in rows.items()}, schema=kinds)
 
-    found = written(keyed.groupBy("part").applyInArrow(verify, "a bigint, b bigint"), "found")
+    found = written(dealt(keyed, ranges // 4, "part").applyInArrow(verify, "a bigint, b bigint"), "found")
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     wide = max(16, -(-hot.count() * 2081 // RANGE_ROWS))
     near = hot.mapInArrow(lambda b: _packed(b, wide, 2_000, words_near), "part int, keys binary, fps binary")
@@ -205,7 +206,7 @@ def links(distinct: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([center, fps], 1)[center != fps], axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=kinds)
 
-    starred = near.groupBy("part").applyInArrow(star, "a bigint, b bigint")
+    starred = dealt(near, wide // 4, "part").applyInArrow(star, "a bigint, b bigint")
     return found.where("b is not null").unionByName(starred).distinct()
 
 
@@ -226,6 +227,8 @@ BANDS, BAND_ROWS = 46, 7
 SIMILAR = (4, 5)
 #: Larger groups of a band are first compared with one member only.
 PAIRED = 8
+#: Rounds in which the rest of a group is compared with some members, and how many.
+ROUNDS, ROOTS = 2, 4
 #: Pairs that one copy of a shingle set is compared in.
 PAIRS_A_COPY = 256
 _SEEDS = np.random.default_rng(17).integers(0, 1 << 32, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.array([[[0]], [[1]]], np.uint32)
@@ -338,53 +341,155 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(joined.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, id) of one key but not of one component."""
+def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Written (key, main, id, component): members of the keys that hold several components,
+    with the one that most of them are in."""
     named = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     tally = named.groupBy("key", "component").count().groupBy("key")
     tally = tally.agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
-    split = written(named.join(tally.select("key", F.col("most.component").alias("main")), "key"), "split")
+    return written(named.join(tally.select("key", F.col("most.component").alias("main")), "key"), "split")
+
+
+def _across(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one key but not of one component."""
     other = split.where("component != main").select("key", F.col("id").alias("a"), F.col("component").alias("of"))
-    pairs = other.join(split, "key").where("component != of and (component = main or id < a)")
+    pairs = other.join(split.select("key", "id", "component", "main"), "key").where("component != of and (component = main or id < a)")
     return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
+def _joined(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) with the components that ``links`` (a, b) connect made one. Components
+    are the nodes of that graph, so it is small."""
+    a, b = (grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    named = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    above = components(named.distinct())
+    lone = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().join(grouped, "node", "left_anti")
+    every = grouped.unionByName(lone.withColumn("component", F.col("node")))
+    found = every.join(above.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    return written(found.select("node", F.coalesce("least", "component").alias("component")), "labels")
+
+
+def _settled(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) with all links between ``members`` (key, id) of a key.
+
+    In each of ROUNDS, the members outside their key's main component are compared with ROOTS
+    members of it, others each time, so that near copies of one text join it with a few pairs
+    a member. Those still outside are then compared with all members in other components, so
+    that no link between components is left out.
+    """
+    for number in range(ROUNDS + 1):
+        split = _split(members, grouped)
+        if split.isEmpty():
+            return grouped
+        if number < ROUNDS:
+            w = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(number)), "id")
+            roots = split.where("component = main").withColumn("n", F.row_number().over(w)).where(F.col("n") <= ROOTS)
+            roots = roots.select("key", F.col("id").alias("a"))
+            pairs = split.where("component != main").join(roots, "key").select("a", F.col("id").alias("b")).distinct()
+        else:
+            pairs = _across(split)
+        links = written(verified(written(pairs, "pairs"), sets), "links")
+        if not links.isEmpty():
+            grouped = _joined(grouped, links)
+    return grouped
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): groups of texts linked by shingle sets alike by SIMILAR or more.
+    """(id, text_hash, component_id, kept): groups of texts linked by shingle sets alike by
+    SIMILAR or more, for every row that has an id. ``text_hash`` is that of the normal words;
+    ``kept`` marks one (id, text_hash) of each group, that of its smallest id.
 
-    Texts of equal words become one row. A set's minimum hashes under BANDS x BAND_ROWS
+    Texts of equal words become one node. A set's minimum hashes under BANDS x BAND_ROWS
     permutations give a key a band; texts of similarity s share one with probability
     1 - (1 - s^7)^46, 0.99998 at 0.8. Pairs that meet are links only if their whole shingle
-    sets, written once by id, are alike by SIMILAR. Groups of over PAIRED texts are compared
-    with their smallest id first; then all their members in different components are
-    compared with each other, so no link between components is left out. Ids are integers.
+    sets, written once by node, are alike by SIMILAR. Groups of over PAIRED texts are compared
+    with their smallest node first, and then as ``_settled`` says, so that no link between
+    components is left out.
+
+    Defined cases: null, empty and blank texts are one group, as their sets are equal; rows
+    that repeat id and text are one member; rows of one id with unlike texts are members of
+    different groups; rows with a null id are left out; an empty table gives no rows. Ids are
+    integers.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def run(batch):
         words = [normal_words(t) for t in texts_of(batch)]
         keys = [band_keys(shingle_set(w, shingle)).tobytes() for w in words]
-        return {"id": batch.column(0), "fp": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "keys": keys}
+        return {"id": batch.column(0), "fp": [text_hash(w) for w in words], "keys": keys}
 
     marked = written(map_rows(rows, run, "id bigint, fp binary, keys binary"), "bands")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "distinct")
+    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("keys").alias("keys"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     ranges = max(16, -(-distinct.count() * BANDS // RANGE_ROWS))
-    keyed = distinct.select("keys", "least").mapInArrow(lambda b: _packed_bands(b, ranges), "part int, keys binary, ids binary")
-    found = written(keyed.groupBy("part").applyInArrow(_candidates, _FOUND), "found")
+    keyed = distinct.select("keys", "node").mapInArrow(lambda b: _packed_bands(b, ranges), "part int, keys binary, ids binary")
+    found = written(dealt(keyed, ranges // 4, "part").applyInArrow(_candidates, _FOUND), "found")
     pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def sets_of(batch):
-        return {"id": batch.column(0), "hashes": [shingle_set(normal_words(t), shingle).tobytes() for t in texts_of(batch)]}
-
-    sets = written(map_rows(rows.join(needed, "id"), sets_of, "id bigint, hashes binary"), "sets")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = distinct.join(needed, "node").select("node", F.col("least").alias("id"), "fp")
+    # a shuffle at every size, as it must be where the wanted ids are many
+    sets = _sets(rows.join(wanted.hint("merge"), "id").select("node", "fp", "text"), shingle)
     links = written(verified(pairs, sets), "links")
     grouped = components(links)
-    across = written(_across(found.where("b is null").select("key", F.col("a").alias("id")), grouped), "across")
-    if not across.isEmpty():
-        more = written(verified(across, sets), "links")
-        if not more.isEmpty():
-            grouped = components(links.unionByName(more))
-    named = distinct.join(grouped.withColumnRenamed("node", "least"), "least", "left")
-    named = named.select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+    grouped = _settled(found.where("b is null").select("key", F.col("a").alias("id")), grouped, sets)
+    named = distinct.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = named.groupBy("component").agg(F.min(F.struct("least", "node")).alias("first"))
+    named = named.join(firsts, "component").select("fp", "least", F.col("first.least").alias("component_id"), (F.col("node") == F.col("first.node")).alias("own"))
+    out = marked.select("id", "fp").join(named, "fp")
+    kept = F.col("own") & (F.col("id") == F.col("least"))
+    return out.select(F.col("id").alias(id_col), F.col("fp").alias("text_hash"), "component_id", kept.alias("kept"))
+
+
+def text_hash(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Written (id, hashes), one row a node, from the texts (node, fp, text) of rows that have
+    a node's id; only texts with its hash are the node's. Repeated rows go within each task,
+    and by an exchange only where some are left."""
+    small_batches(texts.sparkSession)
+    kinds = arrow_schema("id bigint, hashes binary")
+
+    def run(batches):
+        release()
+        seen: set[int] = set()
+        for batch in batches:
+            out = {"id": [], "hashes": []}
+            for node, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True):
+                words = normal_words(text)
+                if node not in seen and text_hash(words) == fp:
+                    seen.add(node)
+                    out["id"].append(node)
+                    out["hashes"].append(shingle_set(words, shingle).tobytes())
+            yield as_batch(out, kinds)
+
+    sets = written(texts.mapInArrow(run, "id bigint, hashes binary"), "sets")
+    repeated = sets.groupBy("id").count().where("count > 1")
+    return sets if repeated.isEmpty() else written(sets.dropDuplicates(["id"]), "sets")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each group of ``similar_groups``: that of its
+    smallest id. Rows that repeat id and words become one; rows with a null id stay."""
+    own_id = F.col(f"`{id_col}`").cast("bigint")
+    groups = written(similar_groups(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"), "groups")
+    repeated = written(groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("#id")), "repeated")
+    gone = groups.where("not kept").select(F.col("id").alias("#id")).unionByName(repeated).distinct()
+    out = docs.join(gone, own_id == F.col("#id"), "left_anti")
+    if repeated.isEmpty():
+        return out
+    position = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = (t or "" for t in batch.column(position).to_pylist())
+            hashes = pa.array([text_hash(normal_words(t)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, "#hash"])
+
+    several = docs.join(repeated, own_id == F.col("#id"), "left_semi")
+    several = several.mapInArrow(run, StructType([*docs.schema.fields, StructField("#hash", BinaryType())]))
+    kept = groups.where("kept").select(F.col("id").alias("#id"), F.col("text_hash").alias("#own"))
+    several = several.join(kept, (own_id == F.col("#id")) & (F.col("#hash") == F.col("#own")), "left_semi").dropDuplicates([id_col, "#hash"])
+    return out.unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -148,6 +149,83 @@ def test_removal_equals_brute_force(spark):
     assert as_map(D.dedup_report(docs)) == plain_removal([(order[i], (t or "").encode()) for i, t in enumerate(texts)])
 
 
+def groups(tables, *columns):
+    """Rows of Arrow tables by the values of some columns, as Spark would deal them."""
+    whole = pa.concat_tables([t if isinstance(t, pa.Table) else pa.Table.from_batches([t]) for t in tables])
+    keys = list(zip(*(whole.column(c).to_pylist() for c in columns), strict=True))
+    return [whole.take([i for i, k in enumerate(keys) if k == key]) for key in sorted(set(keys))]
+
+
+def steps(tasks, hot, ranges=5, shards=4, parts=3):
+    """The steps of suffix dedup over tasks of (id, text), without Spark: removal masks by id."""
+    batch = lambda rows: pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    every = [r for t in tasks for r in t]
+    first = {}
+    for i, t in every:
+        first[t] = min(first.get(t, i), i)
+    copies = {i for i, t in every if first[t] < i}
+    sent = [b for t in tasks for b in D._send_anchors([batch(t)], ranges)]
+    met = [D._repeated(g, ranges, hot) for g in groups(sent, "back", "part")]
+    lists, often = {}, []
+    for g in groups(met, "part"):
+        for r in D._by_document(g).to_pylist():
+            if r["id"] is None:
+                often += r["keys"]
+            else:
+                lists[r["id"]] = r["keys"]
+
+    class Often:
+        value = often
+
+    rows = [batch(t).append_column("keys", pa.array([None if i in copies else lists.get(i) for i, _ in t], pa.list_(pa.int64()))) for t in tasks]
+    sent = [b for r in rows for b in D._send_contexts([r], shards, Often)]
+    found = [D._settle(g, parts) for g in groups(sent, "shard")] if sent else []
+    spans = {r["id"]: (r["starts"], r["stops"]) for g in (groups(found, "part") if found else []) for r in D._unpack(g).to_pylist()}
+    out = {}
+    for i, t in every:
+        raw = t.encode()
+        out[i] = D.removed_mask(len(raw), *(([0], [D._WHOLE]) if i in copies and len(raw) >= D.LENGTH else spans.get(i, ([], []))))
+    return out, often, lists, sent
+
+
+@pytest.mark.parametrize("hot", [2, 5, 10_000])
+@pytest.mark.parametrize("trial", range(3))
+def test_steps_with_hot_anchors_and_several_flushes(monkeypatch, hot, trial):
+    """Frequent passages, copies, several flushes a task and several shards."""
+    for name, value in (("CHUNK", 2_000), ("GATHER", 5_000), ("GATHER_CONTEXTS", 3_000)):
+        monkeypatch.setattr(D, name, value)
+    rng = random.Random(trial)
+    shared = [words_text(rng, n) for n in (10, 14, 40)]
+    texts = [" ".join(rng.choice([words_text(rng, rng.randrange(1, 30)), rng.choice(shared)]) for _ in range(4)) for _ in range(80)]
+    texts += [texts[0]] * 12 + ["ab" * 90, "ab" * 40]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    docs = list(zip(ids, texts, strict=True))
+    got, often, lists, sent = steps([docs[:50], docs[50:70], docs[70:]], hot)
+    want = plain_removal([(i, t.encode()) for i, t in docs])
+    assert {i: int(m.sum()) for i, m in got.items()} == {i: w[1] for i, w in want.items()}
+    assert (len(often) > 0) == (hot < 10_000) and len({r for b in sent for r in b.column(0).to_pylist()}) > 1
+
+
+def test_copies_of_a_task_send_their_anchors_once():
+    text = words_text(random.Random(1), 200)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(100, 200), pa.int64()), "text": [text] * 100})
+    sent = pa.Table.from_batches(list(D._send_anchors([batch], 4)))
+    assert {i for b in sent.column("ids").to_pylist() for i in D.from_planes(b, 8).tolist()} == {100}
+
+
+def test_frequent_anchors_go_straight_back():
+    passage = words_text(random.Random(2), 60)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(300), pa.int64()), "text": [f"{passage} own{i}" for i in range(300)]})
+    sent = list(D._send_anchors([batch], 4))
+    told = [D.from_planes(k, 5) for b in sent for back, k in zip(b.column("back").to_pylist(), b.column("keys").to_pylist(), strict=True) if not back]
+    keys, n = np.unique(np.concatenate(told), return_counts=True)
+    assert n.max() <= 2
+    found = [D._repeated(g, 4, 250) for g in groups(sent, "back", "part")]
+    often = [k for t in found for p, b in zip(t.column("part").to_pylist(), t.column("keys").to_pylist(), strict=True) if p < 0 for k in D.from_planes(b, 5)]
+    assert often and {r["id"] for g in groups(found, "part") if g.column("part")[0].as_py() >= 0 for r in D._by_document(g).to_pylist()} == set(range(300))
+
+
 def test_removal_in_awkward_rows(spark):
     got = D.dedup_report(awkward(spark)).collect()
     assert len(got) == awkward(spark).count()
@@ -266,3 +344,24 @@ def test_large_groups_equal_brute_force(spark):
                 want = [new if w == old else w for w in want]
     assert 1 < len(set(want)) < 60
     assert groups_of(spark, texts) == dict(enumerate(want))
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(15)
+    a, b, c = (words_text(rng, 80, 5000) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b + " end"), (4, a.upper()), (None, a), (None, None), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id bigint, text string, id string, component_id int").repartition(3)
+    kept = H.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", a), ("1", b), ("2", c), ("None", a), ("None", "None"), ("5", "None")])
+    groups_ = {(r.doc_id, r.text_hash.hex()): (r.component_id, r.kept) for r in H.similar_groups(docs).collect()}
+    assert len({k for k, v in groups_.items() if v[1]}) == 4 and len(groups_) == 7
+    assert H.without_near_duplicates(docs.where("false")).count() == 0
+
+
+def test_a_row_repeated_very_often_is_one_member(spark):
+    rng = random.Random(16)
+    base = words_text(rng, 60, 5000)
+    rows = [(7, base)] * 500 + [(8, base + " tail")] + [(9, words_text(rng, 60, 5000))]
+    kept = H.without_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 9]
