@@ -1,8 +1,10 @@
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate as B
@@ -72,6 +74,14 @@ def test_languages_of_awkward_rows(spark, model):
     assert kept.columns == awkward(spark).columns and kept.where("doc_id in (0, 1, 2, 8)").count() == 0
 
 
+def test_one_language_is_told_from_unknown_scripts(spark):
+    rows = [("en", "only one language is known here")]
+    only = L.train(spark.createDataFrame(rows, "lang string, text string"))
+    docs = spark.createDataFrame([(1, "language here"), (2, "это простой"), (3, "12")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(docs, only).collect()}
+    assert got[1][0] == "en" and got[1][1] > 0.99 and got[2] == ("en", 0.0) and got[3] == ("und", 0.0)
+
+
 def test_quality_of_held_out_documents(spark):
     found = queries.op6_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
     held = found[found.held_out]
@@ -94,6 +104,47 @@ def test_quality_of_awkward_rows(spark):
     assert {r.score for r in Q.quality_scores(docs, none).collect()} == {0.5}
 
 
+def plain_ftrl(rows, passes):
+    """Scores by follow the regularised leader, one number at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= Q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    for order in passes:
+        for r in order:
+            x, label = rows[r]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / Q.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return lambda x: 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+
+
+def test_quality_scores_equal_plain_updates(spark, monkeypatch):
+    """One shard of all rows, in the order of the passes, against dictionaries of numbers."""
+    monkeypatch.setattr(Q, "SHARDS", 1)
+    rng = random.Random(5)
+    texts = [words_text(rng, rng.randrange(0, 40), 60) + (" good" if i % 2 else " BAD!!") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r.score for r in Q.quality_scores(docs, Q.train(docs, Q.sample(labels, F.col("quality")))).collect()}
+    rows = []
+    for i, t in enumerate(texts):
+        buckets = next(iter(Q.Features().of([t]))).tolist()
+        x = {b: buckets.count(b) / max(1, len(buckets)) * Q.SCALE for b in set(buckets)}
+        rows.append((x | {Q.BUCKETS: 1.0}, i % 2))
+    order = np.random.default_rng(7)
+    score = plain_ftrl(rows, [order.permutation(60) for _ in range(Q.PASSES)])
+    assert all(abs(got[i] - score(x)) < 1e-6 for i, (x, _) in enumerate(rows))
+
+
 def test_shapes_of_words():
     assert [Q.shape(w) for w in ("Word", "WORD!!", "word", "a1b22", "%%%", "...")] == ["Aa", "AA!!", "a", "a9a9", "%%", ".."]
 
@@ -157,7 +208,8 @@ def test_leaks_of_whole_items(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     joined = lambda t: f" {' '.join(plain_words(t))} "
     bench = [(r.item_id, joined(r.text)) for r in items.collect()]
-    want = {(r.doc_id, i) for r in docs.collect() for i, t in bench if t in joined(r.text)}
+    texts = [(r.doc_id, joined(r.text)) for r in docs.collect()]
+    want = {(d, i) for d, text in texts for i, t in bench if t in text}
     assert {(r.doc_id, r.item_id) for r in B.contaminated(docs, items).collect()} == want
 
 
@@ -173,6 +225,34 @@ def test_paraphrased_leak(spark):
     assert [g[:2] for g in got] == [(17, 1)] and 0.8 < got[0][2] < 1
 
 
+@pytest.mark.parametrize(("share", "least"), [(0.1, 1.0), (0.2, 0.97), (0.3, 0.75)])
+def test_recall_of_edited_items(spark, share, least):
+    """Items of 40 words with a share of them changed, each in a text of its own."""
+    rng = random.Random(int(share * 10))
+    bench, texts = [], []
+    for i in range(100):
+        words = words_text(rng, 40, 5000).split()
+        bench.append((i, " ".join(words)))
+        for at in rng.sample(range(40), int(share * 40)):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join([words_text(rng, 100, 5000), *words, words_text(rng, 60, 5000)]))
+    texts += [words_text(rng, 200, 5000) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in B.contaminated(docs, spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert all(d == i for d, i in got) and len(got) >= least * 100
+
+
+def test_words_of_texts():
+    texts = ["The don't  CAT_a %% \n été", "", " % ", "日本 x"]
+    flat, n = B.word_hashes(pa.array(texts))
+    plain = [plain_words(t) for t in texts]
+    assert n.tolist() == [len(w) for w in plain]
+    word = {}
+    for w, h in zip([w for p in plain for w in p], flat.tolist(), strict=True):
+        assert word.setdefault(w, h) == h
+    assert len(set(word.values())) == len(word) and 0 not in word.values()
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, words_text(random.Random(1), 30))], "item_id bigint, text string")
     assert B.contaminated(awkward(spark), bench).count() == 0
