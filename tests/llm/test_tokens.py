@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,7 @@ from tests.llm.helpers import awkward, nothing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+ENCODER = P.Encoder(open(PATH, "rb").read(), 7)
 COUNTER = TokenCounter(open(PATH, "rb").read())
 
 
@@ -56,6 +58,32 @@ def check_packing(pieces, ids, window=1024):
     assert padding == 0 and sorted(sequences) == list(range(len(sequences)))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab.,'’ \n\t\x1c\u3000é日1") , max_size=30), min_size=1, max_size=6))
+def test_ids_equal_the_library(texts):
+    ids, n = ENCODER.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    for text, a, b in zip(texts, ends - n, ends, strict=True):
+        assert ids[a:b].tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 7]
+
+
+def test_ids_of_special_strings_and_a_full_cache(monkeypatch):
+    texts = ["<|endoftext|> a", "b<|endoftext|>", "plain text", "", "two  spaces", "line\nfeed", "\nfirst", "last\n"]
+    for bound in (1_000_000, 3):
+        monkeypatch.setattr(P.bpe, "CACHE", bound)
+        for _ in range(2):
+            ids, n = ENCODER.encode(pa.array(texts))
+            assert ids.tolist() == [i for t in texts for i in [*LIBRARY.encode(t, add_special_tokens=False).ids, 7]] and n.sum() == len(ids)
+
+
+def test_residuals_are_packed_greedily():
+    left = np.zeros(65, dtype=np.int64)
+    left[[40, 24, 30, 34, 50, 63]] = [10, 10, 4, 4, 3, 2]
+    fills = P.greedy_fills(left, 64)
+    assert sorted((lengths.tolist(), n) for lengths, _, n in fills) == [([24, 40], 10), ([30, 34], 4)]
+    assert left[50] == 3 and left[63] == 2 and left.sum() == 5
+
+
 def ids_of(docs):
     return {r.doc_id: np.array([*LIBRARY.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4") for r in docs.collect()}
 
