@@ -323,14 +323,19 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return common * whole >= (len(both) - common) * part
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, of ``sets`` (id, hashes), are alike. An id in many
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs with the shingle sets of both, of ``sets`` (id, hashes). An id in many
     pairs as ``a`` has its set copied, so that its pairs are dealt over tasks."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1")
     dealt = pairs.join(copies, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
     firsts = sets.withColumnsRenamed({"id": "a", "hashes": "x"}).join(copies, "a", "left")
     firsts = firsts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
     joined = dealt.drop("copies").join(sets.withColumnsRenamed({"id": "b", "hashes": "y"}), "b").join(firsts, ["a", "copy"])
+    return joined.select("a", "b", "x", "y")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike."""
 
     def run(batch):
         x, y = (batch.column(i).to_pylist() for i in (2, 3))
@@ -338,7 +343,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         kept = np.flatnonzero(good)
         return {"a": batch.column(0).take(pa.array(kept)), "b": batch.column(1).take(pa.array(kept))}
 
-    return map_rows(joined.select("a", "b", "x", "y"), run, "a bigint, b bigint")
+    return map_rows(_with_sets(pairs, sets), run, "a bigint, b bigint")
 
 
 def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -350,11 +355,57 @@ def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
     return written(named.join(tally.select("key", F.col("most.component").alias("main")), "key"), "split")
 
 
-def _across(split: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one key but not of one component."""
-    other = split.where("component != main").select("key", F.col("id").alias("a"), F.col("component").alias("of"))
-    pairs = other.join(split.select("key", "id", "component", "main"), "key").where("component != of and (component = main or id < a)")
-    return pairs.select("a", F.col("id").alias("b")).distinct()
+def _differences(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """Written (main, id, u, c) of the members of each main component's keys.
+
+    Let D(x) be the shingles in which x differs from the set of the main component's node,
+    d its size, c how many of these another member's D holds too, and n the size of x. Two
+    sets differ in d(x) + d(y) - 2 |D(x) & D(y)| shingles, where the last is at most c(x) and
+    c(y); they are alike if that is at most (n(x) + n(y)) (w - p) / (w + p) for a similarity
+    of p / w. With u = (w + p) d - (w - p) n, they can be alike only if
+    u(x) + u(y) <= 2 (w + p) min(c(x), c(y)).
+    """
+    part, whole = SIMILAR
+
+    def run(batch):
+        out = {k: [] for k in ("a", "b", "d", "u", "e")}
+        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            own = np.setxor1d(x, y, assume_unique=True)
+            u = (whole + part) * len(own) - (whole - part) * len(y)
+            for column, value in zip(out.values(), (a, b, len(own), u, own.tobytes()), strict=True):
+                column.append(value)
+        return out
+
+    def elements(batch):
+        own = [np.frombuffer(e, np.int64) for e in batch.column(2).to_pylist()]
+        at = np.repeat(np.arange(len(own)), list(map(len, own)))
+        return {"a": batch.column(0).take(pa.array(at)), "b": batch.column(1).take(pa.array(at)), "e": np.concatenate([np.zeros(0, np.int64), *own])}
+
+    pairs = split.select(F.col("main").alias("a"), F.col("id").alias("b")).distinct()
+    found = written(map_rows(_with_sets(written(pairs, "pairs"), sets), run, "a bigint, b bigint, d bigint, u bigint, e binary"), "differences")
+    single = map_rows(found.select("a", "b", "e"), elements, "a bigint, b bigint, e bigint")
+    single = single.groupBy("a", "e").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count("*").alias("own"))
+    joined = found.drop("e").join(single, ["a", "b"], "left").withColumn("c", F.col("d") - F.coalesce("own", F.lit(0)))
+    return written(joined.select(F.col("a").alias("main"), F.col("b").alias("id"), "u", "c"), "differences")
+
+
+def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one key but not of one component that can be alike, told by
+    ``_differences``: first for each member by the least of its key, then for each pair."""
+    most = 2 * sum(SIMILAR)
+    rows = split.join(_differences(split, sets), ["main", "id"]).withColumns({"v": F.col("u") - most * F.col("c"), "other": F.col("component") != F.col("main")})
+    room = most * F.col("c") - F.col("u")
+    bounds = rows.groupBy("key").agg(
+        F.min("u").alias("least_u"), F.min("v").alias("least_v"), F.max(F.when(F.col("other"), -F.col("u"))).alias("most_v"), F.max(F.when(F.col("other"), room)).alias("most_u")
+    )
+    rows = written(rows.join(bounds, "key"), "across")
+    first = rows.where(F.col("other") & (F.col("least_v") <= -F.col("u")) & (F.col("least_u") <= room))
+    x = first.select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("u").alias("ua"), F.col("c").alias("ca"))
+    second = rows.where((F.col("v") <= F.col("most_v")) & (F.col("u") <= F.col("most_u")))
+    y = second.select("key", F.col("id").alias("b"), "component", "main", "u", "c")
+    pairs = x.join(y, "key").where((F.col("component") != F.col("of")) & ((F.col("component") == F.col("main")) | (F.col("b") < F.col("a"))) & (F.col("ua") + F.col("u") <= most * F.least("ca", "c")))
+    return pairs.select("a", "b").distinct()
 
 
 def _joined(grouped: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,8 +425,8 @@ def _settled(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFra
 
     In each of ROUNDS, the members outside their key's main component are compared with ROOTS
     members of it, others each time, so that near copies of one text join it with a few pairs
-    a member. Those still outside are then compared with all members in other components, so
-    that no link between components is left out.
+    a member. Those still outside are then compared with all members in other components that
+    they can be alike to, so that no link between components is left out.
     """
     for number in range(ROUNDS + 1):
         split = _split(members, grouped)
@@ -387,7 +438,7 @@ def _settled(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFra
             roots = roots.select("key", F.col("id").alias("a"))
             pairs = split.where("component != main").join(roots, "key").select("a", F.col("id").alias("b")).distinct()
         else:
-            pairs = _across(split)
+            pairs = _across(split, sets)
         links = written(verified(written(pairs, "pairs"), sets), "links")
         if not links.isEmpty():
             grouped = _joined(grouped, links)

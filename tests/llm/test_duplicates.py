@@ -365,3 +365,34 @@ def test_a_row_repeated_very_often_is_one_member(spark):
     rows = [(7, base)] * 500 + [(8, base + " tail")] + [(9, words_text(rng, 60, 5000))]
     kept = H.without_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
     assert sorted(r.doc_id for r in kept.collect()) == [7, 9]
+
+
+@pytest.mark.parametrize("trial", range(3))
+def test_pairs_across_components_hold_all_that_are_alike(spark, trial):
+    """Near copies of one set, with edits of their own or shared, longer and shorter ones, and
+    unlike sets: no pair of unlike components that is alike is left out, and few others stay."""
+    rng = random.Random(trial)
+    base = [rng.getrandbits(60) for _ in range(60)]
+    pool = [rng.getrandbits(60) for _ in range(12)]
+    sets = {0: base}
+    for i in range(1, 150):
+        own = list(base)
+        for _ in range(rng.randrange(0, 26)):
+            where = rng.randrange(len(own))
+            how = rng.randrange(4)
+            new = rng.choice(pool) if rng.random() < 0.3 else rng.getrandbits(60)
+            own[where : where + (how != 3)] = [new] if how else []
+        sets[i] = own if rng.random() < 0.9 else [rng.getrandbits(60) for _ in range(50)]
+    sets = {i: np.unique(np.array(x, dtype=np.uint64)) for i, x in sets.items()}
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) * 5 >= len(np.union1d(sets[i], sets[j])) * 4
+    component = {i: 0 if alike(0, i) else i for i in sets}
+    for i in sets:  # some of the others are in one component
+        if component[i] and rng.random() < 0.2:
+            component[i] = min([j for j in sets if component[j] and alike(i, j)], default=i)
+    keys = {i: [k for k in range(3) if rng.random() < 0.7] or [0] for i in sets}
+    rows = [(k, 0, i, component[i]) for i in sets for k in keys[i]]
+    split = spark.createDataFrame(rows, "key bigint, main bigint, id bigint, component bigint")
+    stored = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items()], "id bigint, hashes binary")
+    got = {tuple(sorted((r.a, r.b))) for r in H._across(split, stored).collect()}
+    met = {(i, j) for i in sets for j in sets if i < j and component[i] != component[j] and set(keys[i]) & set(keys[j])}
+    assert {(i, j) for i, j in met if alike(i, j)} <= got <= met and len(got) < len(met) / 4
