@@ -433,10 +433,12 @@ def _settled(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFra
         if split.isEmpty():
             return grouped
         if number < ROUNDS:
-            w = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(number)), "id")
-            roots = split.where("component = main").withColumn("n", F.row_number().over(w)).where(F.col("n") <= ROOTS)
-            roots = roots.select("key", F.col("id").alias("a"))
-            pairs = split.where("component != main").join(roots, "key").select("a", F.col("id").alias("b")).distinct()
+            # by main component, so that a member of many keys is paired once
+            w = Window.partitionBy("main").orderBy(F.xxhash64("id", F.lit(number)), "id")
+            roots = split.where("component = main").select("main", "id").distinct()
+            roots = roots.withColumn("n", F.row_number().over(w)).where(F.col("n") <= ROOTS).select("main", F.col("id").alias("a"))
+            others = split.where("component != main").select("main", F.col("id").alias("b")).distinct()
+            pairs = others.join(roots, "main").select("a", "b").distinct()
         else:
             pairs = _across(split, sets)
         links = written(verified(written(pairs, "pairs"), sets), "links")
