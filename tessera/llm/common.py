@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tessera.session import delete_at_exit, shared_root
 
@@ -32,8 +33,9 @@ def release() -> None:
     _kept.clear()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def written(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, under another ``schema``
+    of the same stored types if one is given.
 
     This cuts the lineage: executors lost later cost no recomputation, and values that
     depend on task order (row positions, partition numbers) are fixed once. The file system
@@ -42,7 +44,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/tessera-{uuid.uuid4().hex}-{label}"
     delete_at_exit(df.sparkSession, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

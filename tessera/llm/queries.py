@@ -13,13 +13,17 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.language_id import identify, train
 from tessera.llm.licenses import license_scan
+from tessera.llm.line_dedup import line_report
 from tessera.llm.media import media_features, to_media
+from tessera.llm.merkle import SQL as MERKLE_SQL
+from tessera.llm.merkle import manifest
 from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.suffix_dedup import dedup_report
 from tessera.llm.token_counts import token_counts
 from tessera.llm.url_filters import SQL as URL_SQL
 from tessera.llm.url_filters import judge_urls
+from tessera.llm.whitening import whitened
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -74,9 +78,27 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_suffix_dedup, op2_url_filters, op3_media_columns, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing,
+    op8_decontamination, op9_simhash_near_dedup, op10_token_counts, op11_line_dedup, op12_merkle_manifest, op13_embedding_whitening,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filters, op3_media_columns, op4_language_id, op5_license_scans, op6_quality_classifier, op7_packing, op8_decontamination, op9_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": URL_SQL}
+    return {"op2_url_filters": URL_SQL, "op12_merkle_manifest": MERKLE_SQL}
