@@ -38,13 +38,15 @@ from tessera.llm.common import small_batches, written
 #: Whole number of an entry c: floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
 #: Rows of a block, blocks of one product, tasks of a product, components of a result.
-BLOCK, GROUP, TASKS, COMPONENTS = 1024, 4096, 64, 32
+BLOCK, GROUP, TASKS, COMPONENTS = 1024, 4096, 16, 32
 #: Blocks of an Arrow batch.
 ARROW_BLOCKS = 16
 #: Entries from here on are no longer told apart.
 LARGEST = float(1 << 46)
 
 _MATRIX = MatrixUDT.sqlType()
+#: Blocks as MLlib takes them.
+_BLOCKS = StructType([StructField("at", StructType([StructField("row", LongType(), False), StructField("column", LongType(), False)]), False), StructField("block", MatrixUDT(), False)])
 _ARROW = pa.struct([
     ("type", pa.int8()), ("numRows", pa.int32()), ("numCols", pa.int32()), ("colPtrs", pa.list_(pa.int32())),
     ("rowIndices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("isTransposed", pa.bool_()),
@@ -187,13 +189,13 @@ def components_of(covariance: np.ndarray, most: int = COMPONENTS) -> Components:
 
 def projected(blocks: DataFrame, matrix: np.ndarray) -> DataFrame:
     """Written (number, matrix): blocks times ``matrix``."""
-    spark, (width, k) = blocks.sparkSession, matrix.shape
+    width, k = matrix.shape
+    one = blocks.sparkSession.createDataFrame([((0, 0), DenseMatrix(width, k, matrix.T.ravel()))], _BLOCKS)
     out = None
     for group, n in _groups(blocks):
-        tasks = min(n, TASKS)
-        # a product along one dimension has the root of its factors' tasks
-        right = spark.sparkContext.parallelize([((0, 0), DenseMatrix(width, k, matrix.T.ravel()))], 1).repartition(tasks * tasks)
-        product = block_matrix(blocks, group, width).multiply(BlockMatrix(right, width, k, width, k))
+        # a product along one dimension has as many tasks as the root of its factors' partitions
+        right = BlockMatrix(callMLlibFunc("createBlockMatrix", one.repartition(min(n, TASKS * TASKS)), width, k, width, k), width, k)
+        product = block_matrix(blocks, group, width).multiply(right)
         part = callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model).toDF("at", "matrix")
         part = part.select((F.col("at").getField("_1") + group * GROUP).cast("int").alias("number"), "matrix")
         out = part if out is None else out.unionByName(part)
