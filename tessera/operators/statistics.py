@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +14,12 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import nearest
+from tessera.operators.density import LEAST_CLUSTER, LEAST_SAMPLES, clusters, outlier_share
 from tessera.operators.retrieval import BOTH, both_runs
+from tessera.operators.spectral import DIMENSIONS, embedded
 from tessera.plans.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import stored, table
 
 #: Pairs that a paired test needs.
 LEAST_PAIRS = 10
@@ -127,3 +133,51 @@ def topic_words(assigned: DataFrame, top: int = 10, least: int = 2) -> DataFrame
 @query()
 def topics_approx(spark, sf_dir):
     return topics(table(spark, sf_dir, "documents"), "doc_id", "text").drop("words")
+
+
+WORDS = re.compile(r"[^\W\d_]{2,}")
+#: Neighbours of the graph that topics are found in.
+TOPIC_NEIGHBOURS = 15
+
+
+def density_topics(vectors: DataFrame, key: str, embedding: str, least: int = LEAST_CLUSTER, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, topic, probability) of all vectors: their graph of nearest neighbours by cosine is laid
+    out in a few dimensions, and clustered there by density. Vectors that can't be compared are
+    outliers."""
+    rows = stored(vectors.select(F.col(key).cast("bigint").alias(key), embedding).where(F.col(key).isNotNull()), "vectors")
+    placed = embedded(stored(nearest(rows, rows, key, embedding, TOPIC_NEIGHBOURS), "near"), dimensions)
+    near = stored(nearest(placed, placed, "node", "v", TOPIC_NEIGHBOURS, cosine=False), "near")
+    return clusters(rows.select(key), near, key, LEAST_SAMPLES, least)
+
+
+def text_vectors(docs: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
+    """(key, v): words of a text hashed to signed places, each by the root of its count. Texts
+    without words have no vector."""
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            vectors = []
+            for t in batch.column(1).to_pylist():
+                counts = Counter(WORDS.findall((t or "").lower()))
+                v = np.zeros(width)
+                for word, n in counts.items():
+                    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+                    v[h % width] += (n if n < 2 else math.sqrt(n)) * (1 if h & (1 << 31) else -1)
+                vectors.append(v.tolist() if counts else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["id", "v"])
+
+    return rows.mapInArrow(run, "id bigint, v array<double>").withColumnRenamed("id", key)
+
+
+@query()
+def topics_density(spark, sf_dir):
+    """Topics of all documents by their words, with outliers; tests compare with the plain way."""
+    vectors = text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return density_topics(vectors, "doc_id", "v")
+
+
+@query()
+def topics_density_summary(spark, sf_dir):
+    """How many topics there are, and the share of outliers."""
+    return outlier_share(topics_density(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.session import delete_at_exit, shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided Parquet tables."""
@@ -55,6 +58,15 @@ def write_run(df: DataFrame, path: str, run_id: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: its lineage ends there, and values
+    that depend on task order are fixed. Deleted when the application ends."""
+    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    delete_at_exit(df.sparkSession, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
