@@ -125,3 +125,11 @@ def binary_of(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Binary values of ``sizes`` bytes, laid end to end in ``data``."""
     offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "#"
+    return name

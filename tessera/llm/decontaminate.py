@@ -12,10 +12,12 @@
 5. Around each candidate, an item counts as leaked if its longest common subsequence with
    the text covers ``SURE`` of its words, or ``LIKELY`` of them and its answer (its last
    quarter) is found in order as well.
-6. Items under ``PASSAGE`` words fill too little of a passage for its cosine. They are also
-   looked for by their rarest words, ``TOGETHER`` of which any text that holds ``LIKELY`` of
-   the item has near each other; around them, a stretch of the item's own length and a quarter
-   more on both sides is checked the same way.
+6. Items under ``PASSAGE`` words fill too little of a passage for its cosine, and in a few
+   passages all words are common, so that no vector tells them apart. So items are also
+   looked for by their rarest words, ``TOGETHER`` of which stand near each other: of a short item
+   in any text that holds ``LIKELY`` of it, of a longer one in any that holds as many of its
+   ``RARE`` rarest words. Around them, a stretch of the item's own length and a quarter more
+   on both sides is checked the same way.
 
 Defined cases: null, empty and blank texts and items match nothing; repeated documents are
 reported one by one; a row with a null id is reported with it; items found by their words
@@ -54,8 +56,8 @@ GROUP = 1_024
 OTHER = r"[^\p{L}\p{N}]+"
 #: Bytes of text whose words are hashed at once.
 SLICE = 4 << 20
-#: Of the rarest words of a short item, how many must stand near each other.
-TOGETHER = 3
+#: Of the rarest words of an item, how many must stand near each other; words of a longer item.
+TOGETHER, RARE = 3, 8
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
@@ -256,7 +258,7 @@ class Items:
 
 @dataclass
 class Short:
-    """The rarest words of short items, sorted: the item of each, and its place in the item.
+    """The rarest words of items, sorted: the item of each, and its place in the item.
     For all items: how many of these words must stand together, in how long a stretch."""
 
     word: np.ndarray
@@ -276,6 +278,11 @@ class Short:
                 together[i] = min(TOGETHER, need)
                 rarest = np.argsort(frequency[w.astype(np.int64) & (BUCKETS - 1)], kind="stable")
                 found.extend((int(w[at]), i, int(at)) for at in rarest[: len(w) - need + int(together[i])])
+            elif len(w):
+                distinct = np.sort(np.unique(w, return_index=True)[1])
+                rarest = distinct[np.argsort(frequency[w[distinct].astype(np.int64) & (BUCKETS - 1)], kind="stable")]
+                together[i] = min(TOGETHER, len(rarest))
+                found.extend((int(w[at]), i, int(at)) for at in rarest[:RARE])
         word, item, at = np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T
         known = np.zeros(1 << 16, dtype=bool)
         known[word & 0xFFFF] = True
@@ -307,7 +314,7 @@ class Short:
 
 
 def short_leaks(short: Short, items: list[np.ndarray], texts: Texts) -> dict[tuple[int, int], tuple[float, int]]:
-    """The best (share, start) of each document's short items."""
+    """The best (share, start) of each document's items that are found by their words."""
     out: dict[tuple[int, int], tuple[float, int]] = {}
     if len(short.word):
         for d, i, begin in short.places(texts):

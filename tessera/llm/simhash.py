@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm import golay
-from tessera.llm.common import arrow_schema, as_batch, dealt, map_rows, release, small_batches, texts_of, written
+from tessera.llm.common import arrow_schema, as_batch, dealt, map_rows, release, small_batches, texts_of, unused, written
 from tessera.llm.components import components
 
 MAX_BITS = 4
@@ -526,10 +526,11 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "do
     """``docs``, all columns, with one row of each group of ``similar_groups``: that of its
     smallest id. Rows that repeat id and words become one; rows with a null id stay."""
     own_id = F.col(f"`{id_col}`").cast("bigint")
+    id_name, hash_name, kept_name = (unused(docs, n) for n in ("#id", "#hash", "#own"))
     groups = written(similar_groups(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"), "groups")
-    repeated = written(groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("#id")), "repeated")
-    gone = groups.where("not kept").select(F.col("id").alias("#id")).unionByName(repeated).distinct()
-    out = docs.join(gone, own_id == F.col("#id"), "left_anti")
+    repeated = written(groups.groupBy("id").count().where("count > 1").select(F.col("id").alias(id_name)), "repeated")
+    gone = groups.where("not kept").select(F.col("id").alias(id_name)).unionByName(repeated).distinct()
+    out = docs.join(gone, own_id == F.col(f"`{id_name}`"), "left_anti")
     if repeated.isEmpty():
         return out
     position = docs.columns.index(text_col)
@@ -539,10 +540,10 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "do
         for batch in batches:
             texts = (t or "" for t in batch.column(position).to_pylist())
             hashes = pa.array([text_hash(normal_words(t)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, "#hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, hash_name])
 
-    several = docs.join(repeated, own_id == F.col("#id"), "left_semi")
-    several = several.mapInArrow(run, StructType([*docs.schema.fields, StructField("#hash", BinaryType())]))
-    kept = groups.where("kept").select(F.col("id").alias("#id"), F.col("text_hash").alias("#own"))
-    several = several.join(kept, (own_id == F.col("#id")) & (F.col("#hash") == F.col("#own")), "left_semi").dropDuplicates([id_col, "#hash"])
+    several = docs.join(repeated, own_id == F.col(f"`{id_name}`"), "left_semi")
+    several = several.mapInArrow(run, StructType([*docs.schema.fields, StructField(hash_name, BinaryType())]))
+    kept = groups.where("kept").select(F.col("id").alias(id_name), F.col("text_hash").alias(kept_name))
+    several = several.join(kept, (own_id == F.col(f"`{id_name}`")) & (F.col(f"`{hash_name}`") == F.col(f"`{kept_name}`")), "left_semi").dropDuplicates([id_col, hash_name])
     return out.unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))

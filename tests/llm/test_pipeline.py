@@ -5,6 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.conftest import DATA
 from tests.llm.helpers import words_text
 from tests.llm.test_tokens import check_packing
 
@@ -122,3 +123,15 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     check_packing(pieces.collect(), {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for i, t in before["decontamination"].items()})
+
+
+def test_columns_named_like_internal_ones(spark):
+    """Stages keep columns that are called like those they work with."""
+    odd = ["#id", "#hash", "#own", "#key", "id", "hash", "rest", "words", "node", "keys", "part"]
+    rows = [(i, " ".join(f"w{(i // 2) * 7 + k}" for k in range(60)) if i % 2 else f"one text {i}", "en", "s", 1, *range(len(odd))) for i in range(8)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` int" for c in odd)
+    docs = spark.createDataFrame(rows + rows[:2], schema)
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.suffix_dedup, corpus_pipeline.decontamination):
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.select("`#key`").distinct().collect() == [(3,)]
+        assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]

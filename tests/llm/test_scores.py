@@ -294,3 +294,15 @@ def test_subsequences_equal_dynamic_programming():
 
 def test_data_is_there():
     assert DATA.startswith("/root/testdata")
+
+
+@pytest.mark.parametrize("n", [1, 5, 49])
+def test_verbatim_leaks_in_few_documents(spark, n):
+    """In few passages all words are common; items of 16 to 40 words are found nevertheless."""
+    rng = random.Random(n)
+    words = [f"w{k}" for k in range(6000)]
+    items = [(i, " ".join(rng.sample(words, 16 + i % 25))) for i in range(n)]
+    docs = [(i, " ".join([*rng.choices(words, k=30), items[i][1], *rng.choices(words, k=30)])) for i in range(n)]
+    docs += [(1000 + i, " ".join(rng.choices(words, k=90))) for i in range(n // 2)]
+    got = {(r.doc_id, r.item_id) for r in B.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i in range(n)}
