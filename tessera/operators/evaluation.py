@@ -163,8 +163,8 @@ def ir_modes_means(spark, sf_dir):
     return rows.select(level.alias("level"), F.coalesce("category", "difficulty", F.lit("all")).alias("name"), *[c for c in rows.columns if c not in ("category", "difficulty", "no_category", "no_difficulty")])
 
 
-def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, w_plus, w_minus, z) of the signed-rank test: pairs without difference are left out,
+def signed_ranks(pairs: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+    """(n, w_plus, w_minus, z, and ``ties`` if it is in ``more``) of the signed-rank test: pairs without difference are left out,
     ties share their mean rank. Differences are counted by size first, so that one row a
     distinct size is ranked. The score has the variance corrected for ties."""
     d = F.round(F.col(a) - F.col(b), 9)
@@ -177,7 +177,21 @@ def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
-    return sums.select("n", "w_plus", "w_minus", F.when(variance > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(variance)).alias("z"))
+    return sums.select("n", "w_plus", "w_minus", F.when(variance > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(variance)).alias("z"), *more)
+
+
+#: Pairs up to which the signed-rank test is exact.
+MOST_EXACT = 50
+
+
+def signed_rank_exact(w: float, n: int) -> float:
+    """Two-sided p value of the smaller rank sum of n differences without ties: the share of all
+    sign patterns with a sum as small, counted rank by rank."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -208,22 +222,24 @@ def t_two_sided(t: float, n: int) -> float:
 
 def paired_tests(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, means, t statistic and signed ranks with their two-sided p values; null
-    below LEAST_PAIRS pairs, or where a test has no variance."""
+    below LEAST_PAIRS pairs, or where a test has no variance. Ranks are judged exactly up to
+    MOST_EXACT pairs without ties or pairs that are equal, else by the normal score."""
     d = F.col(a) - F.col(b)
     sums = pairs.agg(F.count(d).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("difference"), F.stddev_samp(d).alias("sd"))
-    ranks = signed_ranks(pairs, a, b).select(F.least("w_plus", "w_minus").alias("w"), "z")
+    ranks = signed_ranks(pairs, a, b, "ties").select(F.least("w_plus", "w_minus").alias("w"), "z", "ties", F.col("n").alias("unlike"))
     both = sums.crossJoin(ranks)  # one row each
     enough = F.col("n") >= LEAST_PAIRS
-    both = both.select("n", "mean_a", "mean_b", "difference", F.when(enough & (F.col("sd") > 0), F.col("difference") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(enough, F.col("w")).alias("w"), F.when(enough, F.col("z")).alias("z"))
+    both = both.select("n", "mean_a", "mean_b", "difference", F.when(enough & (F.col("sd") > 0), F.col("difference") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(enough, F.col("w")).alias("w"), F.when(enough, F.col("z")).alias("z"), "ties", "unlike")
 
     def run(batches):
         for batch in batches:
-            n, t, z = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "t", "z"))
+            n, t, z, w, ties, unlike = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "t", "z", "w", "ties", "unlike"))
             p_t = [None if x is None else t_two_sided(x, k) for x, k in zip(t, n, strict=True)]
-            p_w = [None if x is None else math.erfc(abs(x) / math.sqrt(2)) for x in z]
+            exact = [x is not None and u == k <= MOST_EXACT and not tied for x, u, k, tied in zip(z, unlike, n, ties, strict=True)]
+            p_w = [signed_rank_exact(v, k) if e else None if x is None else math.erfc(abs(x) / math.sqrt(2)) for x, v, k, e in zip(z, w, n, exact, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p_t, pa.float64()), pa.array(p_w, pa.float64())], names=[*batch.schema.names, "t_p_value", "w_p_value"])
 
-    return both.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema) + ", t_p_value double, w_p_value double")
+    return both.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema) + ", t_p_value double, w_p_value double").drop("ties", "unlike")
 
 
 @query()
