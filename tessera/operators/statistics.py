@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.cells import nearest
-from tessera.operators.density import LEAST_CLUSTER, LEAST_SAMPLES, clusters, outlier_share
+from tessera.operators.density import LEAST_CLUSTER, LEAST_SAMPLES, clusters
 from tessera.operators.retrieval import BOTH, both_runs
 from tessera.operators.spectral import DIMENSIONS, embedded
 from tessera.plans.registry import query
@@ -175,9 +175,3 @@ def topics_density(spark, sf_dir):
     """Topics of all documents by their words, with outliers; tests compare with the plain way."""
     vectors = text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
     return density_topics(vectors, "doc_id", "v")
-
-
-@query()
-def topics_density_summary(spark, sf_dir):
-    """How many topics there are, and the share of outliers."""
-    return outlier_share(topics_density(spark, sf_dir))
