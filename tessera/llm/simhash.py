@@ -26,7 +26,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -356,56 +356,84 @@ def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def _differences(split: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written (main, id, u, c) of the members of each main component's keys.
-
-    Let D(x) be the shingles in which x differs from the set of the main component's node,
-    d its size, c how many of these another member's D holds too, and n the size of x. Two
-    sets differ in d(x) + d(y) - 2 |D(x) & D(y)| shingles, where the last is at most c(x) and
-    c(y); they are alike if that is at most (n(x) + n(y)) (w - p) / (w + p) for a similarity
-    of p / w. With u = (w + p) d - (w - p) n, they can be alike only if
-    u(x) + u(y) <= 2 (w + p) min(c(x), c(y)).
-    """
+    """Written (main, id, d, u, near, e) of the members of each main component's keys: the
+    shingles ``e`` in which a member differs from the set of the component's node, packed, their
+    number d, u as ``_across`` needs it, and whether the member is alike to that node."""
     part, whole = SIMILAR
 
     def run(batch):
-        out = {k: [] for k in ("a", "b", "d", "u", "e")}
+        out = {k: [] for k in ("main", "id", "d", "u", "near", "e")}
         for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             own = np.setxor1d(x, y, assume_unique=True)
-            u = (whole + part) * len(own) - (whole - part) * len(y)
-            for column, value in zip(out.values(), (a, b, len(own), u, own.tobytes()), strict=True):
+            d = (whole + part) * len(own)
+            row = (a, b, len(own), d - (whole - part) * len(y), d <= (whole - part) * (len(x) + len(y)), own.tobytes())
+            for column, value in zip(out.values(), row, strict=True):
                 column.append(value)
         return out
 
-    def elements(batch):
-        own = [np.frombuffer(e, np.int64) for e in batch.column(2).to_pylist()]
-        at = np.repeat(np.arange(len(own)), list(map(len, own)))
-        return {"a": batch.column(0).take(pa.array(at)), "b": batch.column(1).take(pa.array(at)), "e": np.concatenate([np.zeros(0, np.int64), *own])}
+    pairs = written(split.select(F.col("main").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    return written(map_rows(_with_sets(pairs, sets), run, "main bigint, id bigint, d bigint, u bigint, near boolean, e binary"), "differences")
+
+
+def _rarest_shared(found: DataFrame) -> DataFrame:
+    """(main, id, e, place): the differing shingles that several members of a main component
+    share, with their place among all of the member's, rarest first."""
 
-    pairs = split.select(F.col("main").alias("a"), F.col("id").alias("b")).distinct()
-    found = written(map_rows(_with_sets(written(pairs, "pairs"), sets), run, "a bigint, b bigint, d bigint, u bigint, e binary"), "differences")
-    single = map_rows(found.select("a", "b", "e"), elements, "a bigint, b bigint, e bigint")
-    single = single.groupBy("a", "e").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count("*").alias("own"))
-    joined = found.drop("e").join(single, ["a", "b"], "left").withColumn("c", F.col("d") - F.coalesce("own", F.lit(0)))
-    return written(joined.select(F.col("a").alias("main"), F.col("b").alias("id"), "u", "c"), "differences")
+    def run(batch):
+        own = [np.frombuffer(e, np.int64) for e in batch.column(3).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(own)), list(map(len, own))))
+        return {n: batch.column(i).take(at) for i, n in enumerate(("main", "id", "d"))} | {"e": np.concatenate([np.zeros(0, np.int64), *own])}
+
+    single = map_rows(found.select("main", "id", "d", "e"), run, "main bigint, id bigint, d bigint, e bigint")
+    held = single.groupBy("main", "e").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("main", "id")  # the shingles of one text
+    rare = single.join(held, ["main", "e"]).withColumn("n", F.row_number().over(own.orderBy("held", "e")))
+    return rare.select("main", "id", "e", (F.col("d") - F.count("*").over(own) + F.col("n")).alias("place"))
 
 
 def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one key but not of one component that can be alike, told by
-    ``_differences``: first for each member by the least of its key, then for each pair."""
-    most = 2 * sum(SIMILAR)
-    rows = split.join(_differences(split, sets), ["main", "id"]).withColumns({"v": F.col("u") - most * F.col("c"), "other": F.col("component") != F.col("main")})
-    room = most * F.col("c") - F.col("u")
-    bounds = rows.groupBy("key").agg(
-        F.min("u").alias("least_u"), F.min("v").alias("least_v"), F.max(F.when(F.col("other"), -F.col("u"))).alias("most_v"), F.max(F.when(F.col("other"), room)).alias("most_u")
-    )
-    rows = written(rows.join(bounds, "key"), "across")
-    first = rows.where(F.col("other") & (F.col("least_v") <= -F.col("u")) & (F.col("least_u") <= room))
-    x = first.select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("u").alias("ua"), F.col("c").alias("ca"))
-    second = rows.where((F.col("v") <= F.col("most_v")) & (F.col("u") <= F.col("most_u")))
-    y = second.select("key", F.col("id").alias("b"), "component", "main", "u", "c")
-    pairs = x.join(y, "key").where((F.col("component") != F.col("of")) & ((F.col("component") == F.col("main")) | (F.col("b") < F.col("a"))) & (F.col("ua") + F.col("u") <= most * F.least("ca", "c")))
-    return pairs.select("a", "b").distinct()
+    """Pairs (a, b) that hold, or make needless, every link between members of one key that are
+    not of one component.
+
+    Let D(x) be the shingles in which x differs from its main component's node, d their number,
+    n the size of x, p / w the similarity asked for, and u = (w + p) d - (w - p) n. As x and y
+    differ in d(x) + d(y) - 2 |D(x) & D(y)| shingles, they are alike if and only if
+    u(x) + u(y) <= 2 (w + p) |D(x) & D(y)|. So
+
+    * members that are alike to the node itself are paired with it;
+    * where u(x) + u(y) <= 0, x is alike to the member of least u too, and that one to the node,
+      as is every y of u < 0: x is paired with that member;
+    * any others share a number t of differing shingles, one at least. In one order of all
+      shingles, rarest first, two sets that share t have one in common among the first
+      d(x) - t + 1 and d(y) - t + 1, so only these are joined. Each member takes for t what
+      its partner of least u asks for. Their first common one must have as many left on both
+      sides as the two ask for.
+
+    Changes that no other member has come first in that order, so copies that were each changed
+    in their own way meet none of their group.
+    """
+    shared = 2 * sum(SIMILAR)
+    found = _differences(split, sets)
+    rows = split.select("main", "id", "component").distinct().join(found.drop("e"), ["main", "id"]).withColumn("other", F.col("component") != F.col("main"))
+    bounds = rows.groupBy("main").agg(F.min(F.struct("u", "id")).alias("least"), F.min(F.when(F.col("other"), F.col("u"))).alias("least_other"))
+    rows = written(rows.join(bounds, "main"), "across")
+    near = rows.where("other and near").select(F.col("main").alias("a"), F.col("id").alias("b"))
+    certain = rows.where(F.col("other") & (F.col("u") + F.col("least.u") <= 0)).select("least.id", "id").toDF("a", "b").where("a != b")
+
+    def reach(least) -> Column:
+        return F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("u") + least) / shared)) + 1
+
+    placed = written(_rarest_shared(found).join(rows, ["main", "id"]).withColumns({"first": F.col("other") & (F.col("place") <= reach(F.col("least.u"))), "second": F.col("place") <= reach(F.col("least_other"))}), "placed")
+    left = F.col("d") - F.col("place") + 1
+    x = placed.where("first").select("main", "e", F.col("id").alias("a"), F.col("component").alias("of"), F.col("u").alias("ua"), left.alias("left_a"))
+    y = placed.where("second").select("main", "e", F.col("id").alias("b"), "component", "other", "u", left.alias("left"))
+    enough = F.col("ua") + F.col("u") <= shared * F.least("left_a", "left")
+    met = x.join(y, ["main", "e"]).where((F.col("component") != F.col("of")) & (~F.col("other") | (F.col("b") < F.col("a"))) & enough)
+    keys = split.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most
+    a, b = (keys.toDF(n, f"keys_{n}") for n in "ab")
+    met = met.select("a", "b").distinct().join(a, "a").join(b, "b").where(F.arrays_overlap("keys_a", "keys_b"))
+    return near.unionByName(certain).unionByName(met.select("a", "b")).distinct()
 
 
 def _joined(grouped: DataFrame, links: DataFrame) -> DataFrame:
@@ -425,8 +453,8 @@ def _settled(members: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFra
 
     In each of ROUNDS, the members outside their key's main component are compared with ROOTS
     members of it, others each time, so that near copies of one text join it with a few pairs
-    a member. Those still outside are then compared with all members in other components that
-    they can be alike to, so that no link between components is left out.
+    a member. Those still outside are then compared with the members in other components that
+    share enough of their differing shingles, so that no link between components is left out.
     """
     for number in range(ROUNDS + 1):
         split = _split(members, grouped)
