@@ -16,8 +16,10 @@ one costs a string of its own size.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -381,7 +383,9 @@ def scan(text: str) -> dict:
     words = WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
     joined, found = detect(words)
     base = sorted({d.start for d in found if d.rule < len(BASE)})
-    places = [joined.count(" ", 0, at) for at in base]
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0)) if found else []
+    spaces = lambda at: bisect_right(starts, at) - 1
+    places = [spaces(at) for at in base]
     base_labels = {rules()[d.rule].label for d in found if d.rule < len(BASE)}
     kept = resolved(found)
     labels = base_labels | {rules()[d.rule].label for d in kept}
@@ -393,7 +397,7 @@ def scan(text: str) -> dict:
         "base_labels": ",".join(sorted(base_labels)),
         "labels": ",".join(sorted(labels)),
         "score": max((rules()[d.rule].weight for d in kept), default=0.0),
-        "detections": [(joined.count(" ", 0, d.start), joined.count(" ", d.start, d.end) + 1, rules()[d.rule].label, rules()[d.rule].weight) for d in kept],
+        "detections": [(spaces(d.start), spaces(d.end) - spaces(d.start) + 1, rules()[d.rule].label, rules()[d.rule].weight) for d in kept],
     }
 
 
