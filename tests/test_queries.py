@@ -46,7 +46,7 @@ def test_same_rows_as_sql(spark, oracle, name):
 
 def test_queries_without_sql_are_tested_elsewhere():
     """Each is compared with plain Python, or with what must hold, in the named file."""
-    places = {"test_chunks.py": {"txt_sections", "txt_section_stats", "txt_section_at", "txt_footnotes", "txt_chunks", "txt_page_chunks"}, "test_evaluation.py": {"stat_bootstrap", "stat_paired_tests", "topics_approx"}, "test_html.py": {"html_page_blocks", "html_page_fields"}, "test_density.py": {"vec_knn_cells", "topics_density"}}
+    places = {"test_chunks.py": {"txt_sections", "txt_section_stats", "txt_section_at", "txt_footnotes", "txt_chunks", "txt_page_chunks"}, "test_evaluation.py": {"stat_bootstrap", "stat_paired_tests", "topics_approx"}, "test_tokens.py": {"txt_token_chunks"}, "test_html.py": {"html_page_blocks", "html_page_fields"}, "test_density.py": {"vec_knn_cells", "topics_density"}}
     assert set(QUERIES) - set(SQL) == set().union(*places.values())
 
 
