@@ -191,3 +191,34 @@ def test_deep_paths_are_told_apart(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.op2_url_filters(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_siblings_merge_by_equal_shares(spark):
+    """Shares of 0.5 and 0.5 merge, 0.55 and 0.99 don't; below merged siblings children are counted together."""
+    rules = (U.Rule("h.com", "/", "allow"), *(U.Rule("h.com", f"/{name}/x", "block") for name in ("a", "b", "c", "d")), *(U.Rule("h.com", f"/{name}/k/x", "block") for name in ("c", "d")))
+    blocked = {"a": 150, "b": 150, "c": 165, "d": 297}
+    urls = [f"http://h.com/{name}/{'x' if i < n else 'y'}/{i}" for name, n in blocked.items() for i in range(300)]
+    # the share of x below a and b alone is told by few labels, below both together by enough
+    urls += [f"http://h.com/{name}/zz{i}/q" for name in "ab" for i in range(2)] * 2
+    got = U.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules)
+    names = {r.host + r.path: r.template.split("/") for r in got.collect()}
+    first = {n: names[f"h.com/{n}/x/0"][0] for n in "abcd"}
+    assert first["a"] == first["b"] and first["a"].startswith("[mixed]")
+    assert first["c"] != first["d"] and first["d"].startswith("[block]") and first["d"] != first["a"]
+    # two labels each below a and below b are too few, four below both are enough
+    assert names["h.com/a/zz0/q"][1] == names["h.com/b/zz0/q"][1] and names["h.com/a/zz0/q"][1].startswith("[allow]")
+
+
+def test_half_is_blocked(spark):
+    rules = (U.Rule("h.com", "/b", "block"), U.Rule("h.com", "/a", "allow"))
+    rows = [(0, "http://h.com/a/1"), (1, "http://h.com/b/1"), (2, "http://other.com")]
+    got = {r.page_id: (r.verdict, r.purity) for r in U.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()}
+    assert got[2] == ("block", 0.5)
+
+
+def test_paths_of_fifty_thousand_segments(spark):
+    deep = "/".join(f"s{i}" for i in range(50_000))
+    rows = [(0, f"http://deep.com/fr/{deep}"), (1, f"http://deep.com/fr/{deep}/x"), (2, f"http://deep.net/{deep}"), (3, None)]
+    got = {r.page_id: (r.verdict, len((r.template or "").split("/"))) for r in U.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert {i: g[0] for i, g in got.items()} == {0: "allow", 1: "allow", 2: "allow", 3: "allow"}
+    assert got[0][1] == 50_001 and got[1][1] == 50_002 and got[2][1] == 50_000
