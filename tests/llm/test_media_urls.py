@@ -137,6 +137,31 @@ def test_blocks_can_be_sought(spark):
     assert sum(len(r.pcm) for r in blocks) == sum(map(len, texts.values()))
 
 
+def test_features_are_folded_over_blocks(spark):
+    text = "".join(chr(33 + i * i % 90) for i in range(1700))
+    [r] = media.media_features(media.to_media(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).collect()
+    assert (r.payload_bytes, r.n_blocks, r.last_offset) == (1728, 4, 1536) and r.feature.endswith("blocks=4")
+    parts = [(0, 0, memoryview(b"a" * 70)), (70, 1, memoryview(b"b" * 3))]
+    assert media.folded(parts)["tail_crc32"] == zlib.crc32(b"a" * 61 + b"bbb")
+    for gap in ([(1, 0, memoryview(b"a"))], [(0, 0, memoryview(b"a")), (2, 1, memoryview(b"b"))]):
+        with pytest.raises(flac.FlacError):
+            media.folded(gap)
+
+
+def test_written_blocks_are_read_by_sample_range(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    texts = {r.doc_id: media.payload(r.text) for r in docs.collect()}
+    media.write_pcm(media.to_media(docs), str(tmp_path / "pcm"))
+    for start, stop in ((0, 1), (500, 530), (511, 512), (512, 1500), (0, 1 << 20), (1 << 20, 1 << 21), (7, 7)):
+        pieces: dict[int, bytes] = {}
+        for r in media.read_pcm(spark, str(tmp_path / "pcm"), start, stop).orderBy("doc_id", "sample_offset").collect():
+            assert r.sample_offset == start + len(pieces.get(r.doc_id, b""))
+            pieces[r.doc_id] = pieces.get(r.doc_id, b"") + bytes(r.pcm)
+        assert pieces == {i: p[start:stop] for i, p in texts.items() if p[start:stop]}
+    plan = media.read_pcm(spark, str(tmp_path / "pcm"), 500, 530)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(sample_offset,530)" in plan and "GreaterThan(sample_offset," in plan
+
+
 def test_url_verdicts_equal_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{SF}/pages.parquet'")
