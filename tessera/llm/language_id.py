@@ -6,7 +6,8 @@ hot it is. A word's score in a language is the mean log probability of its trigr
 
 A prediction first narrows a word's languages to those seen with its script (Unicode
 ranges). Viterbi over the words' scores, with a penalty for each switch, then labels spans;
-texts of similar length go through it side by side. The predicted language is the one whose
+texts of similar length go through it side by side, and long ones by stretches of
+``STRETCH`` words, so that memory beyond a few bytes a word doesn't grow with languages. The predicted language is the one whose
 spans hold most letters; the score is their share, weighted by how sure the words are.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; words (by white
@@ -32,6 +33,8 @@ from tessera.llm.common import arrow_schema, as_batch, map_rows, release, small_
 BUCKETS = 1 << 14
 #: Cost, in log probability of a word, of a switch of language between two words.
 SWITCH = 6.0
+#: Words whose switches are held at once; a multiple of 64.
+STRETCH = 1 << 14
 #: Learned languages are refused beyond this number: the model is sent to every task.
 MAX_LANGUAGES = 400
 #: First code point after each script's range, and the script.
@@ -139,6 +142,8 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1, len(self.model.languages)), dtype=np.float32)
         self.letters = np.zeros(1, dtype=np.int64)
+        self.sums = np.exp(self.scores).sum(1)
+        self.known = np.zeros(1, dtype=bool)
 
     def _add(self, words: list[str]) -> None:
         m = self.model
@@ -158,9 +163,12 @@ class Labeller:
         self.index.update((w, next(number) if p else 0) for w, p in zip(words, plain, strict=True))
         self.scores = np.concatenate([self.scores, score])
         self.letters = np.concatenate([self.letters, sizes])
+        self.sums = np.concatenate([self.sums, np.exp(score).sum(1)])
+        self.known = np.concatenate([self.known, score.any(1)])
 
-    def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the letters, the language and the scores of each of its words."""
+    def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """For each text the letters of each of its words, their language and how sure it is,
+        and whether any word of it has evidence."""
         if len(self.index) > self.KEPT:
             self.clear()
         words = [t.lower().split() for t in texts]
@@ -179,7 +187,9 @@ class Labeller:
             for i, path in zip(group, viterbi([numbers[i] for i in group], self.scores), strict=True):
                 paths[i] = path
             start = end
-        return [(self.letters[n], p, self.scores[n]) for p, n in zip(paths, numbers, strict=True)]
+        if not self.scores.shape[1]:
+            return [(self.letters[n], p, np.zeros(len(n), np.float32), False) for p, n in zip(paths, numbers, strict=True)]
+        return [(self.letters[n], p, np.exp(self.scores[n, p]) / self.sums[n], bool(self.known[n].any())) for p, n in zip(paths, numbers, strict=True)]
 
 
 def viterbi(numbers: list[np.ndarray], table: np.ndarray, switch: float = SWITCH) -> list[np.ndarray]:
@@ -194,38 +204,50 @@ def viterbi(numbers: list[np.ndarray], table: np.ndarray, switch: float = SWITCH
     grid = np.zeros((longest, n), dtype=np.int64)
     for j, x in enumerate(numbers):
         grid[: len(x), j] = x
-    best = np.zeros((n, k), dtype=np.float32)
-    came = np.zeros((longest, n), dtype=np.int16)  # where a switch to this word comes from
-    switched = np.zeros((longest, n, k), dtype=bool)
     each = np.arange(n)
-    for t in range(longest):
-        top = best.argmax(1)
-        other = best[each, top] - switch
-        came[t] = top
-        np.greater(other[:, None], best, out=switched[t])
-        best = np.maximum(best, other[:, None]) + table[grid[t]]
-        if t % 64 == 63:
-            best -= best.max(1, keepdims=True)
+
+    def forward(best: np.ndarray, begin: int, end: int, came=None, switched=None) -> np.ndarray:
+        """The best sums after words ``begin`` to ``end``; ``came`` and ``switched`` take where a
+        switch to a word comes from, and which languages it is better for."""
+        for t in range(begin, end):
+            top = best.argmax(1)
+            other = best[each, top] - switch
+            if came is not None:
+                came[t - begin] = top
+                np.greater(other[:, None], best, out=switched[t - begin])
+            best = np.maximum(best, other[:, None]) + table[grid[t]]
+            if t % 64 == 63:
+                best -= best.max(1, keepdims=True)
+        return best
+
+    begins = list(range(0, longest, STRETCH))
+    starts = [np.zeros((n, k), dtype=np.float32)]
+    for begin in begins[:-1]:
+        starts.append(forward(starts[-1], begin, begin + STRETCH))
+    most = min(longest, STRETCH)
+    came, switched = np.zeros((most, n), dtype=np.int16), np.zeros((most, n, k), dtype=bool)
     path = np.zeros((longest, n), dtype=np.int16)
-    now = best.argmax(1)
-    for t in range(longest - 1, -1, -1):
-        path[t] = now
-        now = np.where(switched[t, each, now], came[t], now)
+    now = None
+    for begin, best in zip(reversed(begins), reversed(starts), strict=True):
+        end = min(begin + STRETCH, longest)
+        best = forward(best, begin, end, came, switched)
+        now = best.argmax(1) if now is None else now
+        for t in range(end - 1, begin - 1, -1):
+            path[t] = now
+            now = np.where(switched[t - begin, each, now], came[t - begin], now)
     return [path[: len(x), j] for j, x in enumerate(numbers)]
 
 
-def verdict(model: Model, letters: np.ndarray, path: np.ndarray, scores: np.ndarray) -> tuple[str, float]:
+def verdict(model: Model, letters: np.ndarray, path: np.ndarray, sure: np.ndarray, known: bool) -> tuple[str, float]:
     total = letters.sum()
     if not total or not model.languages:
         return "und", 0.0
-    if not scores.any():
+    if not known:
         return model.languages[model.common], 0.0
     held = np.bincount(path, letters, len(model.languages))
     best = int(held.argmax())
     own = path == best
-    exact = np.exp(scores[own])
-    sure = np.average(exact[:, best] / exact.sum(1), weights=letters[own])
-    return model.languages[best], float(np.clip(held[best] / total * sure, 0.0, 1.0))
+    return model.languages[best], float(np.clip(held[best] / total * np.average(sure[own], weights=letters[own]), 0.0, 1.0))
 
 
 def spans(model: Model, path: np.ndarray) -> list[tuple[int, int, str]]:
@@ -261,7 +283,7 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """(id, first_word, n_words, lang): runs of one language, words counted from 0."""
 
     def rows_of(model, ids, labelled):
-        found = [(i, *s) for i, (_, path, _) in zip(ids.to_pylist(), labelled, strict=True) if model.languages for s in spans(model, path)]
+        found = [(i, *s) for i, (_, path, *_) in zip(ids.to_pylist(), labelled, strict=True) if model.languages for s in spans(model, path)]
         return dict(zip(("id", "first", "n", "lang"), [list(c) for c in zip(*found, strict=True)] or [[]] * 4, strict=True))
 
     return _labelled(docs, model, id_col, text_col, "first_word bigint, n_words bigint, lang string", rows_of)

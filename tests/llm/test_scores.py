@@ -54,6 +54,44 @@ def plain_viterbi(scores, switch):
     return path[::-1]
 
 
+def test_viterbi_by_stretches(monkeypatch):
+    monkeypatch.setattr(L, "STRETCH", 64)
+    test_viterbi_side_by_side_equals_one_by_one()
+
+
+def plain_verdict(model, text):
+    """The verdict from the definition, word by word."""
+    rows, letters = [], []
+    for word in text.lower().split():
+        plain = "".join(c for c in word if c.isalpha())
+        letters.append(len(plain))
+        if not plain:
+            rows.append(np.zeros(len(model.languages)))
+            continue
+        seen = model.scripts[L.scripts_of([plain])[0]]
+        mean = model.logp[L.trigrams([plain])[0]].astype(np.float64).mean(0) * min(len(plain) + 1, 8) / 2
+        rows.append(np.where(seen, mean - mean[seen].max() - 1e-6, -60.0) if seen.any() else np.zeros(len(model.languages)))
+    if not sum(letters):
+        return "und", 0.0
+    if not np.any(rows):
+        return model.languages[model.common], 0.0
+    path = plain_viterbi(np.array(rows), L.SWITCH)
+    held = [sum(n for n, p in zip(letters, path, strict=True) if p == k) for k in range(len(model.languages))]
+    best = held.index(max(held))
+    sure = sum(n * math.exp(r[best]) / np.exp(r).sum() for n, r, p in zip(letters, rows, path, strict=True) if p == best) / held[best]
+    return model.languages[best], held[best] / sum(letters) * sure
+
+
+def test_verdicts_equal_the_definition(spark, model):
+    rng = random.Random(4)
+    words = ["the", "w", "leçon", "forêt", "простой", "текст", "12", "!!", "ελλ", "x1y", "garçon-naïf"]
+    texts = ["", "12 !!", "ελληνικά", *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))) for _ in range(60))]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        lang, score = plain_verdict(model, text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), text
+
+
 def test_viterbi_side_by_side_equals_one_by_one():
     rng = np.random.default_rng(3)
     table = np.vstack([np.zeros(3), -rng.random((50, 3)) * 12]).astype(np.float32)
