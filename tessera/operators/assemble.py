@@ -145,10 +145,16 @@ def txt_toc_analysis(spark, sf_dir):
     return rows.withColumns({"confidence": F.round("confidence", 6), "reasons": F.array_join("reasons", ",")})
 
 
-@query(f"""SELECT lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS pages, count(*) AS n FROM documents
-    WHERE CASE WHEN doc_id % 8 <= 3 THEN {_TOC} ELSE {_HEADER} END GROUP BY lang""")
+_PAGES = """SELECT doc_id // 8 AS report, doc_id % 8 AS page, CASE doc_id % 3 WHEN 0 THEN 'Table of Contents' || chr(10) WHEN 1 THEN repeat('Scope ........ 12' || chr(10), 5) ELSE '' END || text AS text FROM documents"""
+
+
+@query(f"""SELECT report, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages, count(*) AS n FROM ({_PAGES})
+    WHERE CASE WHEN page <= 3 THEN {_TOC} ELSE {_HEADER} END GROUP BY report""")
 def txt_toc_by_position(spark, sf_dir):
-    """Contents pages, told more strictly after the first pages of a document."""
-    rows = table(spark, sf_dir, "documents").where(is_contents_at(F.col("doc_id") % 8, F.col("text")))
-    found = rows.groupBy("lang").agg(F.sort_array(F.collect_list("doc_id")).alias("pages"), F.count("*").alias("n"))
+    """Contents pages of each report of eight pages, told more strictly after the first pages.
+    Every third page begins with a contents header, every third with dotted leaders alone."""
+    d = F.col("doc_id")
+    top = F.when(d % 3 == 0, "Table of Contents\n").when(d % 3 == 1, "Scope ........ 12\n" * 5).otherwise("")
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 8").alias("report"), (d % 8).alias("page"), F.concat(top, "text").alias("text"))
+    found = rows.where(is_contents_at(F.col("page"), F.col("text"))).groupBy("report").agg(F.sort_array(F.collect_list("page")).alias("pages"), F.count("*").alias("n"))
     return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.assemble import BOUNDARIES, page_starts
+from tessera.operators.percentiles import exact_percentiles
 from tessera.operators.vectors import ASSIGNED, TOP_REPORT, level_one, level_one_score, roll_up
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -101,9 +102,9 @@ def rep_counters(spark, sf_dir):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type""")
 def stat_percentiles(spark, sf_dir):
-    """Exact percentiles, from counts by distinct value."""
-    found = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.95), F.lit(0.025), F.lit(0.975))).alias("p"))
-    return found.select("event_type", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p95", "low", "high"))])
+    """Exact percentiles, of groups of any size."""
+    found = exact_percentiles(table(spark, sf_dir, "events"), {"event_type": "event_type"}, "value", {"p95": 0.95, "low": 0.025, "high": 0.975})
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("p95", "low", "high")])
 
 
 @query("""SELECT year, doc_id FROM (SELECT (n_chars // 1000) % 10 AS year, doc_id, row_number() OVER (PARTITION BY (n_chars // 1000) % 10 ORDER BY md5(doc_id || '-9'), doc_id) AS n FROM documents) WHERE n <= 4""")

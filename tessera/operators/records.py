@@ -195,7 +195,7 @@ def dq_page_schema(spark, sf_dir):
     sure = F.struct(*[lit(50).alias(f) for f in CONFIDENCE_FIELDS[:4]], F.when(d % 6 != 3, 10).alias("total_words"))
     body = F.to_json(F.struct(
         F.coalesce("source", lit("")).alias("report_id"), d.alias("page_number"), F.when(d % 3 == 0, "ocr").otherwise("embedded").alias("extraction_method"), without(d % 5 == 1, lit(1)).alias("extraction_pass"),
-        F.left(F.coalesce("text", lit("")), lit(20)).alias("text"),
+        F.coalesce("text", lit("")).alias("text"),
         F.struct(*[lit(1).alias(f) for f in QUALITY_FIELDS if f != "word_count"], without(d % 7 == 2, lit(1)).alias("word_count")).alias("quality_metrics"),
         F.struct(lit("now").alias("extracted_at"), lit(3).alias("extraction_time_ms"), without(d % 4 == 3, lit("x.pdf")).alias("pdf_source")).alias("metadata"),
         F.when(d % 6 != 0, sure).alias("ocr_confidence"),

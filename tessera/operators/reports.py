@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import iso_date, signals_found, token_estimate
+from tessera.operators.percentiles import exact_percentiles
 from tessera.plans.registry import query
 from tessera.sources.tables import last_by_key, table
 
@@ -68,11 +69,14 @@ def rep_status_counts(spark, sf_dir):
 @query("""SELECT event_type, user_id % 7 AS collection, count(*) AS runs, count(*) FILTER (WHERE value >= 50) AS completed, round(sum(value), 3) AS total,
     round(avg(value), 4) AS mean, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1, 2""")
 def rep_run_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type", (F.col("user_id") % 7).alias("collection")).agg(
-        F.count("*").alias("runs"), F.count_if(F.col("value") >= 50).alias("completed"), F.round(F.sum("value"), 3).alias("total"),
-        F.round(F.avg("value"), 4).alias("mean"), F.round(F.percentile("value", 0.95), 6).alias("p95"),
+    rows = table(spark, sf_dir, "events").withColumn("collection", F.col("user_id") % 7)
+    keys = ["event_type", "collection"]
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("runs"), F.count_if(F.col("value") >= 50).alias("completed"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg("value"), 4).alias("mean"),
     )
+    p95 = exact_percentiles(rows, {k: k for k in keys}, "value", {"p95": 0.95}).withColumnsRenamed({k: f"of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    return sums.join(p95, same[0] & same[1]).select(*keys, "runs", "completed", "total", "mean", F.round("p95", 6).alias("p95"))
 
 
 @query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -97,11 +101,14 @@ def rep_status_by_key(spark, sf_dir):
     count(*) FILTER (WHERE greatest(1, n_chars // 4) < 400) AS under, count(*) FILTER (WHERE greatest(1, n_chars // 4) > 800) AS over FROM documents""")
 def rep_chunk_statistics(spark, sf_dir):
     tokens = token_estimate(F.col("n_chars"))
-    return table(spark, sf_dir, "documents").agg(
+    rows = table(spark, sf_dir, "documents").select("source", "n_chars")
+    sums = rows.agg(
         F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.sum(tokens).alias("tokens"), F.min("n_chars").alias("least"),
-        F.max("n_chars").alias("most"), F.round(F.median("n_chars"), 1).alias("middle"), F.count_if(tokens.between(400, 800)).alias("in_range"),
-        F.count_if(tokens < 400).alias("under"), F.count_if(tokens > 800).alias("over"),
+        F.max("n_chars").alias("most"), F.count_if(tokens.between(400, 800)).alias("in_range"),
+        F.count_if(tokens < 400).alias("under"), F.count_if(tokens > 800).alias("over"), F.lit(0).alias("one"),
     )
+    middle = exact_percentiles(rows, {}, "n_chars", {"middle": 0.5}).select(F.round("middle", 1).alias("middle"), F.lit(0).alias("one"))
+    return sums.join(middle, "one", "left").select("documents", "sources", "tokens", "least", "most", "middle", "in_range", "under", "over")
 
 
 @query("""SELECT lang, round(avg(n_chars), 1) AS mean, count(*) AS n, count(DISTINCT source) AS reports, sum(n_chars)::BIGINT AS total FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
@@ -216,10 +223,10 @@ def html_extract(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id, text AS chosen FROM (SELECT doc_id, left(text, 80) AS text, row_number() OVER (PARTITION BY md5(text) ORDER BY CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, doc_id) AS n
+@query("""SELECT doc_id, text AS chosen FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY md5(text) ORDER BY CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, doc_id) AS n
     FROM documents) WHERE n = 1""")
 def dedupe_prefer(spark, sf_dir):
     """One row of each text, by preference of language, then id."""
     preference = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).otherwise(3)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"), F.left("text", F.lit(80)).alias("chosen"), preference.alias("preference"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"), F.col("text").alias("chosen"), preference.alias("preference"))
     return last_by_key(rows, ["digest"], F.col("preference"), F.col("doc_id")).select("doc_id", "chosen")
