@@ -3,8 +3,11 @@
     python -m tessera.plans.cli list
     python -m tessera.plans.cli run txt_chunks DATA --out DIR --limit 10
     python -m tessera.plans.cli chunks DATA --out DIR
+    python -m tessera.plans.cli chunk-files PAGES --out DIR --vocabulary FILE
 
-A group runs all of its queries; one that fails is reported and doesn't stop the others.
+A group runs all of its queries; one that fails is reported and doesn't stop the others. ``chunk-files``
+takes a tree of page documents (JSON) to tables of documents, sections and chunks, and a summary;
+tokens are counted by a vocabulary file if one is given.
 """
 
 from __future__ import annotations
@@ -15,8 +18,11 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from tessera.functions.tokens import Vocabulary
+from tessera.operators.chunking import token_count
 from tessera.operators.dashboard import run_each
 from tessera.plans.all import QUERIES
+from tessera.plans.files import chunk_files
 
 #: Prefixes of the queries of each group.
 GROUPS = {
@@ -43,25 +49,36 @@ def run_query(spark: SparkSession, name: str, data: str, out: str | None, kind:
     return "shown"
 
 
+def _session() -> SparkSession:
+    from tessera.session import session
+
+    return session()
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None, say: Callable[[str], None] = print) -> int:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    parser.add_argument("command", choices=("list", "run", *GROUPS))
+    parser.add_argument("command", choices=("list", "run", "chunk-files", *GROUPS))
     parser.add_argument("rest", nargs="*", help="for run: NAME DATA; for a group: DATA")
     parser.add_argument("--out")
     parser.add_argument("--format", default="parquet", choices=FORMATS)
     parser.add_argument("--limit", type=int)
+    parser.add_argument("--vocabulary", help="for chunk-files: a tokenizer's JSON file")
     given = parser.parse_args(args)
     if given.command == "list":
         say("\n".join(sorted(QUERIES)))
         return 0
+    if given.command == "chunk-files":
+        if len(given.rest) != 1 or not given.out:
+            parser.error("give one folder of pages, and --out")
+        count = Vocabulary(given.vocabulary) if given.vocabulary else token_count
+        summary = chunk_files(spark or _session(), given.rest[0], given.out, count, given.format).first()
+        say(", ".join(f"{k}: {v}" for k, v in summary.asDict().items()))
+        return 0
     names = given.rest[:1] if given.command == "run" else names_of(given.command)
     data = given.rest[1 if given.command == "run" else 0 :]
     if len(data) != 1 or not set(names) <= set(QUERIES):
         parser.error("give one data folder, and for run the name of a query")
-    if spark is None:
-        from tessera.session import session
-
-        spark = session()
+    spark = spark or _session()
     done = run_each(names, lambda n: run_query(spark, n, data[0], given.out, given.format, given.limit))
     for name, (status, what) in done.items():
         say(f"{name}: {status}: {what}")
