@@ -112,14 +112,21 @@ GOLD = """id string, query string, difficulty string, intent string, category st
     relevance_signals:array<string>, primary_sections:array<string>, min_relevant_reports:int>"""
 
 
+#: Largest file of gold queries.
+GOLD_BYTES = 16 << 20
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold queries of a YAML file (a small tree, read on the driver)."""
+    """Gold queries of a YAML file on any file system that Spark reads. The tree is parsed on the
+    driver, so a file of over ``GOLD_BYTES`` is refused before its content is read."""
     import json
 
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f)
+    file = spark.read.format("binaryFile").load(path)
+    if (size := file.agg(F.sum("length")).first()[0] or 0) > GOLD_BYTES:
+        raise ValueError(f"{path} has {size} bytes, more than {GOLD_BYTES}")
+    found = yaml.safe_load(file.select("content").first().content.decode("utf-8"))
     rows = found["queries"] if isinstance(found, dict) else found
     return spark.createDataFrame([(json.dumps(r),) for r in rows], "raw string").select(F.from_json("raw", GOLD).alias("x")).select("x.*")
 

@@ -140,7 +140,7 @@ def test_neighbours_of_few_rows(spark, size):
     assert [r.vec_id for r in found.orderBy("rank").collect()] == ([1, 2] if size else [])
 
 
-def test_gold_queries_and_their_issues(spark, tmp_path):
+def test_gold_queries_and_their_issues(spark, tmp_path, monkeypatch):
     from tessera.operators import records
 
     path = tmp_path / "gold.yaml"
@@ -150,6 +150,9 @@ def test_gold_queries_and_their_issues(spark, tmp_path):
     )
     found = {(r.id, r.issue) for r in records.gold_issues(records.read_gold(spark, str(path))).collect()}
     assert found == {("b", "missing query"), ("b", "unknown difficulty"), ("b", "no ground truth")}
+    monkeypatch.setattr(records, "GOLD_BYTES", 20)
+    with pytest.raises(ValueError, match="more than 20"):
+        records.read_gold(spark, str(path))
 
 
 def test_ocr_statistics_count_words_only(spark):
