@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tessera.functions.text import html_escaped
 from tessera.operators.evaluation import evaluated_sql, means, provided
 from tessera.operators.retrieval import TIE
+from tessera.operators.vectors import nearest
 from tessera.plans.registry import query
+from tessera.sources.tables import stored
 
 MEASURES = ("mrr", "hit_10", "precision_10", "recall_10", "ndcg_10", "section_accuracy")
 #: Differences of lift and of reciprocal rank that decide between two runs.
@@ -125,7 +127,8 @@ def write_text(df_or_text: str, spark, path: str) -> None:
 
 
 def both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return provided(spark, sf_dir), provided(spark, sf_dir, True)
+    found = stored(nearest(spark, sf_dir), "near")
+    return provided(spark, sf_dir, False, found), provided(spark, sf_dir, True, found)
 
 
 _SIDES = f"(SELECT a.*, b.mrr AS mrr_b, b.ndcg_10 AS ndcg_b FROM {evaluated_sql()} AS a JOIN {evaluated_sql('21 - n.rank')} AS b USING (query))"

@@ -99,13 +99,13 @@ def means(rows: DataFrame, *by: str) -> DataFrame:
 _SIGNALS = ("the", "der", "el", "license")
 
 
-def provided(spark, sf_dir, reverse: bool = False) -> DataFrame:
+def provided(spark, sf_dir, reverse: bool = False, found: DataFrame | None = None) -> DataFrame:
     """The provided vectors as a search: the document of a vector's id is its text, its source
     the section, its label the item; queries take turns in the categories. ``reverse`` ranks
-    the same items the other way round, as a second run."""
+    the same items the other way round, as a second run; ``found`` is the search, if it is done."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
-    found = nearest(spark, sf_dir).withColumn("rank", 21 - F.col("rank") if reverse else F.col("rank")).join(vectors, "vec_id").join(docs, "vec_id", "left")
+    found = (nearest(spark, sf_dir) if found is None else found).withColumn("rank", 21 - F.col("rank") if reverse else F.col("rank")).join(vectors, "vec_id").join(docs, "vec_id", "left")
     results = found.select("query", "rank", F.col("label").alias("item"), F.col("source").alias("section"), "text")
     turn = (F.col("vec_id") / 50).cast("bigint") % 4
     category = F.when(turn == 0, "incident_lookup").when(turn == 1, "section_queries").when(turn == 2, "phase_queries").otherwise("unknown")

@@ -176,3 +176,28 @@ def test_page_documents_and_collections(spark, tmp_path):
     assert records.write_collection(vectors, str(tmp_path / "c"), "k") == 2
     arrays = spark.createDataFrame([(1, ["x"])], "k int, tags array<string>")
     assert {r.k: r.tags for r in records.enrich_collection(vectors, arrays, "k").collect()} == {1: ["x"], 2: []}
+
+
+def test_neighbours_of_many_queries_take_little_memory():
+    """A batch meets many queries in blocks; ties, copies and vectors with NaN rank as by brute force."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, size=(10_000, 8)).astype(np.float32)  # many ties
+    v[17] = np.nan
+    unit, ids = vectors._guarded(v[::5].astype(np.float64)), np.arange(0, 10_000, 5)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(10_000)), "v": pa.array(list(v), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    found = pa.Table.from_batches(vectors._nearest_in([batch.slice(0, 6_000), batch.slice(6_000)], "id", ids, unit, 20))
+    assert tracemalloc.get_traced_memory()[1] < 150e6  # all similarities at once are 160 MB, and were held several times
+    tracemalloc.stop()
+    q, got, s = (found.column(i).to_numpy().reshape(len(ids), 20) for i in range(3))
+    assert (q == ids[:, None]).all()
+    for at in range(0, len(ids), 97):
+        similar = np.round(vectors._guarded(v.astype(np.float64)) @ unit[at], 9)
+        similar[[17, ids[at]]] = -np.inf
+        want = np.lexsort((np.arange(10_000), -similar))[:20]
+        assert got[at].tolist() == want.tolist() and np.allclose(s[at], similar[want], atol=1e-9)
