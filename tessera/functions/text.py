@@ -29,7 +29,7 @@ FOOTNOTE_REFERENCE = r"(?<!\w)([a-zA-Z]*\d*[!*]?)/(?!\w)"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def letters(c: Column) -> Column:
@@ -63,7 +63,7 @@ def page_quality(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """Hyphenated line breaks joined, blanks and blank lines squeezed, page number lines
     dropped, bars read as I, ends stripped."""
-    steps = ((r"(\w)-\n(\w)", "$1$2"), (" +", " "), (r"\n{3,}", "\n\n"), (r"(?dm)^\s*-\s*\d+\s*-\s*$", ""))
+    steps = ((r"(\w)-\n(\w)", "$1$2"), (" {2,}", " "), (r"\n{3,}", "\n\n"), (r"(?dm)^\s*-\s*\d+\s*-\s*$", ""))
     text = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, F.coalesce(c, F.lit("")))
     return strip(F.replace(text, F.lit("|"), F.lit("I")))
 

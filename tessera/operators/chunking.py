@@ -7,6 +7,7 @@ inside Arrow batches; nothing is shuffled. What needs no positions is in ``funct
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -217,7 +218,8 @@ def per_document(docs: DataFrame, id_col: str, columns: dict[str, str], rows_of:
 
     def run(batches):
         for batch in batches:
-            kinds = pa.schema([("id", batch.schema.field(0).type), *((n, _KIND[k]) for n, k in columns.items())])
+            # any other kind is that of the input of the same name
+            kinds = pa.schema([("id", batch.schema.field(0).type), *((n, _KIND[k] if k in _KIND else batch.schema.field(n).type) for n, k in columns.items())])
             out: dict[str, list] = {n: [] for n in kinds.names}
             for i, text, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for row in rows_of(text or "", *more):
@@ -250,13 +252,26 @@ def footnote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return per_document(docs, id_col, {"marker": "string", "note": "string"}, rows_of, text_col)
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Counter = token_count, notes_col: str | None = None) -> DataFrame:
-    """Chunks of all documents. ``count`` counts tokens, ``notes_col`` maps footnote markers to notes."""
+def _touched(chunks: Iterator[dict], name: str, pages: list[dict]) -> Iterator[dict]:
+    """``chunks`` with the ``pages`` (start, stop), in order, that each overlaps, as ``name``."""
+    starts, stops = [p["start"] for p in pages], [p["stop"] for p in pages]
+    for chunk in chunks:
+        yield chunk | {name: pages[bisect_right(stops, chunk["char_start"]) : bisect_left(starts, chunk["char_end"])]}
 
-    def rows_of(text, notes=None):
-        return chunks_of(text, count, dict(notes or []))
 
-    out = per_document(docs, id_col, CHUNK_COLUMNS, rows_of, text_col, *([notes_col] if notes_col else []))
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Counter = token_count, notes_col: str | None = None, pages_col: str | None = None, *kept: str) -> DataFrame:
+    """Chunks of all documents. ``count`` counts tokens, ``notes_col`` maps footnote markers to notes,
+    ``pages_col`` has a document's pages in order, of which each chunk gets those that it overlaps.
+    Each also gets the document's columns ``kept``."""
+    inputs = [c for c in (notes_col, pages_col, *kept) if c]
+    columns = CHUNK_COLUMNS | {c: docs.schema[c].dataType.simpleString() for c in (pages_col, *kept) if c}
+
+    def rows_of(text, *more):
+        given = dict(zip(inputs, more, strict=True))
+        chunks, own = chunks_of(text, count, dict(given.get(notes_col) or [])), {c: given[c] for c in kept}
+        return (c | own for c in (_touched(chunks, pages_col, given[pages_col] or []) if pages_col else chunks))
+
+    out = per_document(docs, id_col, columns, rows_of, text_col, *inputs)
     return out.withColumn("chunk_id", F.format_string("%s_chunk_%04d", F.col(id_col).cast("string"), "chunk_sequence"))
 
 
@@ -280,10 +295,10 @@ def page_chunks(pages: DataFrame, key: str, page: str, text: str, source: str, r
     notes = footnote_maps(pages, key, page, text)
     kept = pages.where(skip_reason(F.col(text)).isNull()).withColumns({text: normalized(F.col(text)), "ratio": ratio, "confidence": confidence})
     docs = documents_of(kept, key, page, text, source, "ratio", "confidence").join(notes, key, "left")
-    chunks = chunk_table(docs, key, "full_text", count, "notes")
-    joined = chunks.join(docs.select(key, F.transform("pages", lambda p: p.dropFields(text)).alias("pages"), "primary_source"), key)
-    touched = F.filter("pages", lambda p: (p["stop"] > F.col("char_start")) & (p["start"] < F.col("char_end")))
-    joined = joined.withColumn("pages", touched)
+    # a chunk takes the pages that it overlaps where its document is cut: all pages of a document with
+    # each of its chunks would grow with the square of its length
+    slim = docs.withColumn("pages", F.transform("pages", lambda p: p.dropFields(text)))
+    joined = chunk_table(slim, key, "full_text", count, "notes", "pages", "primary_source")
     sources = F.array_distinct(F.transform("pages", lambda p: p[source]))
     numbers = F.transform("pages", lambda p: p[page])
     return joined.select(

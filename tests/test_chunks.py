@@ -131,3 +131,22 @@ def test_footnotes_of_documents(spark):
     rows = QUERIES["txt_footnotes"](spark, DATA).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert {r.doc_id: (r.n_references, r.n_definitions) for r in rows} == {i: (len(C.references_in(t)), len(C.footnotes_of(t))) for i, t in texts.items()}
+
+
+def test_a_chunk_takes_the_pages_that_it_overlaps(spark):
+    """Many pages of one document, also with a sentence whose first place is pages before: as by
+    comparing each chunk with each page; no page list meets every chunk in a join."""
+    rng = random.Random(5)
+    again = "The same long sentence stands on many of these pages, and it ends with a stop."
+    pages = [("r", n, " ".join(rng.choice([again, f"Sentence {n} of {rng.randrange(99)} words went on for quite some time here."]) for _ in range(rng.randrange(4, 60))), "ab"[n % 7 == 0], 0.5, 1.0) for n in range(60)]
+    df = spark.createDataFrame(pages, "id string, n int, t string, src string, a double, c double")
+    found = C.page_chunks(df, "id", "n", "t", "src", F.col("a"), F.col("c"))
+    rows = found.collect()
+    places = documents_of(df.withColumn("t", C.normalized(F.col("t"))), "id", "n", "t", "src").first().pages
+    assert len(rows) > 10
+    for r in rows:
+        want = [p for p in places if p.stop > r.char_start and p.start < r.char_end]
+        assert r.page_list == ",".join(str(p.n) for p in want)
+        assert r.text_source == ("mixed" if len({p.src for p in want}) > 1 else want[0].src if want else "other")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of documents with their notes
