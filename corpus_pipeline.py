@@ -34,7 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of texts alike by 0.8 or more in five-word
-    shingles. Rows without an id stay; null, empty and blank texts are alike; rows that repeat
+    shingles. Fingerprints that meet at a Golay key give the first groups, minimum hashes what
+    is too far apart for them; the shingle sets of all pairs are compared. Rows without an id stay; null, empty and blank texts are alike; rows that repeat
     id and words become one, rows of one id with unlike texts are documents of their own; an
     empty table stays empty; texts of any length count whole."""
     return without_near_duplicates(docs, SHINGLE)

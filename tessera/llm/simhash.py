@@ -55,6 +55,11 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
         ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
         starts = [0, *[e + 1 for e in ends]]
         raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)])
+    return majority(raw)
+
+
+def majority(raw: bytes) -> int:
+    """The bits that are set in over half of 64-bit hashes, given as big-endian bytes."""
     by_byte = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8)
     n = len(by_byte)
     if n > 300:
@@ -238,8 +243,8 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the word shingles, each once; fewer words make one shingle."""
+def shingle_hashes(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; fewer words make one shingle."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -247,7 +252,12 @@ def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
     ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
     starts = [0, *[e + 1 for e in ends]]
     last = ends[shingle - 1 :] or ends[-1:]
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, last, strict=False)], dtype=np.uint64))
+    return np.array([digest(joined[a:b]) for a, b in zip(starts, last, strict=False)], dtype=np.uint64)
+
+
+def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the word shingles, each once."""
+    return np.unique(shingle_hashes(words, shingle))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -346,10 +356,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(_with_sets(pairs, sets), run, "a bigint, b bigint")
 
 
+def _candidates_by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``distinct`` (node, bits) that have one fingerprint, or that
+    ``links`` connects: Golay keys of two of three segments, at most MAX_BITS apart."""
+    firsts = written(distinct.groupBy(F.col("bits").alias("fp")).agg(F.min("node").alias("first")), "firsts")
+    same = distinct.join(firsts, F.col("bits") == F.col("fp")).where("node != first").select("first", "node")
+    a, b = (firsts.toDF(c, f"of_{c}") for c in "ab")
+    near = links(firsts.select("fp")).join(a, "a").join(b, "b").select(F.least("of_a", "of_b"), F.greatest("of_a", "of_b"))
+    return same.toDF("a", "b").unionByName(near.toDF("a", "b"))
+
+
+def _apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not of one component."""
+    a, b = (grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
     """Written (key, main, id, component): members of the keys that hold several components,
     with the one that most of them are in."""
-    named = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most, so that a member is named once
+    named = own.join(grouped.withColumnRenamed("node", "id"), "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("component"))
     tally = named.groupBy("key", "component").count().groupBy("key")
     tally = tally.agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
     return written(named.join(tally.select("key", F.col("most.component").alias("main")), "key"), "split")
@@ -480,12 +508,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     SIMILAR or more, for every row that has an id. ``text_hash`` is that of the normal words;
     ``kept`` marks one (id, text_hash) of each group, that of its smallest id.
 
-    Texts of equal words become one node. A set's minimum hashes under BANDS x BAND_ROWS
-    permutations give a key a band; texts of similarity s share one with probability
-    1 - (1 - s^7)^46, 0.99998 at 0.8. Pairs that meet are links only if their whole shingle
-    sets, written once by node, are alike by SIMILAR. Groups of over PAIRED texts are compared
-    with their smallest node first, and then as ``_settled`` says, so that no link between
-    components is left out.
+    Texts of equal words become one node. Fingerprints of the shingles, their Golay keys and exact
+    distances give the first pairs (``links``); they are links only if their whole shingle
+    sets, written once by node, are alike by SIMILAR, and their components are the first groups.
+    At a similarity of 0.8 fingerprints differ in some ten bits, too many for these keys, so what
+    is still apart is also brought together by a set's minimum hashes under BANDS x BAND_ROWS
+    permutations, a key a band; texts of similarity s share one with probability
+    1 - (1 - s^7)^46, 0.99998 at 0.8. These pairs are verified in the same way. Groups of over
+    PAIRED texts are compared with their smallest node first, and then as ``_settled`` says, so
+    that no link between components is left out.
 
     Defined cases: null, empty and blank texts are one group, as their sets are equal; rows
     that repeat id and text are one member; rows of one id with unlike texts are members of
@@ -496,22 +527,27 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
 
     def run(batch):
         words = [normal_words(t) for t in texts_of(batch)]
-        keys = [band_keys(shingle_set(w, shingle)).tobytes() for w in words]
-        return {"id": batch.column(0), "fp": [text_hash(w) for w in words], "keys": keys}
+        hashes = [shingle_hashes(w, shingle) for w in words]
+        bits = np.array([majority(h.astype(">u8").tobytes()) if len(h) else 0 for h in hashes], dtype=np.uint64)
+        keys = [band_keys(np.unique(h)).tobytes() for h in hashes]
+        return {"id": batch.column(0), "fp": [text_hash(w) for w in words], "bits": pa.array(bits.view(np.int64)), "keys": keys}
 
-    marked = written(map_rows(rows, run, "id bigint, fp binary, keys binary"), "bands")
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("keys").alias("keys"))
+    marked = written(map_rows(rows, run, "id bigint, fp binary, bits bigint, keys binary"), "bands")
+    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     ranges = max(16, -(-distinct.count() * BANDS // RANGE_ROWS))
     keyed = distinct.select("keys", "node").mapInArrow(lambda b: _packed_bands(b, ranges), "part int, keys binary, ids binary")
     found = written(dealt(keyed, ranges // 4, "part").applyInArrow(_candidates, _FOUND), "found")
-    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    near = written(_candidates_by_fingerprint(distinct.select("node", "bits")).distinct(), "near")
+    banded = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = near.unionByName(banded)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = distinct.join(needed, "node").select("node", F.col("least").alias("id"), "fp")
     # a shuffle at every size, as it must be where the wanted ids are many
     sets = _sets(rows.join(wanted.hint("merge"), "id").select("node", "fp", "text"), shingle)
-    links = written(verified(pairs, sets), "links")
-    grouped = components(links)
+    grouped = components(written(verified(near, sets), "links"))
+    more = written(verified(written(_apart(banded, grouped), "pairs"), sets), "links")
+    grouped = grouped if more.isEmpty() else _joined(grouped, more)
     grouped = _settled(found.where("b is null").select("key", F.col("a").alias("id")), grouped, sets)
     named = distinct.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min(F.struct("least", "node")).alias("first"))

@@ -396,3 +396,21 @@ def test_pairs_across_components_hold_all_that_are_alike(spark, trial):
     got = {tuple(sorted((r.a, r.b))) for r in H._across(split, stored).collect()}
     met = {(i, j) for i in sets for j in sets if i < j and component[i] != component[j] and set(keys[i]) & set(keys[j])}
     assert {(i, j) for i, j in met if alike(i, j)} <= got <= met and len(got) < len(met) / 4
+
+
+def test_similar_groups_begin_with_fingerprints(spark, monkeypatch):
+    """Without any minimum-hash key, near copies within four bits are still found, by Golay keys
+    alone, and verified; a member of many keys is named by a join of one row."""
+    rng = random.Random(21)
+    texts = [words_text(rng, 400, 5000) for _ in range(60)]
+    texts += [t + " more" for t in texts[:30]]
+    monkeypatch.setattr(H, "_candidates", lambda table: pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "key")}))
+    got = groups_of(spark, texts)
+    bits = [H.majority(H.shingle_hashes(H.normal_words(t)).astype(">u8").tobytes()) for t in texts]
+    near = [i for i in range(30) if (bits[i] ^ bits[60 + i]).bit_count() <= H.MAX_BITS]
+    assert len(near) > 20 and all(got[60 + i] == i for i in near)
+    assert all(got[i] == i for i in range(60))
+    members = spark.createDataFrame([(k, i) for k in range(7) for i in range(40)], "key bigint, id bigint")
+    grouped = spark.createDataFrame([(i, i % 2) for i in range(40)], "node bigint, component bigint")
+    split = H._split(members, grouped)
+    assert sorted(map(tuple, split.select("key", "id", "component", "main").collect())) == sorted((k, i, i % 2, 1) for k in range(7) for i in range(40))
