@@ -53,3 +53,23 @@ def test_sentence_chunks_keep_real_token_limits(spark):
     rows = chunk_table(spark.createDataFrame([(1, text)], "doc_id int, text string"), count=Vocabulary(PATH)).orderBy("chunk_sequence").collect()
     assert len(rows) > 3 and all(LEAST_TOKENS <= r.packed_tokens <= MOST_TOKENS for r in rows[:-1])
     assert all(r.token_count == Vocabulary(PATH)(r.chunk_text) for r in rows)
+
+
+def test_ends_are_those_of_the_whole_text(spark, monkeypatch):
+    """Texts cut at words give the library's own ends, whatever white space, special strings or
+    characters of several tokens they hold; a word that comes again is not encoded again."""
+    import random
+
+    from tessera.functions import tokens
+
+    rng, asked = random.Random(8), []
+    bits = ["word", "Don't", "it's", "12", "x9", "日本語", "\U0001f642", "añb", ",", "...", " ", " ", " ", "\n", "\n", "\t", "\u00a0", "\x1c", "\u2028", "\r\n", "<|endoftext|>", "\x85", "\u0301"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(3_000)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for t in texts:
+        want = tokens._ends(PATH, t)
+        assert Vocabulary(PATH).ends(t) == want[:-1] + [len(t)] * bool(want)
+    plain = tokens._ends
+    monkeypatch.setattr(tokens, "_ends", lambda path, text: asked.append(text) or plain(path, text))
+    Vocabulary(PATH).ends("again and again " * 500)
+    assert len(asked) <= 4
