@@ -5,8 +5,9 @@
 2. Its minimum spanning forest is found in rounds: every component takes its shortest edge out,
    pointers are jumped to the roots, and edges within a component go. Components at least halve.
 3. Points come together from the shortest edge up. ``arrivals`` finds, for all points at once, the
-   edge by which each first belongs to a component of LEAST_CLUSTER points; edges that join two
-   such components are splits, of which there are at most n / LEAST_CLUSTER.
+   edge by which each first belongs to a component of LEAST_CLUSTER points, by walks that about
+   double in a turn; edges that join two such components are splits, of which there are at
+   most n / LEAST_CLUSTER.
 4. The splits alone make the condensed tree. A cluster's stability is what its points gain in
    density (1 / length) while they are in it; the most stable clusters without overlap are
    topics, and what belongs to none is an outlier (-1).
@@ -18,16 +19,19 @@ wherever rows lie. Points without an edge are outliers; an empty table gives no
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import stored
 
 LEAST_SAMPLES, LEAST_CLUSTER = 5, 20
+#: Points that a walk asks in a turn.
+ASKED = 6
 #: Density of points that lie on each other, and clusters that a task may be sent.
 SHORTEST, MOST_CLUSTERS = 1e-9, 2_000_000
 _EDGE = "struct<w:double,a:bigint,b:bigint>"
@@ -90,42 +94,95 @@ class Arrivals:
     splits: DataFrame
 
 
+def _walk(start: int, edges: list[tuple[float, int, int, bool]], least: int) -> tuple[list[tuple[float, int, int, bool]], bool]:
+    """Directed edges (w, from, to, known) in the order in which ``start`` takes them, always the
+    shortest that leads on, till it has ``least`` points; and whether that order is certain:
+    all points that had to be passed are known, those whose own edges are at hand."""
+    out: dict[int, list] = {}
+    for e in edges:
+        out.setdefault(e[1], []).append((e[0], min(e[1:3]), max(e[1:3]), e))
+    taken, certain, heap = [], True, out.get(start, [])
+    heapq.heapify(heap)
+    while heap and len(taken) < least - 1:
+        e = heapq.heappop(heap)[3]
+        taken.append(e)
+        certain &= e[3] or len(taken) == least - 1
+        for x in out.get(e[2], ()):
+            heapq.heappush(heap, x)
+    return taken, certain
+
+
+_WALK = "node bigint, w array<double>, `from` array<bigint>, `to` array<bigint>, known array<boolean>, done boolean"
+
+
+def _walks(forest: DataFrame, least: int) -> DataFrame:
+    """Stored _WALK of each point: its first edges as ``_walk`` takes them.
+
+    A point starts with its own edges. In each turn it asks the first ASKED points of its walk whose
+    edges it doesn't have for their walks, and takes what lies beyond them. In a tree the order of
+    the points beyond one doesn't depend on where a walk comes from, and whatever a walk
+    takes beyond a point is among the first of that point's own walk, so ``least`` edges a point
+    are enough. A walk about doubles in a turn.
+    """
+    ends = [forest.select(F.col(f"e.{x}").alias("node"), F.col(f"e.{y}").alias("to"), "e") for x, y in (("a", "b"), ("b", "a"))]
+    near = ends[0].unionByName(ends[1]).withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("e"))).where(F.col("n") < least)
+    own = near.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("e", "to"))).alias("x"))  # least at most
+    lists = {"w": F.col("x.e.w"), "from": F.transform("x", lambda _: F.col("node")), "to": F.col("x.to"), "known": F.transform("x", lambda _: F.lit(False))}
+    state = stored(own.select("node", *[c.alias(n) for n, c in lists.items()], F.lit(False).alias("done")), "walks")
+    kinds = pa.schema([("node", pa.int64()), ("w", pa.list_(pa.float64())), ("from", pa.list_(pa.int64())), ("to", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("done", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            out = {n: [] for n in kinds.names}
+            for node, w, frm, to, known, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                here = {t["at"] for t in told}
+                edges = [(x, i, j, k or j in here) for x, i, j, k in zip(w, frm, to, known, strict=True)]
+                for t in told:
+                    back = {t["via"]}  # what lies on the side that the walk comes from
+                    for x, i, j, k in zip(t["w"], t["from"], t["to"], t["known"], strict=True):
+                        if j in back or i in back:
+                            back.add(j)
+                        else:
+                            edges.append((x, i, j, k))
+                taken, done = _walk(node, edges, least)
+                for column, value in zip(out.values(), (node, *([e[c] for e in taken] for c in range(4)), done), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=kinds)
+
+    while not (open_ := state.where("not done")).isEmpty():
+        unknown = F.filter(F.arrays_zip(F.col("from").alias("via"), F.col("to").alias("at"), "known"), lambda x: ~x["known"])
+        asked = open_.select("node", F.explode(F.slice(unknown, 1, ASKED)).alias("x")).select("node", "x.via", "x.at")
+        told = asked.join(state.drop("done").withColumnRenamed("node", "at"), "at")
+        told = told.groupBy("node").agg(F.collect_list(F.struct("at", "via", "w", "from", "to", "known")).alias("told"))  # ASKED at most
+        new = open_.drop("done").join(told, "node").mapInArrow(run, _WALK)
+        state = stored(new.unionByName(state.where("done")), "walks")
+    return state
+
+
 def arrivals(forest: DataFrame, least: int = LEAST_CLUSTER) -> Arrivals:
-    """For each point the edge by which its component first has ``least`` points.
+    """For each point the edge by which its component first has ``least`` points: the longest that
+    it takes on its walk to that many.
 
-    Two small components that are each other's nearest come together; a small one whose chain
-    of shortest edges leads to a large one arrives by its own edge, as all edges further along
-    the chain are shorter. The edges left in the end join large components only.
+    An edge longer than the arrivals of both its ends is a split. Points that arrive by one edge
+    arrive together: where one of its ends has arrived before, in that end's region, else in
+    a region of their own, named by the smallest of them. So regions are chains of arrivals.
     """
-    live = stored(forest.select(F.col("e.a").alias("ca"), F.col("e.b").alias("cb"), "e"), "live")
-    ends = live.select(F.col("ca").alias("node")).unionByName(live.select(F.col("cb").alias("node"))).distinct()
-    small = stored(ends.select("node", F.col("node").alias("region")), "small")  # points of small components
-    sizes = stored(small.select("node", F.lit(1).cast("bigint").alias("n")), "sizes")  # small components
-    done, splits = [], []
-    while not small.isEmpty():
-        best = stored(_shortest(live).join(sizes, "node"), "shortest")
-        # large components and those without an edge are ends of chains
-        ends = best.select(F.col("best.to").alias("node")).join(sizes, "node", "left_anti").distinct().withColumn("to", F.col("node"))
-        roots = _jumped(best.select("node", F.col("best.to").alias("to")).unionByName(ends)).join(best, "node")
-        large = roots.join(sizes.select(F.col("node").alias("root"), F.lit(1).alias("waits")), "root", "left").where("waits is null")
-        pair = best.select("node", "n", "best").alias("x").join(best.select(F.col("node").alias("to"), F.col("best.to").alias("back"), F.col("n").alias("m")).alias("y"), F.col("best.to") == F.col("to")).where("back = node")
-        pair = pair.select("node", F.least("node", "to").alias("root"), F.col("best.e").alias("e"), (F.col("n") + F.col("m")).alias("n"))
-        come = large.select("node", "root", F.col("best.e").alias("e"), F.lit(least).cast("bigint").alias("n")).unionByName(pair)
-        alone = sizes.join(best.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(None).cast(_EDGE).alias("e"), F.lit(None).cast("bigint").alias("n"))
-        come = stored(come.unionByName(alone), "come")
-        moved = stored(small.join(come.select(F.col("node").alias("region"), "root", "e", "n"), "region", "left"), "moved")
-        over = F.col("root").isNotNull() & (F.col("n").isNull() | (F.col("n") >= least))
-        done.append(moved.where(over).select("node", F.col("root").alias("region"), F.col("e").alias("arrival")))
-        small = moved.where(~over).select("node", F.coalesce("root", "region").alias("region"))
-        sizes = stored(sizes.join(come.select("node"), "node", "left_anti").unionByName(come.where(F.col("n") < least).select(F.col("root").alias("node"), "n").distinct()), "sizes")
-        named = _relabelled(live, come.select("node", "root")).where("ca != cb")
-        here = sizes.select(F.col("node").alias("ca"), F.lit(1).alias("x")), sizes.select(F.col("node").alias("cb"), F.lit(1).alias("y"))
-        named = stored(named.join(here[0], "ca", "left").join(here[1], "cb", "left"), "live")
-        splits.append(named.where("x is null and y is null").select("ca", "cb", "e"))
-        live = named.where("x is not null or y is not null").select("ca", "cb", "e")
-    union = lambda frames, empty: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]], empty) if frames else empty
-    none = small.select("node", "region", F.lit(None).cast(_EDGE).alias("arrival"))
-    return Arrivals(stored(union(done, none), "points"), stored(union(splits, live), "splits"))
+    walks = _walks(forest, least)
+    edges = F.transform(F.arrays_zip("w", "from", "to"), lambda x: F.struct(x["w"].alias("w"), F.least(x["from"], x["to"]).alias("a"), F.greatest(x["from"], x["to"]).alias("b")))
+    arrived = stored(walks.select("node", F.when(F.size("w") >= least - 1, F.array_max(edges)).cast(_EDGE).alias("arrival")), "arrived")
+    there = arrived.where("arrival is not null")
+    named = stored(there.join(there.groupBy("arrival").agg(F.min("node").alias("own")), "arrival").select("node", "own", "arrival"), "named")
+    ends = [named.select(F.col("node").alias(f"arrival_{c}"), F.col("own").alias(f"own_{c}"), F.col("arrival").alias(f"by_{c}")) for c in "ab"]
+    heads = named.select("own", "arrival").distinct()
+    for c, end in zip("ab", ends, strict=True):
+        heads = heads.withColumn(f"arrival_{c}", F.col(f"arrival.{c}")).join(end, f"arrival_{c}")
+    to = F.when(F.col("by_a") < F.col("arrival"), F.col("own_a")).when(F.col("by_b") < F.col("arrival"), F.col("own_b")).otherwise(F.col("own"))
+    roots = _jumped(stored(heads.select(F.col("own").alias("node"), to.alias("to")), "heads")).withColumnsRenamed({"node": "own", "root": "region"})
+    points = stored(named.join(roots, "own").select("node", "region", "arrival").unionByName(arrived.where("arrival is null").select("node", F.col("node").alias("region"), "arrival")), "points")
+    splits = forest.select("e", F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+    for c in "ab":
+        splits = splits.join(points.toDF(c, f"c{c}", f"by_{c}"), c)
+    return Arrivals(points, stored(splits.where("by_a < e and by_b < e").select("ca", "cb", "e"), "splits"))
 
 
 class Tree:

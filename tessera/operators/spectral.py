@@ -35,11 +35,13 @@ def fuzzy_edges(neighbours: DataFrame) -> DataFrame:
 
 
 def _normalised(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored (a, b, w) with w over the root of both ends' sums, and (node, degree)."""
+    """Stored (a, b, w) with w over the root of both ends' sums, with an edge of no weight from each
+    node to itself, and (node, degree)."""
     degree = stored(edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "degree")
     ends = [degree.withColumnsRenamed({"node": c, "degree": f"d{c}"}) for c in ("a", "b")]
     joined = edges.join(ends[0], "a").join(ends[1], "b")
-    return stored(joined.select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("w")), "edges"), degree
+    own = degree.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w"))
+    return stored(joined.select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("w")).unionByName(own), "edges"), degree
 
 
 def _products(both: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
@@ -62,10 +64,12 @@ def _whitener(gram: np.ndarray) -> np.ndarray:
 
 
 def _multiplied(edges: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
-    """``values`` with columns n.. of the weights times the columns ``names``."""
-    heard = edges.join(values.select(F.col("node").alias("b"), *names), "b")
-    moved = heard.groupBy(F.col("a").alias("node")).agg(*[F.sum(F.col("w") * F.col(n)).alias(f"n{n}") for n in names])
-    return moved.join(values, "node")
+    """``values`` with columns n.. of the weights times the columns ``names``. A node hears its own
+    values over its edge to itself, so that ``values`` is joined once and turns may follow each other."""
+    kept = [c for c in values.columns if c != "node"]
+    heard = edges.join(values.withColumnRenamed("node", "b"), "b")
+    own = F.col("a") == F.col("b")
+    return heard.groupBy(F.col("a").alias("node")).agg(*[F.sum(F.col("w") * F.col(n)).alias(f"n{n}") for n in names], *[F.max(F.when(own, F.col(c))).alias(c) for c in kept])
 
 
 def _filtered(edges: DataFrame, values: DataFrame, names: list[str], bound: float, degree: int) -> DataFrame:

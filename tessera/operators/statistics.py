@@ -14,7 +14,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.cells import nearest
+from tessera.operators.cells import nearest_of_all
 from tessera.operators.density import LEAST_CLUSTER, LEAST_SAMPLES, clusters
 from tessera.operators.retrieval import BOTH, both_runs
 from tessera.operators.spectral import DIMENSIONS, embedded
@@ -145,8 +145,8 @@ def density_topics(vectors: DataFrame, key: str, embedding: str, least: int = LE
     out in a few dimensions, and clustered there by density. Vectors that can't be compared are
     outliers."""
     rows = stored(vectors.select(F.col(key).cast("bigint").alias(key), embedding).where(F.col(key).isNotNull()), "vectors")
-    placed = embedded(stored(nearest(rows, rows, key, embedding, TOPIC_NEIGHBOURS), "near"), dimensions)
-    near = stored(nearest(placed, placed, "node", "v", TOPIC_NEIGHBOURS, cosine=False), "near")
+    placed = embedded(stored(nearest_of_all(rows, key, embedding, TOPIC_NEIGHBOURS), "near"), dimensions)
+    near = stored(nearest_of_all(placed, "node", "v", TOPIC_NEIGHBOURS, cosine=False), "near")
     return clusters(rows.select(key), near, key, LEAST_SAMPLES, least)
 
 

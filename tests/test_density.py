@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import cells as C
 from tessera.operators import density as D
@@ -100,6 +101,57 @@ def test_embedding_equals_numpy(spark):
     assert share(x) > 0.5 and abs(share(x) - share(y)) < 0.05
 
 
+def test_walks_of_a_star_and_a_falling_chain(spark):
+    """A point of many neighbours, and a chain of falling edges, arrive in few turns."""
+    star = [(1.0 + i / 100, 0, i) for i in range(1, 61)]
+    chain = [(2.0 - i / 1000, i, i + 1) for i in range(100, 180)]
+    forest = spark.createDataFrame([(e,) for e in star + chain + [(3.0, 60, 100)]], "e struct<w:double,a:bigint,b:bigint>")
+    turns, real = [], D.stored
+    D.stored = lambda df, label: turns.append(label) or real(df, label)
+    try:
+        found = D.arrivals(forest, 20)
+    finally:
+        D.stored = real
+    assert len(turns) < 20  # was one turn of seven tables for each point of a chain
+    got = {r.node: (r.region, r.arrival.w) for r in found.points.collect()}
+    assert all(got[i] == (0, pytest.approx(1 + max(i, 19) / 100)) for i in range(61))
+    assert all(got[i] == (161, pytest.approx(2.0 - min(i, 161) / 1000)) for i in range(101, 181))
+    assert [(r.ca, r.cb, r.e.w) for r in found.splits.collect()] == [(0, 161, 3.0)]
+
+
+def test_turns_of_the_embedding_join_values_once(spark):
+    edges, degree = S._normalised(S.fuzzy_edges(spark.createDataFrame(graph(np.random.default_rng(2).normal(size=(40, 3)), 4), GRAPH)))
+    values = degree.select("node", F.lit(1.0).alias("y"))
+    for _ in range(5):
+        values = S._multiplied(edges, values, ["y"]).select("node", F.col("ny").alias("y"), F.col("y").alias("p"))
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 5  # they doubled in each turn
+
+
+@pytest.mark.parametrize("cosine", [True, False])
+def test_nearest_of_all_equals_brute_force(spark, monkeypatch, cosine):
+    monkeypatch.setattr(C, "PAIRED_ROWS", 60)
+    v = np.random.default_rng(4).normal(size=(301, 5)) * (1 if cosine else 1e-4) + (0 if cosine else 1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(400, None), (401, [1.0]), (None, v[0].tolist())], "id bigint, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    apart = 1 - unit @ unit.T if cosine else np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(apart, np.inf)
+    found = C.nearest_of_all(rows, "id", "v", 7, cosine).collect()
+    got = {(r.query, r.rank): (r.id, r.distance) for r in found}
+    assert len(found) == len(got) == 7 * len(v)
+    for i, row in enumerate(np.argsort(apart, 1)[:, :7]):
+        assert [got[i, r + 1][0] for r in range(7)] == row.tolist()
+        assert np.allclose([got[i, r + 1][1] for r in range(7)], apart[i, row], rtol=1e-4 if cosine else 1e-6, atol=1e-7 if cosine else 0)
+
+
+def test_nearest_of_all_of_copies_and_few(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "id bigint, v array<double>")
+    found = C.nearest_of_all(rows, "id", "v", 5).collect()
+    assert len(found) == 150 and all(r.query != r.id and abs(r.distance) < 1e-6 for r in found)
+    assert {(r.query, r.id) for r in C.nearest_of_all(rows.where("id < 3"), "id", "v", 5).collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
+    assert C.nearest_of_all(rows.where("false"), "id", "v", 5).collect() == []
+
+
 def test_nothing(spark):
     none, points = spark.createDataFrame([], GRAPH), spark.createDataFrame([(1,), (2,)], "id bigint")
     assert sorted(map(tuple, D.clusters(points, none, "id").collect())) == [(1, -1, 0.0), (2, -1, 0.0)]
