@@ -25,6 +25,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -373,14 +374,31 @@ def _apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def _tallied(named: DataFrame) -> DataFrame:
+    """(key, component, n): members of (keys, component) by key, counted within each batch first, so
+    that what many members share is one row a batch and not one a member and key."""
+    kinds = arrow_schema("key bigint, component bigint, n bigint")
+
+    def run(batch):
+        lengths = pc.list_value_length(batch.column(0)).to_numpy()
+        both = pa.table({"key": batch.column(0).flatten(), "component": np.repeat(batch.column(1).to_numpy(), lengths)})
+        found = both.group_by(["key", "component"]).aggregate([([], "count_all")]).select(["key", "component", "count_all"])
+        return as_batch({c: found.column(c).combine_chunks() for c in found.column_names}, kinds)
+
+    parts = map_rows(named, run, "key bigint, component bigint, n bigint")
+    return parts.groupBy("key", "component").agg(F.sum("n").alias("n"))
+
+
 def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
     """Written (key, main, id, component): members of the keys that hold several components,
     with the one that most of them are in."""
+    of = grouped.withColumnRenamed("node", "id")
     own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most, so that a member is named once
-    named = own.join(grouped.withColumnRenamed("node", "id"), "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("component"))
-    tally = named.groupBy("key", "component").count().groupBy("key")
-    tally = tally.agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
-    return written(named.join(tally.select("key", F.col("most.component").alias("main")), "key"), "split")
+    tally = _tallied(own.join(of, "id", "left").select("keys", F.coalesce("component", "id").alias("component"))).groupBy("key")
+    tally = tally.agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("several")).where("several > 1")
+    tally = written(tally.select("key", F.col("most.component").alias("main")), "tally")
+    left = members.distinct().join(tally, "key").join(of, "id", "left")
+    return written(left.select("key", "main", "id", F.coalesce("component", "id").alias("component")), "split")
 
 
 def _differences(split: DataFrame, sets: DataFrame) -> DataFrame:

@@ -56,3 +56,26 @@ def test_copies_changed_in_their_own_ways_meet_none(spark):
     split = spark.createDataFrame(rows, "key bigint, main bigint, id bigint, component bigint")
     stored = spark.createDataFrame([(i, np.unique(np.array(x, dtype=np.uint64)).tobytes()) for i, x in sets.items()], "id bigint, hashes binary")
     assert H._across(split, stored).count() == 0
+
+
+def test_members_are_tallied_before_they_are_dealt_by_key(spark, monkeypatch):
+    """Keys that many members of one component share make a row a batch, and only members of
+    keys with several components are named by key."""
+    rows, component, rng = [], {}, random.Random(3)
+    for i in range(2_000):
+        component[i] = 0 if i < 1_900 else rng.choice((0, i))
+        rows += [(k, i) for k in range(40)] if i < 1_500 else [(100 + i % 7, i), (200 + i % 3, i)]
+    members = spark.createDataFrame(rows + rows[:5], "key bigint, id bigint")
+    grouped = spark.createDataFrame([(i, c) for i, c in component.items() if i % 50 or c != i], "node bigint, component bigint")
+    made, real = [], H.map_rows
+    monkeypatch.setattr(H, "map_rows", lambda *x: made.append(real(*x)) or made[-1])
+    got = {tuple(r) for r in H._split(members, grouped).collect()}
+    assert made and made[0].count() < len(rows) / 10
+    by_key = {}
+    for k, i in rows:
+        by_key.setdefault(k, {}).setdefault(component[i], []).append(i)
+    want = set()
+    for k, of in by_key.items():
+        main = max((len(x), c) for c, x in of.items())[1]
+        want |= {(k, main, i, c) for c, x in of.items() for i in x} if len(of) > 1 else set()
+    assert got == want and want
