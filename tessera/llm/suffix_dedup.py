@@ -86,6 +86,22 @@ def _keys(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _KEY_BITS)).astype(np.int64)
 
 
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each anchor key. Ranges are neighbouring keys and hold equal shares of the
+    anchors, of which most are small: each is the least hash of some window. A hash that a share
+    1 - q of all hashes lies below is an anchor if WINDOW - 1 neighbours in a row are larger, with
+    probability q^(WINDOW - 1) (1 + (WINDOW - 1) (1 - q)); this is summed up. Products only: machines
+    must agree on each bit."""
+    q = 1.0 - keys / 2.0**_KEY_BITS
+    power, square, rest = 1.0, q, WINDOW
+    while rest:
+        if rest & 1:
+            power = power * square
+        square, rest = square * square, rest >> 1
+    below = 1.0 - power * ((WINDOW + 1) / 2 - (WINDOW - 1) / 2 * q)
+    return np.clip((below * ranges).astype(np.int64), 0, ranges - 1)
+
+
 def _split(part: np.ndarray, parts: int):
     """(part, rows) for each part that has rows, keeping their order."""
     order = np.argsort(part, kind="stable")
@@ -119,7 +135,7 @@ def _send_anchors(batches, ranges: int):
         count = np.where(nth == 0, 1, np.repeat(n, n) - 1)
         out = {f.name: [] for f in kinds}
         told, back = np.flatnonzero(nth < 2), np.flatnonzero(nth >= 2)
-        for part, rows in _split(key[told] * ranges >> _KEY_BITS, ranges):
+        for part, rows in _split(_ranges(key[told], ranges), ranges):
             rows = told[rows]
             _append(out, False, part, planes(key[rows], 5), planes(own[rows], 8), planes(count[rows], 3))
         for part, rows in _split(_part(own[back], ranges), ranges):
@@ -204,7 +220,7 @@ def repeated_anchors(rows: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    """A part number for each document."""
+    """A part number for each document or key, whichever values are frequent."""
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
     return (mixed % np.uint64(parts)).astype(np.int64)
 
@@ -297,7 +313,7 @@ def _send_contexts(batches, shards: int, hot):
         times = np.diff(np.r_[first, len(kept)])
         sent, settled = kept[first], order[own[order] > least]
         out = {f.name: [] for f in kinds}
-        for shard, rows in _split(spread[sent] * shards >> _KEY_BITS, shards):
+        for shard, rows in _split(_part(spread[sent], shards), shards):
             size = n[sent[rows]] + LENGTH - 1
             where = text[ranges_of(begin[sent[rows]], size)].tobytes()
             places = place[kept[ranges_of(first[rows], times[rows])]]

@@ -214,6 +214,27 @@ def test_copies_of_a_task_send_their_anchors_once():
     assert {i for b in sent.column("ids").to_pylist() for i in D.from_planes(b, 8).tolist()} == {100}
 
 
+def test_ranges_and_shards_hold_like_shares():
+    """Anchors are least hashes, so most of their keys are small."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(40), pa.int64()), "text": texts})
+    sent = pa.Table.from_batches(list(D._send_anchors([batch], 32)))
+    told = np.zeros(32)
+    np.add.at(told, sent.column("part").to_numpy(), [len(k) for k in sent.column("keys").to_pylist()])
+    assert told.max() < 1.5 * told.mean()
+    found = [r for p in groups([sent], "part") for r in D._by_document(p).to_pylist()]
+    keys = [np.concatenate([r["keys"] for r in found if r["id"] == i]) for i in range(40)]
+
+    class Often:
+        value = []
+
+    sent = pa.Table.from_batches(list(D._send_contexts([batch.append_column("keys", pa.array(keys))], 32, Often)))
+    held = np.zeros(32)
+    np.add.at(held, sent.column("shard").to_numpy(), [len(t) for t in sent.column("text").to_pylist()])
+    assert held.sum() > 800_000 and held.max() < 1.5 * held.mean()
+
+
 def test_frequent_anchors_go_straight_back():
     passage = words_text(random.Random(2), 60)
     batch = pa.RecordBatch.from_pydict({"id": pa.array(range(300), pa.int64()), "text": [f"{passage} own{i}" for i in range(300)]})
