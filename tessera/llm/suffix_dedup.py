@@ -10,7 +10,8 @@
    and the others go straight back, so a frequent anchor's documents don't meet in one task.
 3. Each window of LENGTH bytes belongs to one anchor, told by its own bytes alone.
    Neighbouring windows of a repeated anchor are one context. Contexts that a task holds
-   twice are settled there; the rest go to shards by anchor hash, so equal windows meet.
+   twice are settled there; the rest go to shards by anchor hash, a row each, so equal
+   windows meet.
    Windows of anchors in over ``HOT`` documents (or one millionth of all anchors, if more: so
    there are never many) go one by one, by their own hash.
 4. A shard sorts the suffixes that start at its windows in two stages: those smaller than
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import anchors, gram_hashes
-from tessera.llm.common import arrow_schema, as_batch, dealt, map_rows, ranges_of, release, small_batches, texts_of, written
+from tessera.llm.common import arrow_schema, as_batch, binary_of, dealt, map_rows, ranges_of, release, small_batches, texts_of, written
 
 LENGTH, GRAM = 50, 22
 WINDOW = LENGTH - GRAM + 1
@@ -275,9 +276,10 @@ def _isin_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-#: Of a shard: the bytes of its contexts end to end; of each context the windows, the id and
-#: how often it stands in that document; all its starts there. Settled ones have no text.
-_SENT = "shard int, text binary, windows binary, ids binary, times binary, starts binary"
+#: A row a context, with all its starts in that document (four bytes each), so that rows grow
+#: with the contexts, and not with tasks times shards. A document's settled windows are one
+#: row without text, of pairs of start and stop.
+_SENT = "shard int, id bigint, text binary, starts binary"
 
 
 def _send_contexts(batches, shards: int, hot):
@@ -311,19 +313,21 @@ def _send_contexts(batches, shards: int, hot):
         kept = order[own[order] == least]  # rows of one context are neighbours, all of one id
         first = np.flatnonzero(new[own[order] == least])
         times = np.diff(np.r_[first, len(kept)])
+        line = np.argsort(kept[first])  # as they stand in the texts: neighbours have like ids and starts
+        first, times = first[line], times[line]
         sent, settled = kept[first], order[own[order] > least]
-        out = {f.name: [] for f in kinds}
-        for shard, rows in _split(_part(spread[sent], shards), shards):
-            size = n[sent[rows]] + LENGTH - 1
-            where = text[ranges_of(begin[sent[rows]], size)].tobytes()
-            places = place[kept[ranges_of(first[rows], times[rows])]]
-            _row(out, shard, where, n[sent[rows]], own[sent[rows]], times[rows], places)
-        for shard, rows in _split(own[settled] % shards, shards):
-            rows = settled[rows]
-            _row(out, shard, b"", n[rows], own[rows], np.ones(len(rows), np.int64), place[rows])
+        size = n[sent] + LENGTH - 1
+        where, places = text[ranges_of(begin[sent], size)], place[kept[ranges_of(first, times)]]
+        told, some, start, stop = _merged(own[settled], place[settled], place[settled] + n[settled] + LENGTH - 1)
+        out = (
+            np.r_[_part(spread[sent], shards), told % shards],
+            np.r_[own[sent], told],
+            binary_of(where, np.r_[size, np.zeros(len(told), np.int64)]),
+            binary_of(np.r_[places, np.column_stack([start, stop]).ravel()].astype("<i4"), 4 * np.r_[times, 2 * some]),
+        )
         gathered.clear()
         texts.clear()
-        return as_batch(out, kinds)
+        return as_batch(dict(zip(kinds.names, map(pa.array, out), strict=True)), kinds)
 
     size = 0
     for ids, data, ends in chunks(map(known_of, batches)):
@@ -341,10 +345,25 @@ def _send_contexts(batches, shards: int, hot):
         yield flush()
 
 
-def _row(out, shard, text, n, ids, times, starts):
-    row = (shard, text, n.astype(np.uint8).tobytes(), planes(ids, 8), planes(times, 4), planes(starts, 4))
-    for column, value in zip(out.values(), row, strict=True):
-        column.append(value)
+def _merged(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each id, how many spans its own ones make where those that meet are one, and all these
+    spans' starts and stops."""
+    order = np.lexsort((starts, ids))
+    own, rank = np.unique(ids[order], return_inverse=True)
+    base = rank << 32  # more than any place
+    start, until = base + starts[order], np.maximum.accumulate(base + stops[order])
+    first = np.flatnonzero(np.r_[True, start[1:] > until[:-1]][: len(ids)])
+    last = np.r_[first[1:], len(ids)][: len(first)] - 1
+    return own, np.bincount(rank[first], minlength=len(own)), (start - base)[first], (until - base)[last]
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of binary values without nulls, end to end, and the size of each."""
+    whole = pa.concat_arrays(column.chunks)
+    sizes = pc.binary_length(whole).to_numpy().astype(np.int64)
+    begin = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset] if len(whole) else 0
+    data = whole.buffers()[2]
+    return np.frombuffer(data or b"", np.uint8)[begin : begin + sizes.sum()], sizes
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -437,27 +456,21 @@ def repeats_in_shard(text: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.nda
     return out
 
 
-_SPANS = "part int, ids binary, starts binary, stops binary"
+_SPANS = "part int, id bigint, start bigint, stop bigint"
 
 
 def _settle(table: pa.Table, parts: int) -> pa.Table:
-    """Removed windows of a shard, packed by part of their documents."""
+    """Removed windows of a shard, a row a run of them, by part of their documents."""
     release()
-    ids, starts, stops = [], [], []
-    texts, counts, owned, often, places = [], [], [], [], []
-    for r in table.to_pylist():
-        n, own = np.frombuffer(r["windows"], np.uint8).astype(np.int64), from_planes(r["ids"], 8)
-        at = from_planes(r["starts"], 4)
-        if r["text"]:
-            for column, value in zip((texts, counts, owned, often, places), (r["text"], n, own, from_planes(r["times"], 4), at), strict=True):
-                column.append(value)
-        else:
-            ids.append(own)
-            starts.append(at)
-            stops.append(at + n + LENGTH - 1)
-    if texts:
-        n, own, times, at = (np.concatenate(c) for c in (counts, owned, often, places))
-        gone = np.flatnonzero(repeats_in_shard(np.frombuffer(b"".join(texts), np.uint8), n, own))
+    ids = table.column("id").to_numpy()
+    (text, size), (places, each) = _flat(table.column("text")), _flat(table.column("starts"))
+    at, times = places.view("<i4").astype(np.int64), each // 4
+    told = size == 0
+    pairs = at[np.repeat(told, times)].reshape(-1, 2)
+    spans = [(np.repeat(ids[told], times[told] // 2), pairs[:, 0], pairs[:, 1])]
+    own, n, at, times = ids[~told], size[~told] - (LENGTH - 1), at[np.repeat(~told, times)], times[~told]
+    if len(n):
+        gone = np.flatnonzero(repeats_in_shard(text, n, own))
         context = np.repeat(np.arange(len(n)), n)[gone]
         place = gone - (np.cumsum(n) - n)[context]
         if len(gone):
@@ -465,22 +478,15 @@ def _settle(table: pa.Table, parts: int) -> pa.Table:
             until = np.r_[new[1:], len(gone)] - 1
             c = context[new]  # each run of windows, at each start of its context
             begin = at[ranges_of((np.cumsum(times) - times)[c], times[c])]
-            ids.append(np.repeat(own[c], times[c]))
-            starts.append(begin + np.repeat(place[new], times[c]))
-            stops.append(begin + np.repeat(place[until] + LENGTH, times[c]))
-    out = {"part": [], "ids": [], "starts": [], "stops": []}
-    if ids:
-        own, first, end = (np.concatenate(x) for x in (ids, starts, stops))
-        for part, rows in _split(_part(own, parts), parts):
-            for column, value in zip(out.values(), (part, planes(own[rows], 8), planes(first[rows], 4), planes(end[rows], 4)), strict=True):
-                column.append(value)
-    return pa.table({n: pa.array(v, k.type) for (n, v), k in zip(out.items(), arrow_schema(_SPANS), strict=True)})
+            spans.append((np.repeat(own[c], times[c]), begin + np.repeat(place[new], times[c]), begin + np.repeat(place[until] + LENGTH, times[c])))
+    own, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
+    out = (_part(own, parts).astype(np.int32), own, start, stop)
+    return pa.table(list(map(pa.array, out)), schema=arrow_schema(_SPANS))
 
 
 def _unpack(table: pa.Table) -> pa.Table:
     """One row a document, with all its removed windows."""
-    sizes = {"ids": 8, "starts": 4, "stops": 4}
-    cols = _lists(*(np.concatenate([from_planes(b, n) for b in table.column(c).to_pylist()]) for c, n in sizes.items()))
+    cols = _lists(*(table.column(c).to_numpy() for c in ("id", "start", "stop")))
     return pa.table(cols, schema=arrow_schema("id bigint, starts array<bigint>, stops array<bigint>"))
 
 

@@ -235,6 +235,36 @@ def test_ranges_and_shards_hold_like_shares():
     assert held.sum() > 800_000 and held.max() < 1.5 * held.mean()
 
 
+def test_rows_do_not_grow_with_shards_and_parts(monkeypatch):
+    """Rows follow the contexts and removed runs; shards and parts grow with the input as the tasks
+    do, so a row a flush and shard would grow with its square."""
+    monkeypatch.setattr(D, "CHUNK", 3_000)
+    monkeypatch.setattr(D, "GATHER_CONTEXTS", 8_000)
+    rng = random.Random(5)
+    shared = [words_text(rng, 40) for _ in range(30)]
+    texts = [" ".join(rng.choice([words_text(rng, 20), rng.choice(shared)]) for _ in range(8)) for _ in range(80)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(80), pa.int64()), "text": texts})
+    found = [r for t in groups([D._repeated(g, 4, 10_000) for g in groups(D._send_anchors([batch], 4), "back", "part")], "part") for r in D._by_document(t).to_pylist()]
+    known = batch.append_column("keys", pa.array([next((r["keys"] for r in found if r["id"] == i), None) for i in range(80)], pa.list_(pa.int64())))
+
+    class Often:
+        value = []
+
+    def rows(shards, parts):
+        sent = list(D._send_contexts([known], shards, Often))
+        settled = [D._settle(g, parts) for g in groups(sent, "shard")]
+        return len(sent), sum(b.num_rows for b in sent), sum(t.num_rows for t in settled)
+
+    few, many = rows(8, 3), rows(4_000, 300)
+    assert few[0] > 3 and few == many
+
+
+def test_settled_windows_that_meet_are_one_span():
+    ids, starts, stops = (np.array(x) for x in ([7, 3, 7, 7, 3], [90, 0, 10, 60, 200], [140, 50, 70, 95, 260]))
+    assert [x.tolist() for x in D._merged(ids, starts, stops)] == [[3, 7], [2, 1], [0, 200, 10], [50, 260, 140]]
+    assert [x.tolist() for x in D._merged(*(x[:0] for x in (ids, starts, stops)))] == [[], [], [], []]
+
+
 def test_frequent_anchors_go_straight_back():
     passage = words_text(random.Random(2), 60)
     batch = pa.RecordBatch.from_pydict({"id": pa.array(range(300), pa.int64()), "text": [f"{passage} own{i}" for i in range(300)]})
