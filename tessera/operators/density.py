@@ -32,6 +32,8 @@ from tessera.sources.tables import stored
 LEAST_SAMPLES, LEAST_CLUSTER = 5, 20
 #: Points that a walk asks in a turn.
 ASKED = 6
+#: Rounds by which points come together before their first walks, and points that walk in one task at once.
+ROUNDS, PART_POINTS, LEAST_PARTS = 4, 10_000, 64
 #: Density of points that lie on each other, and clusters that a task may be sent.
 SHORTEST, MOST_CLUSTERS = 1e-9, 2_000_000
 _EDGE = "struct<w:double,a:bigint,b:bigint>"
@@ -94,31 +96,62 @@ class Arrivals:
     splits: DataFrame
 
 
-def _walk(start: int, edges: list[tuple[float, int, int, bool]], least: int) -> tuple[list[tuple[float, int, int, bool]], bool]:
-    """Directed edges (w, from, to, known) in the order in which ``start`` takes them, always the
-    shortest that leads on, till it has ``least`` points; and whether that order is certain:
-    all points that had to be passed are known, those whose own edges are at hand."""
+def _ahead(edges: list[tuple[float, int, int, bool]]) -> dict[int, list]:
+    """Directed edges (w, from, to, known) by where they begin, as they are compared."""
     out: dict[int, list] = {}
     for e in edges:
         out.setdefault(e[1], []).append((e[0], min(e[1:3]), max(e[1:3]), e))
-    taken, certain, heap = [], True, out.get(start, [])
+    return out
+
+
+def _walk(start: int, out: dict[int, list], least: int) -> tuple[list[tuple[float, int, int, bool]], bool]:
+    """Edges of a tree in the order in which ``start`` takes them, always the shortest that leads on,
+    till it has ``least`` points; and whether that order is certain: all points that had to be
+    passed are known, those whose own edges are at hand."""
+    taken, certain, heap = [], True, list(out.get(start, ()))
     heapq.heapify(heap)
     while heap and len(taken) < least - 1:
         e = heapq.heappop(heap)[3]
         taken.append(e)
         certain &= e[3] or len(taken) == least - 1
         for x in out.get(e[2], ()):
-            heapq.heappush(heap, x)
+            if x[3][2] != e[1]:  # not back
+                heapq.heappush(heap, x)
     return taken, certain
 
 
 _WALK = "node bigint, w array<double>, `from` array<bigint>, `to` array<bigint>, known array<boolean>, done boolean"
 
 
+def _parts(forest: DataFrame) -> DataFrame:
+    """(node, part): points of one component have one part, after as many of ROUNDS rounds of shortest
+    edges as leave it PART_POINTS at most; what is larger after the first is dealt. Few points are one part."""
+    live, names, found = forest.select(F.col("e.a").alias("ca"), F.col("e.b").alias("cb"), "e"), None, None
+    n = forest.count()
+    if n < PART_POINTS:
+        return live.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().select("node", F.lit(0).cast("bigint").alias("part"))
+    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(PART_POINTS)))
+    for _ in range(ROUNDS):
+        roots = _jumped(stored(_shortest(live).select("node", F.col("best.to").alias("to")), "shortest"))
+        higher = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        names = roots if names is None else names.join(higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        sized = names.join(names.groupBy("root").agg(F.count("*").alias("n")), "root")
+        if found is None:
+            found = sized.select("node", F.xxhash64("root", share).alias("part"))
+        else:
+            found = sized.join(found, "node").select("node", F.when(F.col("n") <= PART_POINTS, F.xxhash64("root")).otherwise(F.col("part")).alias("part"))
+        live = stored(_relabelled(live, roots).where("ca != cb"), "edges")
+        if live.isEmpty():
+            break
+    parts = max(LEAST_PARTS, -(-n // PART_POINTS))
+    return stored(found.select("node", F.pmod("part", F.lit(parts)).alias("part")), "parts")
+
+
 def _walks(forest: DataFrame, least: int) -> DataFrame:
     """Stored _WALK of each point: its first edges as ``_walk`` takes them.
 
-    A point starts with its own edges. In each turn it asks the first ASKED points of its walk whose
+    Points that come together in ROUNDS rounds of shortest edges walk among each other first, as many
+    as fit a part; most walks end there. In each turn a point asks the first ASKED points of its walk whose
     edges it doesn't have for their walks, and takes what lies beyond them. In a tree the order of
     the points beyond one doesn't depend on where a walk comes from, and whatever a walk
     takes beyond a point is among the first of that point's own walk, so ``least`` edges a point
@@ -126,11 +159,18 @@ def _walks(forest: DataFrame, least: int) -> DataFrame:
     """
     ends = [forest.select(F.col(f"e.{x}").alias("node"), F.col(f"e.{y}").alias("to"), "e") for x, y in (("a", "b"), ("b", "a"))]
     near = ends[0].unionByName(ends[1]).withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("e"))).where(F.col("n") < least)
-    own = near.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("e", "to"))).alias("x"))  # least at most
-    lists = {"w": F.col("x.e.w"), "from": F.transform("x", lambda _: F.col("node")), "to": F.col("x.to"), "known": F.transform("x", lambda _: F.lit(False))}
-    state = stored(own.select("node", *[c.alias(n) for n, c in lists.items()], F.lit(False).alias("done")), "walks")
     kinds = pa.schema([("node", pa.int64()), ("w", pa.list_(pa.float64())), ("from", pa.list_(pa.int64())), ("to", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("done", pa.bool_())])
 
+    def begin(table):
+        out, own = {n: [] for n in kinds.names}, table.column("node").to_pylist()
+        here = set(own)
+        ahead = _ahead([(w, i, j, j in here) for w, i, j in zip(table.column("w").to_pylist(), own, table.column("to").to_pylist(), strict=True)])
+        for node in sorted(here):
+            taken, done = _walk(node, ahead, least)
+            for column, value in zip(out.values(), (node, *([e[c] for e in taken] for c in range(4)), done), strict=True):
+                column.append(value)
+        return pa.table(out, schema=kinds)
+
     def run(batches):
         for batch in batches:
             out = {n: [] for n in kinds.names}
@@ -144,11 +184,13 @@ def _walks(forest: DataFrame, least: int) -> DataFrame:
                             back.add(j)
                         else:
                             edges.append((x, i, j, k))
-                taken, done = _walk(node, edges, least)
+                taken, done = _walk(node, _ahead(edges), least)
                 for column, value in zip(out.values(), (node, *([e[c] for e in taken] for c in range(4)), done), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
+    parts = _parts(forest)
+    state = stored(near.select("node", "to", "e.w").join(parts, "node").groupBy("part").applyInArrow(begin, _WALK), "walks")
     while not (open_ := state.where("not done")).isEmpty():
         unknown = F.filter(F.arrays_zip(F.col("from").alias("via"), F.col("to").alias("at"), "known"), lambda x: ~x["known"])
         asked = open_.select("node", F.explode(F.slice(unknown, 1, ASKED)).alias("x")).select("node", "x.via", "x.at")
