@@ -1,7 +1,8 @@
 """Sections, footnotes and overlapping chunks of documents.
 
-Match positions and greedy packing need a text as a whole, so one function a document runs
-inside Arrow batches; nothing is shuffled. What needs no positions is in ``functions.text``.
+Match positions and greedy packing need a text in order, so one function a document runs
+inside Arrow batches; texts that come whole aren't shuffled. A document of many pages is read page by page
+in order, and a task holds a section of it at a time. What needs no positions is in ``functions.text``.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain, groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions.text import FOOTNOTE_REFERENCE, footnote_references, normalized, page_quality, skip_reason
-from tessera.operators.assemble import documents_of, source_quality
+from tessera.operators.assemble import SEPARATOR, source_quality
 from tessera.plans.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import stored, table
 
 #: Known section names; earlier ones are tried first.
 SECTION_NAMES = (
@@ -146,32 +149,44 @@ class Sentence:
     section: Section
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut at SENTENCE_BREAK. Stops are searched first, as they are rare, and then what
-    stands before them is looked at."""
-    out, begin = [], 0
+def _pieces(text: str) -> Iterator[str]:
+    begin = 0
     for m in _STOP.finditer(text):
         at = m.start()
         before = text[max(0, at - 2) : at]
         last = before[-1:]
         if (last.isascii() and last.isalpha()) or (len(before) == 2 and before.isdecimal()):
-            out.append(text[begin : at + 1])
+            yield text[begin : at + 1]
             begin = m.end()
-    out.append(text[begin:])
-    return out
+    yield text[begin:]
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut at SENTENCE_BREAK. Stops are searched first, as they are rare, and then what
+    stands before them is looked at."""
+    return list(_pieces(text))
+
+
+#: Sentences of a section whose places are kept to be looked up.
+KNOWN_SENTENCES = 20_000
+
+
+def _sentences(section: Section, text: str, count: Counter) -> Iterator[Sentence]:
+    """Sentences of a section by its text. A repeated one is placed at its first occurrence there."""
+    known: dict[str, tuple[int, int]] = {}
+    for piece in _pieces(text):
+        if piece := piece.strip():
+            if piece not in known:
+                if len(known) >= KNOWN_SENTENCES:
+                    known.clear()
+                known[piece] = section.start + text.find(piece), count(piece)
+            at, tokens = known[piece]
+            yield Sentence(piece, at, at + len(piece), tokens, section)
 
 
 def sentences_in(text: str, sections: list[Section], count: Counter = token_count) -> list[Sentence]:
     """Sentences of all sections. A repeated sentence is placed at its first occurrence."""
-    out, known = [], {}
-    for s in sections:
-        for piece in pieces_of(text[s.start : s.end]):
-            if piece := piece.strip():
-                if (s.start, piece) not in known:
-                    known[s.start, piece] = text.find(piece, s.start), count(piece)
-                at, tokens = known[s.start, piece]
-                out.append(Sentence(piece, at, at + len(piece), tokens, s))
-    return out
+    return [x for s in sections for x in _sentences(s, text[s.start : s.end], count)]
 
 
 def chunks_of(text: str, count: Counter = token_count, notes: dict[str, str] | None = None) -> Iterator[dict]:
@@ -179,23 +194,21 @@ def chunks_of(text: str, count: Counter = token_count, notes: dict[str, str] | N
     over MOST_TOKENS unless one sentence is. Each later chunk begins with the last sentences
     of the one before, up to OVERLAP_TOKENS, and all with their first section's name. Below
     stand the ``notes`` that a chunk refers to. ``count`` counts the tokens of a text."""
-    left = sentences_in(text, sections_of(text), count)
-    at, overlap, overlap_tokens, sequence = 0, "", 0, 0
-    while at < len(left):
-        end, total = at, 0
-        while end < len(left):
-            more = total + left[end].tokens
-            if end > at and (more > MOST_TOKENS or (total >= LEAST_TOKENS and more > AIM_TOKENS)):
-                break
-            total, end = more, end + 1
-        own = left[at:end]
+    sentences = (x for s in sections_of(text) for x in _sentences(s, text[s.start : s.end], count))
+    return _chunks(sentences, count, notes or {})
+
+
+def _chunks(sentences: Iterator[Sentence], count: Counter, notes: dict[str, str]) -> Iterator[dict]:
+    """``chunks_of`` sentences in order, of which those of one chunk and the next are held."""
+    overlap, overlap_tokens, sequence = "", 0, 0
+    for own in _packed(sentences):
         names = list(dict.fromkeys(s.section.name for s in own))
         body = " ".join(filter(None, [f"[{names[0]}]", overlap, *[s.text for s in own]]))
         used = [m for m in references_in(body) if m in notes] if notes else []
-        body = with_footnotes(body, used, notes or {})
+        body = with_footnotes(body, used, notes)
         yield {
             "chunk_sequence": sequence, "section_name": names[0], "section_number": own[0].section.number, "method": own[0].section.method,
-            "char_start": own[0].start, "char_end": own[-1].end, "n_sentences": len(own), "packed_tokens": total,
+            "char_start": own[0].start, "char_end": own[-1].end, "n_sentences": len(own), "packed_tokens": sum(s.tokens for s in own),
             "token_count": count(body), "overlap_tokens": overlap_tokens, "spans_sections": len(names) > 1,
             "sections_spanned": ",".join(sorted(names)) if len(names) > 1 else None, "footnotes": ",".join(used), "chunk_text": body,
         }
@@ -203,12 +216,28 @@ def chunks_of(text: str, count: Counter = token_count, notes: dict[str, str] | N
         while kept and overlap_tokens + own[kept - 1].tokens <= OVERLAP_TOKENS:
             kept -= 1
             overlap_tokens += own[kept].tokens
-        overlap = " ".join(s.text for s in own[kept:])
-        at, sequence = end, sequence + 1
+        overlap, sequence = " ".join(s.text for s in own[kept:]), sequence + 1
+
+
+def _packed(sentences: Iterator[Sentence]) -> Iterator[list[Sentence]]:
+    own, total = [], 0
+    for s in sentences:
+        more = total + s.tokens
+        if own and (more > MOST_TOKENS or (total >= LEAST_TOKENS and more > AIM_TOKENS)):
+            yield own
+            own, more = [], s.tokens
+        own.append(s)
+        total = more
+    if own:
+        yield own
+
+
+#: Rows of results that are sent together, and rows that are read at once.
+SENT_ROWS, READ_ROWS = 5_000, 128
 
 
-#: Rows of results that are sent together.
-SENT_ROWS = 5_000
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, READ_ROWS) for at in range(0, batch.num_rows, READ_ROWS))
 
 
 def per_document(docs: DataFrame, id_col: str, columns: dict[str, str], rows_of: Callable[..., Iterator[dict]], *inputs: str) -> DataFrame:
@@ -221,7 +250,8 @@ def per_document(docs: DataFrame, id_col: str, columns: dict[str, str], rows_of:
             # any other kind is that of the input of the same name
             kinds = pa.schema([("id", batch.schema.field(0).type), *((n, _KIND[k] if k in _KIND else batch.schema.field(n).type) for n, k in columns.items())])
             out: dict[str, list] = {n: [] for n in kinds.names}
-            for i, text, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = (r for some in _slices(batch) for r in zip(*(c.to_pylist() for c in some.columns), strict=True))
+            for i, text, *more in rows:
                 for row in rows_of(text or "", *more):
                     out["id"].append(i)
                     for n in columns:
@@ -287,20 +317,216 @@ def _placed_notes(text: str) -> Iterator[dict]:
     return ({"place": i, "marker": m, "note": n} for i, (m, n) in enumerate(footnotes_of(text)))
 
 
+#: A line that a header may go on from: figures and stops, or a letter.
+_OPEN = re.compile(r"[\s\d.]*|\s*\([a-z]\)\s*", re.IGNORECASE)
+#: How the sections of a document are told.
+HEADERS, PARAGRAPHS, WHOLE = "headers", "paragraphs", "whole"
+
+
+#: A number at a page's end that a header may begin with.
+_NUMBER_LAST = re.compile(r"^\s*\d+(?:\s*\.\s*\d+)*\s*\Z", re.MULTILINE)
+#: What ``page_marks`` tells, in order.
+MARKS = {"header": "boolean", "goes_on": "boolean", "number_last": "boolean", "runs": "bigint", "blank": "boolean", "before": "bigint", "after": "bigint"}
+
+
+def page_marks(text: str) -> tuple[bool, bool, bool | None, int, bool, int, int]:
+    """Of a page: whether it has a header, whether it has one if the page before ends with a number,
+    and whether it ends with one (null if blank); runs of blank lines within it; whether it is
+    blank; and line feeds before and after what stands on it."""
+    inner = text.strip()
+    left = len(text) - len(text.lstrip()) if inner else len(text)
+    header = bool(HEADER.search(text) or LETTERED.search(text))
+    goes_on = not header and inner.startswith(".") and bool(HEADER.search("0\n\n" + text))
+    number = bool(_NUMBER_LAST.search(text[text.rfind("\n", 0, len(text.rstrip())) + 1 :])) if inner else None
+    return header, goes_on, number, sum(1 for _ in BLANK_LINES.finditer(inner)), not inner, text.count("\n", 0, left), text.count("\n", left + len(inner))
+
+
+def section_stream(pages: Iterator[str], mode: str) -> Iterator[tuple[Section, str]]:
+    """``sections_of`` the joined pages, in order, each with its text. By headers and paragraphs a
+    section and a page are held at a time."""
+    if mode == HEADERS:
+        yield from _header_stream(pages)
+        return
+    if mode == PARAGRAPHS:
+        early: list[tuple[Section, str]] | None = []  # until there are two
+        parts: list[str] = []
+        for section, text in _paragraph_stream(pages, parts):
+            if early is None:
+                yield section, text
+            else:
+                early.append((section, text))
+                if len(early) > 1:
+                    yield from early
+                    early = None
+                    parts.clear()
+        if early is None:
+            return
+        pages = iter(parts)
+    text = SEPARATOR.join(pages)
+    if text.strip():
+        yield Section("DOCUMENT", None, 0, len(text), "no_structure"), text
+
+
+def _paragraph_stream(pages: Iterator[str], parts: list[str]) -> Iterator[tuple[Section, str]]:
+    """Paragraphs of PARAGRAPH_LEAST; pages are kept in ``parts`` till two are found."""
+    base, left, n, found = 0, "", 0, 0
+    pages = iter(pages)
+    page = next(pages, None)
+    while page is not None:
+        if found < 2:
+            parts.append(page)
+        after = next(pages, None)
+        left += page + ("" if after is None else SEPARATOR)
+        # blank lines at the end may go on
+        ends = [m.end() for m in BLANK_LINES.finditer(left) if after is None or m.start() < len(left.rstrip())]
+        begin = 0
+        for end in [*ends, len(left)] if after is None else ends:
+            n += 1
+            if end - begin >= PARAGRAPH_LEAST:
+                found += 1
+                yield Section(f"PARAGRAPH_{n}", None, base + begin, base + end, "paragraph_fallback"), left[begin:end]
+            begin = end
+        base, left, page = base + begin, left[begin:], after
+
+
+def _header_stream(pages: Iterator[str]) -> Iterator[tuple[Section, str]]:
+    """Sections by headers. Headers are looked for up to a page's end whose last line none can hold or
+    go on from. A section waits for the one after the next, as a parent that vanishes leaves its text to it."""
+    waiting: list[tuple[Section, str]] = []  # the one before the section at hand
+    current, text, base, window = None, [], 0, ""  # the section at hand, its text, and what comes after it
+
+    def taken(end: int) -> Iterator[tuple[Section, str]]:
+        nonlocal current, text, base, window
+        at = 0
+        for h in _headers(window[:end]):
+            text.append(window[at : h.start])
+            at, h = h.start, replace(h, start=base + h.start)
+            if current:
+                whole = "".join(text)
+                line_end = whole.find("\n")
+                # as _merged
+                if is_child(current.number, h.number) and len((whole[line_end:] if line_end >= 0 else "").strip()) < MERGE_GAP:
+                    h = replace(h, name=f"{current.name} > {h.name}")
+                    waiting[:] = [(replace(s, end=h.start), before + whole) for s, before in waiting]
+                else:
+                    yield from waiting
+                    waiting[:] = [(replace(current, end=h.start), whole)]
+            current, text = h, []
+        if current:
+            text.append(window[at:end])
+        base, window = base + end, window[end:]
+
+    pages = iter(pages)
+    page = next(pages, None)
+    while page is not None:
+        after = next(pages, None)
+        window += page + ("" if after is None else SEPARATOR)
+        line = page[page.rfind("\n") + 1 :]
+        if after is None or not (_OPEN.fullmatch(line) or HEADER.search(line) or LETTERED.search(line)):
+            yield from taken(len(window) - (0 if after is None else 1))
+        page = after
+    yield from waiting
+    if current:
+        whole = "".join(text)
+        yield replace(current, end=current.start + len(whole)), whole
+
+
+#: Pages behind that are held, and tasks that documents are dealt to at least.
+HELD_PAGES, LEAST_TASKS = 1_000, 256
+
+
+def _paged_chunks(first: dict, rows: Iterator[dict], count: Counter) -> Iterator[dict]:
+    """Chunks of a document from its first row (mode, source, notes) and its pages in order, each
+    with the pages (page, start, stop, source, ratio, confidence) that it overlaps."""
+    pages: list[dict] = []  # without their texts
+
+    def texts() -> Iterator[str]:
+        before = 0
+        for i, row in enumerate(rows):
+            stop = before + len(row["text"])
+            pages.append({"page": row["page"], "start": before - len(SEPARATOR) if i else 0, "stop": stop, "source": row["source"], "ratio": row["ratio"], "confidence": row["confidence"]})
+            before = stop + len(SEPARATOR)
+            yield row["text"]
+
+    latest = 0
+
+    def sentences() -> Iterator[Sentence]:
+        nonlocal latest
+        for section, text in section_stream(texts(), first["mode"]):
+            for x in _sentences(section, text, count):
+                latest = section.start
+                yield x
+
+    for own in _chunks(sentences(), count, dict(first["notes"] or [])):
+        near = pages[bisect_right(pages, own["char_start"], key=lambda p: p["stop"]) : bisect_left(pages, own["char_end"], key=lambda p: p["start"])]
+        yield own | {"pages": near, "primary_source": first["source"]}
+        # the sentence read last begins the next chunk, and lies in its section
+        if (gone := bisect_right(pages, latest, key=lambda p: p["stop"])) > HELD_PAGES:
+            del pages[:gone]
+
+
 def page_chunks(pages: DataFrame, key: str, page: str, text: str, source: str, ratio: Column, confidence: Column, count: Counter = token_count) -> DataFrame:
     """From pages to chunks: pages that have text and are no cover or contents are joined to
     documents, whose chunks get their page range, their pages' sources and quality (least
     ``ratio`` and mean ``confidence``; nulls and zeros don't count), and the notes defined on
-    any page."""
+    any page. A document's pages are read in order and never put together; a task holds a
+    section's text, a document's notes and a few numbers a page."""
     notes = footnote_maps(pages, key, page, text)
-    kept = pages.where(skip_reason(F.col(text)).isNull()).withColumns({text: normalized(F.col(text)), "ratio": ratio, "confidence": confidence})
-    docs = documents_of(kept, key, page, text, source, "ratio", "confidence").join(notes, key, "left")
-    # a chunk takes the pages that it overlaps where its document is cut: all pages of a document with
-    # each of its chunks would grow with the square of its length
-    slim = docs.withColumn("pages", F.transform("pages", lambda p: p.dropFields(text)))
-    joined = chunk_table(slim, key, "full_text", count, "notes", "pages", "primary_source")
-    sources = F.array_distinct(F.transform("pages", lambda p: p[source]))
-    numbers = F.transform("pages", lambda p: p[page])
+    kept = pages.where(skip_reason(F.col(text)).isNull()).select(
+        F.col(key).alias("id"), F.col(page).alias("page"), normalized(F.col(text)).alias("text"), F.col(source).alias("source"), ratio.alias("ratio"), confidence.alias("confidence")
+    )
+    def marked(batches):
+        for batch in (some for b in batches for some in _slices(b)):
+            found = [page_marks(t) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([f[i] for f in found], _KIND[kind]) for i, kind in enumerate(MARKS.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *MARKS])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    held = stored(kept.mapInArrow(marked, ", ".join([shape, *[f"{n} {k}" for n, k in MARKS.items()]])), "pages")
+    ends = F.struct("blank", "before", "after")
+    earlier = Window.partitionBy("id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    small = held.select("id", "page", "source", F.length("text").alias("size"), *MARKS).withColumn("number", F.last("number_last", ignorenulls=True).over(earlier))
+    docs = small.groupBy("id").agg(
+        F.bool_or(F.col("header") | (F.col("goes_on") & F.coalesce("number", F.lit(False)))).alias("header"), F.sum("runs").alias("runs"), F.count_if(~F.col("blank")).alias("filled"), (F.sum(F.col("size") + len(SEPARATOR)) - len(SEPARATOR)).alias("size"),
+        F.min_by(ends, "page").alias("first"), F.max_by(ends, "page").alias("last"), F.count("*").alias("n"), F.count_if(F.col("source") == "user").alias("user"),
+    )
+    # runs of blank lines of the joined pages: within pages, between those with text, and at both ends
+    edge = lambda end, c: F.when(F.col(f"{end}.blank") | (F.col(f"{end}.{c}") > 1), 1).otherwise(0)
+    runs = F.col("runs") + F.col("filled") - 1 + edge("first", "before") + edge("last", "after")
+    mode = F.when(F.col("header"), HEADERS).when(F.col("size") >= PARAGRAPH_MEAN * (runs + 1), PARAGRAPHS).otherwise(WHOLE)
+    main = F.when((F.col("user") > 0) & (F.col("user") < F.col("n")), "mixed").when(F.col("user") > 0, "user").otherwise("other")
+    heads = docs.where("filled > 0").join(notes.withColumnRenamed(key, "id"), "id", "left").select("id", F.lit(0).alias("turn"), mode.alias("mode"), main.alias("source"), "notes")
+    rows = heads.unionByName(held.drop(*MARKS).withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    of_page = StructType([StructField("page", kept.schema["page"].dataType), StructField("start", LongType()), StructField("stop", LongType()), *(kept.schema[c] for c in ("source", "ratio", "confidence"))])
+    columns = CHUNK_COLUMNS | {"pages": f"array<{of_page.simpleString()}>", "primary_source": "string"}
+
+    def run(batches):
+        out = None
+        for batch in (first := iter(batches)):
+            given = {f.name: f.type for f in batch.schema}
+            of = pa.list_(pa.struct([("page", given["page"]), ("start", pa.int64()), ("stop", pa.int64()), *((c, given[c]) for c in ("source", "ratio", "confidence"))]))
+            schema = pa.schema([("id", given["id"]), *((n, _KIND.get(k, of)) for n, k in columns.items())])
+            for i, own in groupby((r for b in chain([batch], first) for some in _slices(b) for r in some.to_pylist()), key=lambda r: r["id"]):
+                head = next(own)
+                if head["turn"]:  # a document of blank pages
+                    continue
+                for chunk in _paged_chunks(head, own, count):
+                    out = out or {n: [] for n in schema.names}
+                    for n, v in (chunk | {"id": i}).items():
+                        out[n].append(v)
+                    if len(out["id"]) >= SENT_ROWS:
+                        yield pa.RecordBatch.from_pydict(out, schema=schema)
+                        out = None
+        if out:
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    # a document is one task's, so few share one
+    tasks = max(LEAST_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    in_order = rows.repartition(tasks, "id").sortWithinPartitions("id", "turn", "page")
+    chunks = in_order.mapInArrow(run, ", ".join([f"id {kept.schema['id'].dataType.simpleString()}", *[f"{n} {k}" for n, k in columns.items()]]))
+    joined = chunks.withColumn("chunk_id", F.format_string("%s_chunk_%04d", F.col("id").cast("string"), "chunk_sequence")).withColumnRenamed("id", key)
+    sources = F.array_distinct(F.transform("pages", lambda p: p["source"]))
+    numbers = F.transform("pages", lambda p: p["page"])
     return joined.select(
         key, "chunk_id", "chunk_sequence", "section_name", "section_number", "method", "char_start", "char_end", "token_count", "overlap_tokens",
         F.array_min(numbers).alias("page_start"), F.array_max(numbers).alias("page_end"), F.array_join(F.array_sort(numbers).cast("array<string>"), ",").alias("page_list"),
